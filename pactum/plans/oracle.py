@@ -216,3 +216,85 @@ SELECT contract_id, days_until_expiration, risk_score,
        ELSE 'green' END AS days_band,
   risk_score > 70 AS risk_flag
 FROM fact""")
+
+
+# ------------------------------------------------------------------ gaps (G*)
+GAP_FIELDS = ("auto_renewal", "perpetual", "perpetual_notice_period", "renewal_notice_period",
+              "termination_notice_period", "termination_for_convenience_notice", "payment_terms",
+              "gdpr_applicable", "subject_to_gdpr", "counterparty_address", "primary_party_address",
+              "governing_law", "counterparty_name", "primary_party_name")
+GAP_PRESENT = ("payment_terms", "gdpr_applicable", "counterparty_address", "governing_law",
+               "counterparty_name")
+_MISS = "('', 'unknown', 'n/a', 'na', 'not found', 'tbd', 'pending')"
+
+
+def _m(c: str) -> str:
+    return f"({c} IS NULL OR lower(trim({c})) IN {_MISS})"
+
+
+def _gap_ctes() -> str:
+    raw = ", ".join(
+        (f"CASE WHEN {_m(f)} THEN '{f}' END" if f in GAP_PRESENT else f"'{f}'") for f in GAP_FIELDS)
+    keys = ("master service agreement", "msa", "master sales agreement", "distributor agreement",
+            "oem agreement", "partner program agreement", "reseller agreement", "master agreement")
+    master = " OR ".join(f"contains(combined, '{k}')" for k in keys)
+    inh = ", ".join(
+        f"CASE WHEN list_contains(filtered, '{f}') AND NOT {_m('p_' + f)} THEN '{f}' END" for f in GAP_PRESENT)
+    inh_pairs = ", ".join(
+        f"CASE WHEN list_contains(filtered, '{f}') AND NOT {_m('p_' + f)} THEN '{f}=' || p_{f} END"
+        for f in GAP_PRESENT)
+    pcols = ", ".join(
+        f"CASE WHEN c.is_child THEN CASE WHEN m1.contract_id <> c.contract_id THEN m1.{f} ELSE m2.{f} END END AS p_{f}"
+        for f in GAP_PRESENT)
+    fl = ", ".join(GAP_PRESENT)
+    return f"""
+g0 AS (SELECT _pos, contract_id, contract_group_id AS group_id, is_draft, {fl},
+         lower(trim(coalesce(contract_type, ''))) AS ctype, lower(trim(coalesce(filename, ''))) AS fname
+       FROM contracts),
+g1 AS (SELECT *, concat_ws(' ', nullif(ctype, ''), nullif(fname, '')) AS combined FROM g0),
+g2 AS (SELECT *, ({master}) AS is_master,
+         (contains(ctype, 'statement of work') OR contains(' ' || fname || ' ', ' sow')) AS is_sow,
+         contains(fname, 'schedule') AS is_schedule,
+         (contains(combined, 'nda') OR contains(combined, 'non-disclosure') OR contains(combined, 'confidentiality')) AS is_nda
+       FROM g1),
+g3 AS (SELECT *, (contains(combined, 'change order') OR (is_schedule AND NOT is_master)) AS is_amendment FROM g2),
+g4 AS (SELECT *,
+         list_filter([CASE WHEN is_master THEN 'master' END, CASE WHEN is_sow AND NOT is_master THEN 'sow' END,
+                      CASE WHEN is_amendment THEN 'amendment' END,
+                      CASE WHEN is_schedule AND NOT is_amendment THEN 'schedule' END,
+                      CASE WHEN is_nda THEN 'nda' END], lambda x: x IS NOT NULL) AS cats,
+         list_filter([{raw}], lambda x: x IS NOT NULL) AS raw_missing,
+         ((is_sow AND NOT is_master) OR is_amendment OR (is_schedule AND NOT is_amendment)) AS is_child
+       FROM g3),
+gm AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY _pos) AS rn FROM g4
+       WHERE is_master AND group_id IS NOT NULL AND group_id <> ''),
+m1 AS (SELECT * FROM gm WHERE rn = 1), m2 AS (SELECT * FROM gm WHERE rn = 2),
+g5 AS (SELECT c._pos, c.contract_id, c.cats, c.raw_missing,
+         CASE WHEN list_contains(c.cats, 'nda') AND list_contains(c.raw_missing, 'payment_terms')
+              THEN ['payment_terms'] ELSE [] END AS suppressed,
+         list_filter(c.raw_missing, lambda x: NOT (list_contains(c.cats, 'nda') AND x = 'payment_terms')) AS filtered,
+         CASE WHEN c.is_child THEN CASE WHEN m1.contract_id <> c.contract_id THEN m1.contract_id ELSE m2.contract_id END END AS parent_id,
+         {pcols}
+       FROM g4 c LEFT JOIN m1 ON m1.group_id = c.group_id LEFT JOIN m2 ON m2.group_id = c.group_id
+       WHERE NOT coalesce(c.is_draft, FALSE) AND len(c.raw_missing) > 0),
+g6 AS (SELECT *, list_filter([{inh}], lambda x: x IS NOT NULL) AS inherited,
+         list_filter([{inh_pairs}], lambda x: x IS NOT NULL) AS inherited_pairs FROM g5),
+gaps AS (SELECT *, list_filter(filtered, lambda x: NOT list_contains(inherited, x)) AS missing FROM g6
+         WHERE len(list_filter(filtered, lambda x: NOT list_contains(inherited, x))) > 0 OR len(inherited) > 0)"""
+
+
+_GAP_SELECT = """
+SELECT contract_id, array_to_string(missing, ',') AS missing_fields,
+  array_to_string(suppressed, ',') AS suppressed_fields, array_to_string(cats, ',') AS categories,
+  array_to_string(inherited_pairs, ';') AS inherited,
+  CASE WHEN len(inherited) > 0 THEN parent_id END AS inherited_from,
+  CAST(len(missing) AS INTEGER) AS n_missing
+FROM gaps"""
+
+ORACLE["g1_gap_scan"] = with_fact(_GAP_SELECT, ctes=_gap_ctes())
+ORACLE["g6_work_list"] = with_fact(_GAP_SELECT + " ORDER BY len(missing) DESC, _pos LIMIT 20",
+                                   ctes=_gap_ctes())
+ORACLE["g5_gap_summary"] = with_fact("""
+SELECT field, CAST(SUM(m) AS BIGINT) AS contracts_missing, CAST(SUM(i) AS BIGINT) AS contracts_inherited FROM (
+  SELECT unnest(missing) AS field, 1 AS m, 0 AS i FROM gaps
+  UNION ALL SELECT unnest(inherited) AS field, 0 AS m, 1 AS i FROM gaps) GROUP BY field""", ctes=_gap_ctes())
