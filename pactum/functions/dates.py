@@ -26,8 +26,25 @@ EXPORT_MISSING = ("", "Unknown", "Not specified", "Not found")
 MICROS_PER_DAY = 86_400_000_000
 
 
+# Shape guards: a format is only tried on strings of its shape, so failed
+# parses (which cost an exception each inside the JVM) are rare.
+_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyy": r"^\d{4}$",
+    "yyyyMMddHHmmss": r"^\d{14}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "MMddyyyy": r"^\d{8}$",
+    "MMddyy": r"^\d{6}$",
+}
+_WORDY = r"^\d{0,2}\s*[A-Za-z]"
+
+
 def _try_ts(c: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(c, F.lit(fmt))
+    shape = _SHAPES.get(fmt, _WORDY)
+    return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
 
 
 def _two_digit_year(c: Column) -> Column:

@@ -246,3 +246,15 @@ def q_g11(spark, sf):
     snap = G.apply_patches(ct, log)
     return snap.select("contract_id", "payment_terms", "governing_law", "counterparty_address",
                        "counterparty_name", "gdpr_applicable")
+
+
+# ------------------------------------------------------------- registry
+from ..operators import registry as R  # noqa: E402
+
+
+@register("i6_registry_ids")
+def q_i6(spark, sf):
+    r = R.registry(contracts(spark, sf), AS_OF, CFG)
+    return r.select("contract_id", "hierarchy", "counterparty", "family", "type_code",
+                    F.col("norm_id").alias("registry_id"), "parent_registry_id", "id_notes",
+                    F.col("child_num").cast("int").alias("child_num"))

@@ -298,3 +298,141 @@ ORACLE["g5_gap_summary"] = with_fact("""
 SELECT field, CAST(SUM(m) AS BIGINT) AS contracts_missing, CAST(SUM(i) AS BIGINT) AS contracts_inherited FROM (
   SELECT unnest(missing) AS field, 1 AS m, 0 AS i FROM gaps
   UNION ALL SELECT unnest(inherited) AS field, 0 AS m, 1 AS i FROM gaps) GROUP BY field""", ctes=_gap_ctes())
+
+
+# ------------------------------------------------------------- registry
+def _sqlq(s: str) -> str:
+    return s.replace("'", "''")
+
+
+def _garbage_sql(x: str) -> str:
+    from ..functions.textrules import CONTRACT_PHRASES, OCR_PATTERNS_EXPORT, SENTENCE_CUES
+    t = f"trim({x})"
+    ocr = "|".join(f"(?:{p})" for p in OCR_PATTERNS_EXPORT)
+    phr = "|".join(f"(?:{p})" for p in CONTRACT_PHRASES)
+    cues = " OR ".join(f"contains(lower({t}), '{c}')" for c in SENTENCE_CUES)
+    return (f"({x} IS NULL OR length({x}) < 2 OR regexp_matches({t}, '{_sqlq(ocr)}') "
+            f"OR (length({t}) > 10 AND length(regexp_replace({t}, '[^\\p{{Nd}}#@$%^&*_+={{}}\\[\\]|\\\\`]', '', 'g'))"
+            f" > length(regexp_replace({t}, '[^\\p{{L}}]', '', 'g'))) "
+            f"OR length({t}) > 150 OR regexp_matches(lower({t}), '{_sqlq(phr)}') "
+            f"OR (regexp_matches(left({t}, 1), '^\\p{{Ll}}') AND left({t}, 1) <> 'e') OR {cues})")
+
+
+def _norm_name_sql(x: str) -> str:
+    from ..operators.registry import NAME_SUFFIXES
+    suf = ", ".join(f"'{s}'" for s in NAME_SUFFIXES)
+    return (f"array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(trim({x})), "
+            f"'[^a-zA-Z0-9\\s]', '', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN ({suf})), '')")
+
+
+def _registry_ctes() -> str:
+    from ..operators import registry as R
+    ncf = "|".join(f"(?:{p})" for p in R.NON_CONTRACT_PATTERNS)
+    sowf = "|".join(f"(?:{p})" for p in R.SOW_FILE_PATTERNS)
+
+    def has(c, words):
+        return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+    hier = (f"CASE WHEN regexp_matches(f, '{sowf}') THEN 'SOW' "
+            f"WHEN {has('f', R.AMENDMENT_FILE_WORDS)} THEN 'Amendment' "
+            f"WHEN {has('f', R.NDA_FILE_WORDS)} THEN 'NDA' WHEN {has('f', R.MSA_FILE_WORDS)} THEN 'MSA' "
+            f"WHEN {has('f', R.SCHEDULE_FILE_WORDS)} THEN 'Schedule' "
+            f"WHEN {has('t', R.SOW_TYPE_WORDS)} THEN 'SOW' WHEN {has('t', R.AMENDMENT_TYPE_WORDS)} THEN 'Amendment' "
+            f"WHEN {has('t', R.NDA_TYPE_WORDS)} THEN 'NDA' WHEN {has('t', R.MSA_TYPE_WORDS)} THEN 'MSA' "
+            f"ELSE 'Standalone' END")
+    exact = " ".join(f"WHEN tt = '{k}' THEN '{v}'" for k, v in R.TYPE_CODES)
+    partial = " ".join(f"WHEN contains(tt, '{k}') OR contains('{k}', tt) THEN '{v}'" for k, v in R.TYPE_CODES)
+    tcode = (f"CASE WHEN hierarchy = 'SOW' THEN 'SOW' WHEN hierarchy = 'Amendment' THEN 'AMD' "
+             f"WHEN hierarchy = 'NDA' THEN 'NDA' ELSE CASE {exact} ELSE CASE {partial} ELSE 'MSA' END END END")
+
+    def num(pats):
+        return "COALESCE(" + ", ".join(
+            f"TRY_CAST(NULLIF(regexp_extract(f, '{p}', 1), '') AS INTEGER)" for p in pats) + ")"
+    pnum = (f"CASE WHEN hierarchy = 'SOW' THEN {num(R.SOW_NUMBER_PATTERNS)} "
+            f"WHEN hierarchy = 'Amendment' THEN {num(R.AMENDMENT_NUMBER_PATTERNS)} "
+            f"WHEN hierarchy = 'Schedule' THEN {num(R.SCHEDULE_NUMBER_PATTERNS)} END")
+    fmts = ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y")
+    eff = ("CASE WHEN effective_date IS NULL OR effective_date IN ('', 'Unknown', 'Not specified', 'Not found') "
+           "THEN NULL ELSE COALESCE(" + ", ".join(f"try_strptime(trim(effective_date), '{f}')" for f in fmts) + ") END")
+    part = ("trim(string_split_regex(regexp_replace(filename, '(?i)\\.(pdf|docx?|xlsx?)$', ''), "
+            "'(?i)\\s*[-_]\\s*|\\s+(?:Agreement|Contract|NDA|MSA|SOW)\\b')[1])")
+    cp = (f"COALESCE(CASE WHEN coalesce(counterparty_name, '') <> '' AND NOT {_garbage_sql('counterparty_name')} "
+          f"THEN trim(counterparty_name) END, "
+          f"CASE WHEN coalesce(parent_folder_name, '') <> '' AND NOT {_garbage_sql('parent_folder_name')} "
+          f"THEN trim(parent_folder_name) END, "
+          f"CASE WHEN length({part}) >= 3 AND NOT {_garbage_sql(part)} THEN {part} END, 'Unknown')")
+    h_order = "CASE hierarchy WHEN 'MSA' THEN 0 WHEN 'NDA' THEN 1 WHEN 'Standalone' THEN 2 WHEN 'SOW' THEN 3 WHEN 'Amendment' THEN 4 ELSE 5 END"
+    pfx = "CTR"
+    return f"""
+r0 AS (SELECT *, lower(coalesce(filename, '')) AS f, lower(coalesce(contract_type, 'Unknown')) AS t,
+         {eff} AS effective_ts
+       FROM contracts WHERE NOT regexp_matches(lower(coalesce(filename, '')), '{_sqlq(ncf)}')),
+r1 AS (SELECT *, {hier} AS hierarchy, {cp} AS counterparty,
+         coalesce(nullif(parent_folder_name, ''), '') AS folder,
+         (coalesce(is_draft, FALSE) OR contains(lower(coalesce(contract_status, '')), 'draft')) AS draft
+       FROM r0),
+r2 AS (SELECT *, {h_order} AS h_order, coalesce(effective_ts, TIMESTAMP '1900-01-01') AS sort_date,
+         lower(trim(coalesce(contract_type, 'Unknown'))) AS tt,
+         coalesce(effective_ts < TIMESTAMP '1998-01-01', TRUE) AS legacy,
+         coalesce(strftime(effective_ts, '%y%m'), '0001') AS yymm
+       FROM r1),
+r3 AS (SELECT *, {tcode} AS type_code, {pnum} AS parsed_num,
+         CASE WHEN counterparty = '' OR counterparty = 'Unknown' OR {_garbage_sql('counterparty')}
+              THEN coalesce(nullif(folder, ''), 'Unknown') ELSE counterparty END AS fam_src
+       FROM r2),
+r4 AS (SELECT *, coalesce(nullif(left(regexp_replace(fam_src, '[^a-zA-Z0-9]', '', 'g'), 20), ''), 'Unknown')
+         || '-' || coalesce(CAST(year(effective_ts) AS VARCHAR), '2000') AS family,
+         {_norm_name_sql('counterparty')} AS cname,
+         CASE WHEN folder <> '' THEN {_norm_name_sql('folder')} END AS fname_norm
+       FROM r3),
+par AS (SELECT _pos, cname, fname_norm, CASE WHEN hierarchy = 'MSA' THEN 0 ELSE 1 END AS k0, h_order, sort_date
+        FROM r4 WHERE hierarchy IN ('MSA', 'NDA', 'Standalone')),
+pn AS (SELECT cname AS name, k0, h_order, sort_date, _pos FROM par
+       UNION ALL SELECT fname_norm, k0, h_order, sort_date, _pos FROM par WHERE fname_norm IS NOT NULL),
+pdn AS (SELECT DISTINCT name FROM pn),
+chd AS (SELECT * FROM r4 WHERE hierarchy IN ('SOW', 'Amendment', 'Schedule')),
+cdn AS (SELECT DISTINCT cname AS c FROM chd),
+mt AS (SELECT c, name FROM cdn JOIN pdn ON c = name OR (c <> '' AND name <> '' AND (contains(name, c) OR contains(c, name)))),
+cand AS (SELECT mt.c, pn.k0, pn.h_order, pn.sort_date, pn._pos AS ppos FROM mt JOIN pn ON pn.name = mt.name),
+bestc AS (SELECT c, ppos FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY k0, h_order, sort_date, ppos) AS rn FROM cand) WHERE rn = 1),
+r5 AS (SELECT r4.*, CASE WHEN r4.hierarchy IN ('SOW', 'Amendment', 'Schedule') THEN b.ppos END AS parent_pos
+       FROM r4 LEFT JOIN bestc b ON b.c = r4.cname),
+sq AS (SELECT _pos, row_number() OVER (ORDER BY h_order, sort_date, _pos) AS seq FROM r5
+       WHERE hierarchy NOT IN ('SOW', 'Amendment', 'Schedule') OR parent_pos IS NULL),
+rn AS (SELECT _pos, row_number() OVER (PARTITION BY parent_pos, hierarchy ORDER BY h_order, sort_date, _pos) AS run_num
+       FROM r5 WHERE hierarchy IN ('SOW', 'Amendment', 'Schedule') AND parent_pos IS NOT NULL AND parsed_num IS NULL),
+r6 AS (SELECT r5.*, sq.seq, coalesce(r5.parsed_num, rn.run_num, 1) AS child_num,
+         CASE WHEN legacy THEN '-LEG' ELSE '' END AS leg
+       FROM r5 LEFT JOIN sq USING (_pos) LEFT JOIN rn USING (_pos)),
+r7 AS (SELECT *, CASE WHEN seq IS NOT NULL THEN
+         '{pfx}-' || type_code || '-' || yymm || '-' || printf('%04d', seq)
+         || CASE WHEN hierarchy NOT IN ('SOW', 'Amendment', 'Schedule') AND draft THEN '-D01' ELSE '' END || leg END AS own_id
+       FROM r6),
+r8 AS (SELECT c.*, p.own_id AS parent_id FROM r7 c LEFT JOIN r7 p ON p._pos = c.parent_pos),
+r9 AS (SELECT *, CASE WHEN hierarchy IN ('SOW', 'Amendment', 'Schedule') AND parent_id IS NOT NULL THEN
+         replace(parent_id, '-LEG', '') || '-' || CASE hierarchy WHEN 'SOW' THEN 'SOW' WHEN 'Amendment' THEN 'A' ELSE 'SCH' END
+         || CASE WHEN child_num > 0 THEN printf('%02d', child_num) ELSE '01' END || leg ELSE own_id END AS registry_id,
+         CASE WHEN hierarchy IN ('SOW', 'Amendment', 'Schedule') AND parent_pos IS NULL
+              THEN 'Missing Parent Link - ' || hierarchy || ' without governing MSA' ELSE '' END AS id_notes
+       FROM r8),
+r10 AS (SELECT *, CASE WHEN contains(registry_id, '-LEG') THEN rtrim(replace(registry_id, '-LEG', ''), '-') || '-LEG'
+                  ELSE registry_id END AS norm_id FROM r9),
+fam AS (SELECT family, arg_min(norm_id, [CASE hierarchy WHEN 'MSA' THEN 0 WHEN 'Standalone' THEN 1 ELSE 2 END,
+                 epoch_us(coalesce(effective_ts, TIMESTAMP '9999-12-31')), h_order, epoch_us(sort_date), _pos]) AS family_parent_id
+        FROM r10 WHERE hierarchy IN ('MSA', 'NDA', 'Standalone') GROUP BY family),
+r11 AS (SELECT r10.*, fam.family_parent_id,
+          CASE WHEN hierarchy IN ('SOW', 'Amendment', 'Schedule') AND (contains(norm_id, '-SOW') OR contains(norm_id, '-A0') OR contains(norm_id, '-SCH'))
+                AND regexp_matches(regexp_extract(norm_id, '[^-]*$'), '^(SOW|A|SCH)')
+               THEN regexp_replace(norm_id, '-[^-]*$', '') END AS d1,
+          CASE WHEN hierarchy IN ('SOW', 'Amendment', 'Schedule')
+                AND regexp_matches(norm_id, '^({pfx}-[A-Z]{{3}}-\\d{{4}}-\\d{{4}})-(?:SOW|SCH|A)\\d{{2}}(?:-LEG)?$')
+               THEN regexp_extract(norm_id, '^({pfx}-[A-Z]{{3}}-\\d{{4}}-\\d{{4}})', 1)
+                    || CASE WHEN contains(norm_id, '-LEG') THEN '-LEG' ELSE '' END END AS d2
+        FROM r10 LEFT JOIN fam USING (family)),
+registry AS (SELECT *, COALESCE(d1, d2, CASE WHEN family_parent_id IS NOT NULL AND family_parent_id <> norm_id
+                                             THEN family_parent_id ELSE '' END) AS parent_registry_id FROM r11)"""
+
+
+ORACLE["i6_registry_ids"] = with_fact("""
+SELECT contract_id, hierarchy, counterparty, family, type_code, norm_id AS registry_id, parent_registry_id,
+  id_notes, CAST(child_num AS INTEGER) AS child_num
+FROM registry""", ctes=_registry_ctes())
