@@ -159,7 +159,9 @@ def family_id(cp: Column, folder: Column, pad: Column, effective: Column,
     effective date, else the as-of year.  ``folder`` is the first non-empty
     folder field ('' when none)."""
     folder = F.when(folder != "", folder).otherwise(F.lit("Unknown"))
-    use = F.when(cp.isNull() | (cp == "") | (cp == "Unknown") | party_garbage(cp), folder).otherwise(cp)
+    # ``cp`` comes from ``clean_counterparty``: every candidate there already
+    # passed the garbage test, so only the empty / 'Unknown' cases remain.
+    use = F.when(cp.isNull() | (cp == "") | (cp == "Unknown"), folder).otherwise(cp)
     name = F.substring(F.regexp_replace(use, "[^a-zA-Z0-9]", ""), 1, 20)
     name = F.when(name == "", F.lit("Unknown")).otherwise(name)
     pyear = F.regexp_extract(F.coalesce(pad, F.lit("")), r"((19|20)\d{2})", 1)

@@ -258,3 +258,82 @@ def q_i6(spark, sf):
     return r.select("contract_id", "hierarchy", "counterparty", "family", "type_code",
                     F.col("norm_id").alias("registry_id"), "parent_registry_id", "id_notes",
                     F.col("child_num").cast("int").alias("child_num"))
+
+
+# ------------------------------------------------------------------ PII
+from ..operators import pii as P  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+@register("c19_pii_scan")
+def q_c19(spark, sf):
+    s = P.pii_scan(table(spark, sf, "documents"))
+    return s.select("doc_id", "lang", "source", F.array_join("pii_types", ",").alias("pii_types"),
+                    F.size("pii_types").alias("n_types"))
+
+
+@register("c19_pii_counts")
+def q_c19c(spark, sf):
+    return P.pii_counts(P.pii_scan(table(spark, sf, "documents")))
+
+
+# ---------------------------------------------------------------- search (S*)
+from ..operators import search as S  # noqa: E402
+
+
+def label_centroids(emb: DataFrame) -> DataFrame:
+    """Query vectors derived from the corpus: the mean vector of each label
+    (one row per label; the dimension bounds each collected list)."""
+    pe = emb.select("label", F.posexplode("embedding").alias("i", "x"))
+    means = pe.groupBy("label", "i").agg(F.avg("x").alias("m"))
+    return means.groupBy("label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("query_vec")) \
+        .withColumnRenamed("label", "query_id")
+
+
+@register("s1_cosine_topk")
+def q_s1(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    r = S.cosine_topk(emb, label_centroids(emb), k=5)
+    return r.select(F.col("query_id").cast("bigint").alias("query_id"), "vec_id",
+                    F.col("rank").cast("int").alias("rank"), F.round("cosine", 4).alias("cosine"))
+
+
+@register("s4_similar_neighbours")
+def q_s4(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    q = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    r = S.cosine_topk(emb, q, k=3)
+    lab = emb.select(F.col("vec_id"), F.col("label").alias("neighbour_label"))
+    return r.join(lab, "vec_id").select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"),
+                                        "neighbour_label")
+
+
+def contracts_with_vectors(spark, sf) -> DataFrame:
+    """The collection with a vector per contract: embedding ``_pos % count``."""
+    ct = contracts(spark, sf)
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = emb.select(F.count(F.lit(1))).scalar()
+    return ct.join(emb, F.col("_pos") % n == F.col("vec_id"), "left")
+
+
+@register("s3_hybrid_search")
+def q_s3(spark, sf):
+    coll = contracts_with_vectors(spark, sf)
+    emb = table(spark, sf, "embeddings")
+    qvec = label_centroids(emb).where(F.col("query_id") == 0).first()["query_vec"]
+    r = S.hybrid_search(coll, "furniture reseller agreement", list(qvec), n=10)
+    return r.select("contract_id", "metadata_score", F.round("hybrid_score", 3).alias("hybrid_score"))
+
+
+@register("s5_render_results")
+def q_s5(spark, sf):
+    coll = contracts_with_vectors(spark, sf)
+    emb = table(spark, sf, "embeddings")
+    qvec = label_centroids(emb).where(F.col("query_id") == 0).first()["query_vec"]
+    return S.render_results(S.hybrid_search(coll, "oem distributor", list(qvec), n=5))
+
+
+@register("s6_dimension_check")
+def q_s6(spark, sf):
+    return S.dimension_check(table(spark, sf, "embeddings"))

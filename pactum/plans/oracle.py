@@ -436,3 +436,76 @@ ORACLE["i6_registry_ids"] = with_fact("""
 SELECT contract_id, hierarchy, counterparty, family, type_code, norm_id AS registry_id, parent_registry_id,
   id_notes, CAST(child_num AS INTEGER) AS child_num
 FROM registry""", ctes=_registry_ctes())
+
+
+# ------------------------------------------------------------------ PII
+def _wb(p: str) -> str:
+    """Unicode-aware word boundary written out for RE2 (yes/no tests)."""
+    return p.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])", 1)[::-1].replace(
+        r"\b"[::-1], r"(?:^|$|[^\p{L}\p{N}_])"[::-1], 1)[::-1]
+
+
+def _pii_sql(t: str) -> str:
+    from ..operators.pii import PII_PATTERNS
+    parts = ", ".join(f"CASE WHEN regexp_matches({t}, '{_wb(p)}') THEN '{n}' END" for n, p in PII_PATTERNS)
+    return f"list_filter([{parts}], lambda x: x IS NOT NULL)"
+
+
+ORACLE["c19_pii_scan"] = f"""
+SELECT doc_id, lang, source, array_to_string(pt, ',') AS pii_types, CAST(len(pt) AS INTEGER) AS n_types
+FROM (SELECT doc_id, lang, source, {_pii_sql("coalesce(text, '')")} AS pt FROM documents)"""
+
+ORACLE["c19_pii_counts"] = f"""
+SELECT lang, source, pii_type, COUNT(*) AS n_docs FROM (
+  SELECT lang, source, unnest({_pii_sql("coalesce(text, '')")}) AS pii_type FROM documents)
+GROUP BY lang, source, pii_type"""
+
+
+# ---------------------------------------------------------------- search (S*)
+_CENTROIDS = """
+cen AS (SELECT label AS query_id, list(m ORDER BY i) AS qv FROM (
+  SELECT label, i, avg(CAST(e AS DOUBLE)) AS m FROM (
+    SELECT label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)
+  GROUP BY label, i) GROUP BY label)"""
+
+ORACLE["s1_cosine_topk"] = f"""
+WITH {_CENTROIDS.strip()},
+sc AS (SELECT c.query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.qv) AS cosine
+       FROM cen c, embeddings e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sc)
+SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, CAST(rank AS INTEGER) AS rank, ROUND(cosine, 4) AS cosine
+FROM rk WHERE rank <= 5"""
+
+ORACLE["s4_similar_neighbours"] = """
+WITH sc AS (SELECT q.vec_id AS query_id, e.vec_id, e.label AS neighbour_label,
+                   list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine
+            FROM embeddings q, embeddings e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM sc)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, neighbour_label FROM rk WHERE rank <= 3"""
+
+ORACLE["s6_dimension_check"] = """
+SELECT CAST(len(embedding) AS INTEGER) AS dim, COUNT(*) AS n_vectors FROM embeddings GROUP BY 1"""
+
+
+def _hybrid_sql(query: str, n: int, cols: str) -> str:
+    words = [w for w in query.lower().split() if len(w) > 2]
+    ms = " + ".join(
+        f"CASE WHEN contains(lower(contract_id), '{w}') THEN 50 ELSE 0 END"
+        f" + CASE WHEN contains(lower(coalesce(contract_type, '')), '{w}') THEN 20 ELSE 0 END" for w in words)
+    return with_fact(f"""
+SELECT {cols} FROM (
+  SELECT contract_id, text, metadata_score, semantic_score,
+         metadata_score * 0.7 + semantic_score * 0.3 AS hybrid_score FROM (
+    SELECT ct.contract_id, ct.text, LEAST({ms}, 100) AS metadata_score,
+           (1 - COALESCE(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cen.qv), 2.0)) * 100 AS semantic_score
+    FROM contracts ct LEFT JOIN embeddings e ON e.vec_id = ct._pos % (SELECT COUNT(*) FROM embeddings)
+    CROSS JOIN (SELECT qv FROM cen WHERE query_id = 0) cen))
+ORDER BY hybrid_score DESC, contract_id LIMIT {n}""", ctes=_CENTROIDS)
+
+
+ORACLE["s3_hybrid_search"] = _hybrid_sql(
+    "furniture reseller agreement", 10, "contract_id, metadata_score, ROUND(hybrid_score, 3) AS hybrid_score")
+ORACLE["s5_render_results"] = _hybrid_sql(
+    "oem distributor", 5,
+    "contract_id, printf('Match: %.1f%% (Name/Party: %.0f%%, Content: %.1f%%)', hybrid_score, "
+    "CAST(metadata_score AS DOUBLE), semantic_score) AS score_line, substr(coalesce(text, ''), 1, 300) || '...' AS excerpt")
