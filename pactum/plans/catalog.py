@@ -337,3 +337,77 @@ def q_s5(spark, sf):
 @register("s6_dimension_check")
 def q_s6(spark, sf):
     return S.dimension_check(table(spark, sf, "embeddings"))
+
+
+# -------------------------------------------------------------- clauses (C*)
+from ..operators import clauses as C  # noqa: E402
+from ..sources.contracts import contract_documents  # noqa: E402
+
+
+@register("c13_clause_terms")
+def q_c13(spark, sf):
+    return C.clause_terms(contract_documents(spark, sf)).drop("_pos")
+
+
+@register("c18_renewal_terms")
+def q_c18(spark, sf):
+    d = contract_documents(spark, sf)
+    return d.select("contract_id", C.renewal_terms(F.col("text")).alias("r")).select("contract_id", "r.*")
+
+
+@register("c16_sections")
+def q_c16(spark, sf):
+    return C.sections(contract_documents(spark, sf), "contract_id")
+
+
+@register("c15_defined_terms")
+def q_c15(spark, sf):
+    return C.defined_terms(contract_documents(spark, sf), "contract_id") \
+        .withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+@register("c25_contract_refs")
+def q_c25(spark, sf):
+    return C.contract_refs(contract_documents(spark, sf), "contract_id")
+
+
+@register("c26_relationship_flags")
+def q_c26(spark, sf):
+    d = contract_documents(spark, sf)
+    return d.select("contract_id", C.relationship_flags(F.col("text")).alias("f"),
+                    C.term_length(F.col("text")).alias("term_length"),
+                    C.enterprise_type(F.col("text")).alias("enterprise_type")) \
+        .select("contract_id", "f.*", "term_length", "enterprise_type")
+
+
+@register("c4_date_literal")
+def q_c4(spark, sf):
+    d = contract_documents(spark, sf)
+    return d.select("contract_id", C.date_literal(F.col("text")).alias("date_literal"))
+
+
+@register("c30_notice_days")
+def q_c30(spark, sf):
+    ct = contracts(spark, sf)
+    return ct.select("contract_id", "payment_terms",
+                     C.notice_days(F.col("payment_terms")).alias("days"),
+                     C.notice_days(F.col("payment_terms"), paren=True).alias("days_paren"))
+
+
+@register("c31_contract_value")
+def q_c31(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    r = table(spark, sf, "region").select("r_regionkey", "r_name")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey) \
+        .join(r, n.n_regionkey == r.r_regionkey)
+    region = F.when(F.col("r_name").isin("EUROPE", "MIDDLE EAST", "AFRICA"), "EMEA").otherwise("Other")
+    amount = F.format_string("%.2f", F.col("o_totalprice"))
+    text = (F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("£"), amount))
+            .when(F.col("o_orderkey") % 4 == 1, amount)
+            .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("$"), amount))
+            .otherwise(F.concat(F.lit("€"), amount)))
+    v = C.contract_value(text, region)
+    return j.select("o_orderkey", text.alias("value_text"), region.alias("region"),
+                    F.round(v["amount"], 2).alias("amount"), v["currency"].alias("currency"))

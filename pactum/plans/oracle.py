@@ -509,3 +509,129 @@ ORACLE["s5_render_results"] = _hybrid_sql(
     "oem distributor", 5,
     "contract_id, printf('Match: %.1f%% (Name/Party: %.0f%%, Content: %.1f%%)', hybrid_score, "
     "CAST(metadata_score AS DOUBLE), semantic_score) AS score_line, substr(coalesce(text, ''), 1, 300) || '...' AS excerpt")
+
+
+# -------------------------------------------------------------- clauses (C*)
+def _rx(p: str) -> str:
+    return "'" + _sqlq(p) + "'"
+
+
+def _first(t: str, patterns, flags="(?i)", group=1) -> str:
+    return "COALESCE(" + ", ".join(
+        f"CASE WHEN regexp_matches({t}, {_rx(flags + p)}) THEN regexp_extract({t}, {_rx(flags + p)}, {group}) END"
+        for p in patterns) + ")"
+
+
+def _clause_sql() -> str:
+    from ..operators import clauses as C
+    tn = "tn"
+    perp = "COALESCE(" + ", ".join(
+        f"CASE WHEN regexp_matches(tn, {_rx('(?i)' + p)}) THEN regexp_extract(tn, {_rx('(?i)(.{0,50}(?:' + p + ').{0,300})')}, 1) END"
+        for p in C.PERPETUAL_PATTERNS) + ")"
+    auto = "COALESCE(" + ", ".join(
+        f"CASE WHEN regexp_matches(tn, {_rx('(?i)' + p)}) THEN regexp_extract(tn, {_rx('(?i)((?:' + p + ').{0,200})')}, 1) END"
+        for p in C.AUTO_RENEW_PATTERNS) + ")"
+    ren_ctx = "(?i)" + C.RENEWAL_CONTEXT_DURATION
+    notice_after = "(?i)" + C.NOTICE_AFTER
+    pay = "(?i)payments?[^.]*?(" + C.NOTICE_DURATION + ")"
+    nd = "(?i)(" + C.NOTICE_DURATION + ")"
+    return f"""
+cd0 AS (SELECT contract_id, text AS raw, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS tn FROM contract_documents),
+cd1 AS (SELECT *, {perp} AS perp_ctx, {auto} AS auto_ctx, regexp_extract(tn, {_rx('(?i)' + C.TFC_CLAUSE)}, 0) AS tfc,
+          {_first(tn, C.RENEWAL_TERM_PATTERNS)} AS ren_fb FROM cd0),
+clause_terms AS (
+ SELECT contract_id,
+   trim(COALESCE(ren_fb, CASE WHEN regexp_matches(auto_ctx, {_rx(ren_ctx)}) THEN regexp_extract(auto_ctx, {_rx(ren_ctx)}, 1) END)) AS renewal_term,
+   trim({_first(tn, C.RENEWAL_NOTICE_PATTERNS)}) AS renewal_notice_period,
+   trim({_first(tn, C.TERMINATION_NOTICE_PATTERNS)}) AS termination_notice_period,
+   perp_ctx IS NOT NULL AS perpetual,
+   trim(CASE WHEN regexp_matches(perp_ctx, {_rx(notice_after)}) THEN regexp_extract(perp_ctx, {_rx(notice_after)}, 1) END) AS perpetual_notice_period,
+   auto_ctx IS NOT NULL AS auto_renewal,
+   CASE WHEN regexp_matches(tn, {_rx(pay)}) THEN regexp_extract(tn, {_rx(pay)}, 1) END AS payment_terms,
+   CASE WHEN regexp_matches(tn, {_rx('(?i)' + C.LATE_CHARGE)}) THEN trim(regexp_extract(tn, {_rx('(?i)' + C.LATE_CHARGE)}, 0)) END AS late_charge,
+   CASE WHEN tfc <> '' THEN 'Yes' ELSE 'No' END AS termination_for_convenience,
+   CASE WHEN tfc <> '' AND regexp_matches(tfc, {_rx(nd)}) THEN regexp_extract(tfc, {_rx(nd)}, 1) END AS termination_for_convenience_notice,
+   CASE WHEN tfc <> '' THEN substr(trim(tfc), 1, 250) END AS termination_for_convenience_clause,
+   CASE WHEN regexp_matches(coalesce(raw, ''), {_rx('(?i)' + C.GOVERNING_LAW)}) THEN trim(regexp_extract(coalesce(raw, ''), {_rx('(?i)' + C.GOVERNING_LAW)}, 1)) END AS governing_law,
+   CASE WHEN regexp_matches(coalesce(raw, ''), {_rx('(?is)' + C.PURPOSE)}) THEN regexp_replace(trim(regexp_extract(coalesce(raw, ''), {_rx('(?is)' + C.PURPOSE)}, 1)), '\\s+', ' ', 'g') END AS purpose
+ FROM cd1)"""
+
+
+ORACLE["c13_clause_terms"] = with_fact("SELECT * FROM clause_terms", ctes=_clause_sql())
+
+ORACLE["c18_renewal_terms"] = with_fact("""
+SELECT contract_id, regexp_matches(t, '(?i)automatically renew') AS has_auto_renewal,
+  CASE WHEN regexp_matches(t, '(?i)(\\d+)\\s*days?\\s*(?:prior\\s*)?notice') THEN regexp_extract(t, '(?i)(\\d+)\\s*days?\\s*(?:prior\\s*)?notice', 1) || ' days' END AS notice_period,
+  CASE WHEN regexp_matches(t, '(?i)renew for (?:an additional |a )?(\\d+[- ](year|month|day))') THEN regexp_extract(t, '(?i)renew for (?:an additional |a )?(\\d+[- ](year|month|day))', 1) END AS renewal_term
+FROM (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents)""")
+
+
+def _sections_sql() -> str:
+    from ..operators.clauses import SECTION_PATTERNS
+    parts = " UNION ALL ".join(
+        f"SELECT contract_id, '{n}' AS section, substr(regexp_extract(t, {_rx('(?is)' + p)}, 1), 1, 200) AS snippet "
+        f"FROM cdx WHERE regexp_matches(t, {_rx('(?is)' + p)})" for n, p in SECTION_PATTERNS)
+    return parts
+
+
+ORACLE["c16_sections"] = with_fact(
+    _sections_sql(), ctes="cdx AS (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents)")
+
+ORACLE["c25_contract_refs"] = with_fact("""
+SELECT contract_id, ref FROM (
+  SELECT contract_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '(?i)(?:MSA|SOW|NDA|Agreement)\\s*[#-]?\\s*(\\d{4}-\\d{3,4}|\\d+)', 1))) AS ref
+  FROM contract_documents)""")
+
+
+def _c26_sql() -> str:
+    from ..operators.clauses import ENTERPRISE_TYPES
+    et = "CASE " + " ".join(f"WHEN contains(lower(t), '{x.lower()}') THEN '{x}'" for x in ENTERPRISE_TYPES) + " END"
+    tl = "(?i)(?:initial\\s+term|term\\s+of).*?(\\d+)\\s+(year|month)"
+    return f"""
+SELECT contract_id, regexp_matches(t, '(?i)amend(?:s|ment|ing)') AS amendment_language,
+  regexp_matches(t, '(?i)master\\s+service\\s+agreement') AS mentions_msa,
+  CASE WHEN regexp_matches(t, '{tl}') THEN regexp_extract(t, '{tl}', 1) || ' ' || regexp_extract(t, '{tl}', 2) || '(s)' END AS term_length,
+  {et} AS enterprise_type
+FROM (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents)"""
+
+
+ORACLE["c26_relationship_flags"] = with_fact(_c26_sql())
+
+
+def _c4_sql() -> str:
+    from ..operators.clauses import DATE_LITERAL_PATTERNS
+    hits = ", ".join(
+        f"CASE WHEN regexp_matches(t, {_rx('(?i)' + p)}) THEN regexp_replace(replace(regexp_extract(t, {_rx('(?i)(' + p + ')')}, 1), '  ', ' '), '^[ ,.;]+|[ ,.;]+$', '', 'g') END"
+        for p in DATE_LITERAL_PATTERNS)
+    y = "regexp_extract(t, '\\b(\\d{4})\\b', 1)"
+    return f"""
+SELECT contract_id, COALESCE({hits},
+  CASE WHEN regexp_matches(t, '\\b(\\d{{4}})\\b') AND TRY_CAST({y} AS INTEGER) BETWEEN 1900 AND 2099 THEN {y} END) AS date_literal
+FROM (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents)"""
+
+
+ORACLE["c4_date_literal"] = with_fact(_c4_sql())
+
+ORACLE["c30_notice_days"] = with_fact("""
+SELECT contract_id, payment_terms,
+  CASE WHEN coalesce(payment_terms, '') <> '' AND payment_terms NOT IN ('Unknown', 'Not found') THEN
+    COALESCE(TRY_CAST(NULLIF(regexp_extract(payment_terms, '(?i)(\\d+)\\s*(?:days?|day)', 1), '') AS INTEGER),
+             TRY_CAST(NULLIF(regexp_extract(payment_terms, '(?i)(\\d+)\\s*(?:months?|month)', 1), '') AS INTEGER) * 30,
+             TRY_CAST(NULLIF(regexp_extract(payment_terms, '(?i)(\\d+)\\s*(?:weeks?|week)', 1), '') AS INTEGER) * 7) END AS days,
+  CASE WHEN coalesce(payment_terms, '') <> '' AND payment_terms NOT IN ('Unknown', 'Not found') THEN
+    COALESCE(TRY_CAST(NULLIF(regexp_extract(payment_terms, '(?i)(\\d+)\\)?\\s*(?:days?|day)', 1), '') AS INTEGER),
+             TRY_CAST(NULLIF(regexp_extract(payment_terms, '(?i)(\\d+)\\)?\\s*(?:months?|month)', 1), '') AS INTEGER) * 30,
+             TRY_CAST(NULLIF(regexp_extract(payment_terms, '(?i)(\\d+)\\)?\\s*(?:weeks?|week)', 1), '') AS INTEGER) * 7) END AS days_paren
+FROM contracts""")
+
+ORACLE["c31_contract_value"] = """
+WITH j AS (SELECT o.o_orderkey, o.o_totalprice, r.r_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+           JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
+v AS (SELECT o_orderkey, CASE WHEN r_name IN ('EUROPE', 'MIDDLE EAST', 'AFRICA') THEN 'EMEA' ELSE 'Other' END AS region,
+        CASE o_orderkey % 4 WHEN 0 THEN '£' || printf('%.2f', o_totalprice) WHEN 1 THEN printf('%.2f', o_totalprice)
+             WHEN 2 THEN '$' || printf('%.2f', o_totalprice) ELSE '€' || printf('%.2f', o_totalprice) END AS value_text FROM j)
+SELECT o_orderkey, value_text, region,
+  ROUND(TRY_CAST(regexp_replace(value_text, '[^0-9.]', '', 'g') AS DOUBLE), 2) AS amount,
+  CASE WHEN contains(value_text, '£') THEN 'GBP' WHEN contains(value_text, '€') THEN 'EUR' WHEN contains(value_text, '$') THEN 'USD'
+       WHEN region = 'EMEA' THEN 'EUR' ELSE 'USD' END AS currency
+FROM v"""
