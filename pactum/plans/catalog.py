@@ -411,3 +411,70 @@ def q_c31(spark, sf):
     v = C.contract_value(text, region)
     return j.select("o_orderkey", text.alias("value_text"), region.alias("region"),
                     F.round(v["amount"], 2).alias("amount"), v["currency"].alias("currency"))
+
+
+# ------------------------------------------------------------ guard
+from ..operators import guard as GD  # noqa: E402
+
+
+@register("e34_clause_risks")
+def q_e34(spark, sf):
+    r = GD.clause_risks(contract_documents(spark, sf), "contract_id", rule_set="pipeline")
+    return GD.visible_risks(r, "internal").select("contract_id", F.col("ordinal").cast("int").alias("ordinal"),
+                                                  "level", "risk")
+
+
+@register("e35_enterprise_risks")
+def q_e35(spark, sf):
+    r = GD.clause_risks(contract_documents(spark, sf), "contract_id", rule_set="enterprise")
+    return r.select("contract_id", F.col("ordinal").cast("int").alias("ordinal"), "level", "risk")
+
+
+@register("e36_multi_agent_risks")
+def q_e36(spark, sf):
+    r = GD.multi_agent_risks(contract_documents(spark, sf), "contract_id")
+    return r.select("contract_id", F.col("ordinal").cast("int").alias("ordinal"), "risk")
+
+
+def _user_turns(spark, sf):
+    return table(spark, sf, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+@register("e37_input_screening")
+def q_e37(spark, sf):
+    return GD.screen_inputs(_user_turns(spark, sf), policy="block", cfg=CFG)
+
+
+@register("e37_input_screening_warn")
+def q_e37w(spark, sf):
+    return GD.screen_inputs(_user_turns(spark, sf), policy="warn", cfg=CFG)
+
+
+@register("e38_restricted_parties")
+def q_e38(spark, sf):
+    return GD.restricted_party_hits(contract_documents(spark, sf), "contract_id", cfg=CFG)
+
+
+def access_events(spark, sf) -> DataFrame:
+    """Access log derived from the event stream: view -> metadata read,
+    click -> risk analysis; clearance from the event's ``k`` property."""
+    ev = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return ev.select("event_id", "user_id", "ts",
+                     F.when(F.col("event_type") == "view", "metadata_extraction")
+                     .when(F.col("event_type") == "click", "risk_analysis")
+                     .otherwise(F.col("event_type")).alias("action"),
+                     F.element_at(F.array(F.lit("public"), F.lit("internal"), F.lit("confidential")),
+                                  (F.pmod(k, F.lit(3)) + 1).cast("int")).alias("clearance"))
+
+
+@register("e41_access_audit")
+def q_e41(spark, sf):
+    return GD.access_audit(access_events(spark, sf)).withColumn("ts", ts("ts"))
+
+
+@register("w1_last_events_per_user")
+def q_w1(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    return GD.last_n_per_user(ev, 10).select("user_id", "event_id", F.col("rank").cast("int").alias("rank"),
+                                             ts("ts").alias("ts"), "event_type")

@@ -635,3 +635,99 @@ SELECT o_orderkey, value_text, region,
   CASE WHEN contains(value_text, '£') THEN 'GBP' WHEN contains(value_text, '€') THEN 'EUR' WHEN contains(value_text, '$') THEN 'USD'
        WHEN region = 'EMEA' THEN 'EUR' ELSE 'USD' END AS currency
 FROM v"""
+
+
+# ------------------------------------------------------------ guard
+def _rules_sql(rules, clearance_levels=None) -> str:
+    parts = []
+    for i, (level, risk, pattern, negate) in enumerate(rules):
+        if pattern is None:
+            cond = "regexp_matches(t, '(?i)automatically renew')"
+        else:
+            cond = f"regexp_matches(t, {_rx('(?i)' + pattern)})"
+        if negate:
+            cond = f"NOT {cond}"
+        if clearance_levels is not None and level not in clearance_levels:
+            continue
+        parts.append(f"SELECT contract_id, {i} AS ordinal, '{level}' AS level, '{_sqlq(risk)}' AS risk "
+                     f"FROM gx WHERE {cond}")
+    return " UNION ALL ".join(parts)
+
+
+_GX = "gx AS (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents)"
+
+
+def _e34() -> str:
+    from ..operators.guard import PIPELINE_RULES
+    return with_fact(_rules_sql(PIPELINE_RULES, {"high", "medium"}), ctes=_GX)
+
+
+def _e35() -> str:
+    from ..operators.guard import ENTERPRISE_RULES
+    return with_fact(_rules_sql(ENTERPRISE_RULES), ctes=_GX)
+
+
+def _e36() -> str:
+    from ..operators.guard import MULTI_AGENT_RULES
+    parts = []
+    for i, (n, p) in enumerate(MULTI_AGENT_RULES):
+        if "(?!" in p:
+            # lookahead rewritten: some line has the phrase with no 'notice' after it on that line
+            cond = ("list_bool_or(list_transform(string_split(t, chr(10)), lambda l: "
+                    "regexp_matches(l, '(?i)automatically\\s+renew') AND NOT regexp_matches("
+                    "regexp_extract(l, '(?i)^.*automatically\\s+renew(.*)$', 1), '(?i)notice')))")
+        else:
+            cond = f"regexp_matches(t, {_rx('(?i)' + p)})"
+        parts.append(f"SELECT contract_id, {i} AS ordinal, '{_sqlq(n.upper())}' AS risk FROM gx WHERE {cond}")
+    return with_fact(" UNION ALL ".join(parts), ctes=_GX)
+
+
+ORACLE["e34_clause_risks"] = _e34()
+ORACLE["e35_enterprise_risks"] = _e35()
+ORACLE["e36_multi_agent_risks"] = _e36()
+
+
+def _e37(policy: str) -> str:
+    from ..config import FIXTURE_CONFIG
+    from ..operators.guard import INJECTION_BLOCK, INJECTION_WARN
+    kw = "CASE " + " ".join(f"WHEN contains(lower(t), '{k.lower()}') THEN '{k}'"
+                            for k in FIXTURE_CONFIG.blocked_keywords) + " END"
+    inj = "(?i)(?:" + "|".join(f"(?:{p})" for p in (INJECTION_BLOCK if policy == "block" else INJECTION_WARN)) + ")"
+    if policy == "block":
+        verdict = ("CASE WHEN len(pt) > 0 THEN 'blocked_pii' WHEN kw IS NOT NULL THEN 'blocked_keyword' "
+                   "WHEN inj THEN 'blocked_injection' ELSE 'allowed' END")
+    else:
+        verdict = ("CASE WHEN kw IS NOT NULL THEN 'blocked_keyword' WHEN inj THEN 'blocked_injection' "
+                   "WHEN len(pt) > 0 THEN 'warn_pii' ELSE 'allowed' END")
+    return f"""
+SELECT conv_id, turn, array_to_string(pt, ',') AS pii_types, kw AS blocked_keyword, {verdict} AS verdict FROM (
+  SELECT conv_id, turn, {_pii_sql('t')} AS pt, {kw} AS kw, regexp_matches(t, {_rx(inj)}) AS inj
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user'))"""
+
+
+ORACLE["e37_input_screening"] = _e37("block")
+ORACLE["e37_input_screening_warn"] = _e37("warn")
+
+
+def _e38() -> str:
+    from ..config import FIXTURE_CONFIG
+    vals = ", ".join(f"('{_sqlq(p)}')" for p in FIXTURE_CONFIG.restricted_parties)
+    return with_fact(f"""
+SELECT d.contract_id, p.party FROM contract_documents d JOIN (VALUES {vals}) p(party)
+  ON contains(lower(coalesce(d.text, '')), lower(p.party))""")
+
+
+ORACLE["e38_restricted_parties"] = _e38()
+
+ORACLE["e41_access_audit"] = f"""
+WITH a AS (SELECT user_id, ts, CASE event_type WHEN 'view' THEN 'metadata_extraction' WHEN 'click' THEN 'risk_analysis'
+                  ELSE event_type END AS action,
+             ['public', 'internal', 'confidential'][CAST(((TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 3) + 3) % 3 + 1 AS INTEGER)] AS clearance
+           FROM events)
+SELECT user_id, strftime(ts, {TS}) AS ts, action, clearance AS user_level, 'Public user ran ' || action AS warning
+FROM a WHERE clearance = 'public' AND action IN ('metadata_extraction', 'risk_analysis')"""
+
+ORACLE["w1_last_events_per_user"] = f"""
+SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank, strftime(ts, {TS}) AS ts, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
+WHERE rank <= 10"""
