@@ -66,14 +66,45 @@ def gdpr_flag(c: Column) -> Column:
 
 
 def humanise_key(c: Column) -> Column:
-    """``gdpr_reason`` -> ``GDPR Reason``; ``sow`` / ``msa`` / ``nda`` upper."""
+    """``gdpr_reason`` -> ``GDPR Reason``; 'gdpr' and 'msa' parts are
+    upper-cased, every other part capitalised."""
     parts = F.split(c, "_")
-    acr = F.array(*[F.lit(x) for x in ("gdpr", "sow", "msa", "nda", "id", "pii")])
-    words = F.transform(parts, lambda w: F.when(F.array_contains(acr, F.lower(w)), F.upper(w))
-                        .otherwise(F.initcap(w)))
+    words = F.transform(parts, lambda w: F.when(F.lower(w).isin("gdpr", "msa"), F.upper(w))
+                        .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))))
     return F.array_join(words, " ")
 
 
 def excerpt(c: Column, n: int) -> Column:
     """First n characters, plus an ellipsis when longer."""
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("…"))).otherwise(c)
+
+
+# Standard string defaults (D5/B3); an empty default becomes 'Unknown'.
+STRING_DEFAULTS = (
+    ("contract_type", "Auto-detected"), ("parties", "Unknown"), ("gdpr_applicable", "Unknown"),
+    ("gdpr_reason", ""), ("region", "Unknown"), ("sharepoint_department", "General"),
+    ("sharepoint_owner_primary", ""), ("termination_for_convenience", "Unknown"),
+    ("governing_law", "Unknown"), ("effective_date", "Unknown"), ("termination_date", "Unknown"),
+    ("initial_term", "Unknown"), ("renewal_term", "Unknown"),
+)
+# Boolean defaults (D5/B3), applied when the key is absent.
+BOOLEAN_DEFAULTS = (
+    ("auto_renewal", False), ("perpetual", False), ("has_related_documents", False), ("has_tables", False),
+    ("ocr_applied", False), ("is_draft", False), ("is_archive", False), ("is_terminated", False),
+    ("subject_to_gdpr", False),
+)
+
+
+def default_backfill(df: DataFrame, owner_default: str = "") -> DataFrame:
+    """Fill the 13 standard string keys (NULL or '' is missing) and the 9
+    boolean keys (NULL is missing); other columns pass through."""
+    out = df
+    for name, default in STRING_DEFAULTS:
+        d = owner_default if name == "sharepoint_owner_primary" else default
+        d = d if d else "Unknown"
+        c = col_or_null(df, name)
+        out = out.withColumn(name, F.when(c.isNull() | (c.cast("string") == ""), F.lit(d))
+                             .otherwise(c.cast("string")))
+    for name, default in BOOLEAN_DEFAULTS:
+        out = out.withColumn(name, F.coalesce(col_or_null(df, name, "boolean"), F.lit(default)))
+    return out

@@ -478,3 +478,89 @@ def q_w1(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     return GD.last_n_per_user(ev, 10).select("user_id", "event_id", F.col("rank").cast("int").alias("rank"),
                                              ts("ts").alias("ts"), "event_type")
+
+
+# ------------------------------------------------------- projections (B*)
+from ..functions import missing as M  # noqa: E402
+
+
+@register("b3_default_backfill")
+def q_b3(spark, sf):
+    ct = contracts(spark, sf).select("contract_id", "contract_type", "gdpr_applicable", "region",
+                                     "termination_for_convenience", "governing_law", "effective_date", "is_draft")
+    return M.default_backfill(ct)
+
+
+@register("b5_value_coercions")
+def q_b5(spark, sf):
+    ct = contracts(spark, sf)
+    return ct.select(
+        "contract_id",
+        M.yes_no(F.col("termination_for_convenience"), "Unknown").alias("tfc_yes_no"),
+        M.yes_no(F.col("gdpr_applicable"), "Unknown").alias("gdpr_yes_no"),
+        M.display_text(F.col("governing_law")).alias("law_display"),
+        M.display_bool(F.col("is_draft")).alias("draft_display"),
+        M.gdpr_flag(F.col("gdpr_applicable")).alias("gdpr_flag"),
+        M.value_missing(F.col("payment_terms")).alias("payment_missing"),
+        M.pick(F.col("counterparty_name"), F.col("parent_folder_name"), missing=M.MISSING_EXPORT,
+               default="Unknown").alias("counterparty_pick"),
+        M.excerpt(F.col("text"), 40).alias("excerpt"))
+
+
+@register("b17_humanised_keys")
+def q_b17(spark, sf):
+    ct = contracts(spark, sf)
+    keys = F.array(*[F.lit(k) for k in ct.columns])
+    return ct.select("contract_id", F.explode(keys).alias("key")).select(
+        "contract_id", "key", M.humanise_key(F.col("key")).alias("label"))
+
+
+# ------------------------------------------------------------- ingest (A*, I*)
+from ..operators import ingest as IN  # noqa: E402
+
+
+@register("a3_ingest_outcomes")
+def q_a3(spark, sf):
+    b = IN.document_batch(table(spark, sf, "documents"))
+    return IN.ingest_outcomes(b).select("_pos", "file_name", "size", "source_hash", "contract_id",
+                                        "junk_reason", "needs_ocr", "status")
+
+
+@register("a9_ingest_tally")
+def q_a9(spark, sf):
+    b = IN.document_batch(table(spark, sf, "documents"))
+    return IN.tally(IN.ingest_outcomes(b))
+
+
+@register("a7_idempotent_ingest")
+def q_a7(spark, sf):
+    b = IN.document_batch(table(spark, sf, "documents")).where(F.col("junk_reason").isNull())
+    cols = ["contract_id", "_pos", "file_name", "source_hash"]
+    empty = b.select(*cols).limit(0)
+    once = IN.ingest(empty, b.select(*cols))
+    twice = IN.ingest(once, b.select(*cols))
+    return twice
+
+
+@register("a2_folder_listing")
+def q_a2(spark, sf):
+    return IN.list_files(spark, sf, (".parquet",)).select("file_name", "extension", "length")
+
+
+@register("a5_collection_count")
+def q_a5(spark, sf):
+    return contracts(spark, sf).agg(F.count(F.lit(1)).alias("n_contracts"))
+
+
+@register("a6_recent_listing")
+def q_a6(spark, sf):
+    ct = contracts(spark, sf)
+    return ct.orderBy(F.desc("_pos"), "contract_id").limit(5).select("contract_id", "filename")
+
+
+@register("a4_point_lookup")
+def q_a4(spark, sf):
+    """Batch lookup: which contracts named in the gap work list exist."""
+    ct = contracts(spark, sf)
+    wanted = G.work_list(G.gap_entries(ct), 20).select("contract_id")
+    return ct.join(wanted, "contract_id", "left_semi").select("contract_id", "filename")

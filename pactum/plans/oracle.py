@@ -731,3 +731,91 @@ ORACLE["w1_last_events_per_user"] = f"""
 SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank, strftime(ts, {TS}) AS ts, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
 WHERE rank <= 10"""
+
+
+# ------------------------------------------------------- projections (B*)
+def _b3() -> str:
+    from ..functions.missing import BOOLEAN_DEFAULTS, STRING_DEFAULTS
+    present = {"contract_type", "gdpr_applicable", "region", "termination_for_convenience", "governing_law",
+               "effective_date", "is_draft"}
+    cols = ["contract_id"]
+    for n, d in STRING_DEFAULTS:
+        d = d or "Unknown"
+        cols.append(f"CASE WHEN {n} IS NULL OR {n} = '' THEN '{d}' ELSE {n} END AS {n}" if n in present
+                    else f"'{d}' AS {n}")
+    for n, d in BOOLEAN_DEFAULTS:
+        cols.append(f"coalesce({n}, {str(d).upper()}) AS {n}" if n in present else f"{str(d).upper()} AS {n}")
+    return with_fact("SELECT " + ", ".join(cols) + " FROM contracts")
+
+
+ORACLE["b3_default_backfill"] = _b3()
+
+ORACLE["b5_value_coercions"] = with_fact("""
+SELECT contract_id,
+  CASE WHEN lower(trim(termination_for_convenience)) IN ('yes','true','1','y') THEN 'Yes'
+       WHEN lower(trim(termination_for_convenience)) IN ('no','false','0','n') THEN 'No' ELSE 'Unknown' END AS tfc_yes_no,
+  CASE WHEN lower(trim(gdpr_applicable)) IN ('yes','true','1','y') THEN 'Yes'
+       WHEN lower(trim(gdpr_applicable)) IN ('no','false','0','n') THEN 'No' ELSE 'Unknown' END AS gdpr_yes_no,
+  coalesce(governing_law, 'Unknown') AS law_display,
+  CASE WHEN is_draft IS NULL THEN 'Unknown' WHEN is_draft THEN 'Yes' ELSE 'No' END AS draft_display,
+  coalesce(gdpr_applicable IN ('Yes', 'True', '1'), FALSE) AS gdpr_flag,
+  (payment_terms IS NULL OR lower(trim(payment_terms)) IN ('', 'unknown', 'n/a', 'na', 'not found', 'tbd', 'pending')) AS payment_missing,
+  COALESCE(CASE WHEN counterparty_name NOT IN ('', 'Unknown', 'Not found', 'Not specified', 'N/A', 'None') THEN counterparty_name END,
+           CASE WHEN parent_folder_name NOT IN ('', 'Unknown', 'Not found', 'Not specified', 'N/A', 'None') THEN parent_folder_name END,
+           'Unknown') AS counterparty_pick,
+  CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…' ELSE text END AS excerpt
+FROM contracts""")
+
+
+def _b17() -> str:
+    from ..sources.contracts import CONTRACT_TYPES  # noqa: F401  (column list below is the view's)
+    cols = ["_pos", "contract_id", "counterparty_name", "parent_folder_name", "contract_type", "filename",
+            "effective_date", "expiration_date", "region", "counterparty_address", "gdpr_applicable",
+            "governing_law", "payment_terms", "termination_for_convenience", "contract_status", "is_draft",
+            "contract_group_id", "text"]
+    vals = ", ".join(f"('{c}')" for c in cols)
+    return with_fact(f"""
+SELECT c.contract_id, k.key, array_to_string(list_transform(string_split(k.key, '_'), lambda w:
+    CASE WHEN lower(w) IN ('gdpr', 'msa') THEN upper(w) ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') AS label
+FROM contracts c, (VALUES {vals}) k(key)""")
+
+
+ORACLE["b17_humanised_keys"] = _b17()
+
+
+# ------------------------------------------------------------- ingest (A*, I*)
+_BATCH = """
+b0 AS (SELECT doc_id AS _pos, source || '-' || lang || '.pdf' AS file_name, octet_length(encode(coalesce(text, ''))) AS size,
+         text, sha1(lower(source || '-' || lang || '.pdf') || substr(coalesce(text, ''), 1, 2000)) AS source_hash
+       FROM documents),
+b1 AS (SELECT *, left(coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(file_name, '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'contract'), 40)
+          || '-' || left(source_hash, 10) AS contract_id,
+        CASE WHEN starts_with(file_name, '~$') OR starts_with(file_name, '.~$') THEN 'lock_file'
+             WHEN size < 500 THEN 'too_small'
+             WHEN lower(regexp_extract(file_name, '(\\.[^.]+)$', 1)) NOT IN ('.pdf', '.docx', '.doc') THEN 'unsupported_extension'
+             WHEN length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 50 THEN 'no_text' END AS junk_reason,
+        length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 400
+          AND length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) = 0 AS needs_ocr
+       FROM b0),
+win AS (SELECT contract_id, min(_pos) AS w FROM b1 WHERE junk_reason IS NULL GROUP BY contract_id),
+outcomes AS (SELECT b1.*, CASE WHEN junk_reason IS NOT NULL THEN 'failed' WHEN _pos <> win.w THEN 'skipped'
+                               ELSE 'processed' END AS status
+             FROM b1 LEFT JOIN win USING (contract_id))"""
+
+ORACLE["a3_ingest_outcomes"] = f"""WITH {_BATCH.strip()}
+SELECT _pos, file_name, size, source_hash, contract_id, junk_reason, needs_ocr, status FROM outcomes"""
+
+ORACLE["a9_ingest_tally"] = f"""WITH {_BATCH.strip()}
+SELECT status, COUNT(*) AS n_files, COUNT(*) FILTER (WHERE coalesce(needs_ocr, FALSE)) AS n_ocr FROM outcomes GROUP BY status"""
+
+ORACLE["a7_idempotent_ingest"] = f"""WITH {_BATCH.strip()}
+SELECT contract_id, _pos, file_name, source_hash FROM outcomes WHERE status = 'processed'"""
+
+ORACLE["a5_collection_count"] = with_fact("SELECT COUNT(*) AS n_contracts FROM contracts")
+
+ORACLE["a6_recent_listing"] = with_fact(
+    "SELECT contract_id, filename FROM contracts ORDER BY _pos DESC, contract_id LIMIT 5")
+
+ORACLE["a4_point_lookup"] = with_fact("""
+SELECT c.contract_id, c.filename FROM contracts c
+WHERE c.contract_id IN (SELECT contract_id FROM gaps ORDER BY len(missing) DESC, _pos LIMIT 20)""", ctes=_gap_ctes())
