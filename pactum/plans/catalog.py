@@ -564,3 +564,40 @@ def q_a4(spark, sf):
     ct = contracts(spark, sf)
     wanted = G.work_list(G.gap_entries(ct), 20).select("contract_id")
     return ct.join(wanted, "contract_id", "left_semi").select("contract_id", "filename")
+
+
+# ---------------------------------------------------------- streaming (T*)
+import os as _os  # noqa: E402
+
+from ..streaming import jobs as T  # noqa: E402
+
+
+@register("t1_auto_ingest_stream")
+def q_t1(spark, sf):
+    run = T.new_run_dir(spark, "t1")
+    schema = spark.read.parquet(_os.path.join(sf, "documents.parquet")).schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    T.auto_ingest(spark, sf, ddl, _os.path.join(run, "collection"), _os.path.join(run, "ckpt"),
+                  glob="documents.parquet")
+    return spark.read.parquet(_os.path.join(run, "collection")).select("contract_id", "_pos", "file_name",
+                                                                         "source_hash")
+
+
+@register("t2_high_risk_alerts")
+def q_t2(spark, sf):
+    """Batch body of T2 over the current fact snapshot (version 1)."""
+    f = fact(spark, sf).select("contract_id", "risk_score", F.lit(1).alias("version"),
+                               F.lit(AS_OF).cast("timestamp").alias("updated_at"))
+    return f.where(F.col("risk_score") >= 70).dropDuplicates(["contract_id", "version"]) \
+        .select("contract_id", "risk_score", "version")
+
+
+@register("t6_session_history_stream")
+def q_t6(spark, sf):
+    run = T.new_run_dir(spark, "t6")
+    schema = spark.read.parquet(_os.path.join(sf, "events.parquet")).schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    out = T.run_session_history(spark, sf, ddl, _os.path.join(run, "out"), _os.path.join(run, "ckpt"),
+                                glob="events.parquet")
+    return out.select("user_id", "event_id", F.col("rank").cast("int").alias("rank"), ts("ts").alias("ts"),
+                      "event_type")

@@ -819,3 +819,9 @@ ORACLE["a6_recent_listing"] = with_fact(
 ORACLE["a4_point_lookup"] = with_fact("""
 SELECT c.contract_id, c.filename FROM contracts c
 WHERE c.contract_id IN (SELECT contract_id FROM gaps ORDER BY len(missing) DESC, _pos LIMIT 20)""", ctes=_gap_ctes())
+
+
+# ---------------------------------------------------------- streaming (T*)
+ORACLE["t1_auto_ingest_stream"] = ORACLE["a7_idempotent_ingest"]
+ORACLE["t6_session_history_stream"] = ORACLE["w1_last_events_per_user"]
+ORACLE["t2_high_risk_alerts"] = with_fact("SELECT contract_id, risk_score, 1 AS version FROM fact WHERE risk_score >= 70")
