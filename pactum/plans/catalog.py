@@ -601,3 +601,40 @@ def q_t6(spark, sf):
                                 glob="events.parquet")
     return out.select("user_id", "event_id", F.col("rank").cast("int").alias("rank"), ts("ts").alias("ts"),
                       "event_type")
+
+
+# ------------------------------------------------------- governance
+from ..functions.dates import parse_date_export  # noqa: E402
+
+
+def governance_columns(ct: DataFrame) -> DataFrame:
+    """E18, E21, E23, E24, E31, E32 for every contract of the collection."""
+    g = lambda n: M.col_or_null(ct, n)
+    eff = F.coalesce(*[parse_date_export(g(f)) for f in
+                       ("effective_date", "effective_date_extracted", "start_date", "commencement_date",
+                        "sow_start_date")])
+    exp = F.coalesce(*[parse_date_export(g(f)) for f in
+                       ("expiration_date", "expiry_date", "end_date", "termination_date", "sow_end_date")])
+    exp = F.coalesce(exp, parse_date_export(g("termination_date")))
+    auto_yes = M.yes_no(g("auto_renewal"), "Unknown") == "Yes"
+    return ct.select(
+        "contract_id",
+        R.lifecycle_stage(g("contract_status"), g("is_terminated").cast("boolean"), g("is_draft").cast("boolean"),
+                          eff, exp, AS_OF).alias("lifecycle_stage"),
+        R.risk_level(g("effective_date"), g("contract_type"), g("gdpr_applicable"),
+                     g("termination_for_convenience"), exp, AS_OF).alias("risk_level"),
+        R.days_to_expiry(exp, parse_date_export(g("sow_end_date")), AS_OF).alias("days_to_expiry"),
+        R.audit_flag(eff, AS_OF).alias("audit_flag"),
+        R.duration_label(eff, exp).alias("contract_duration"),
+        F.date_format(R.renewal_date(parse_date_export(g("renewal_date")), exp, auto_yes), "yyyy-MM-dd")
+        .alias("renewal_date"))
+
+
+@register("e18_governance_columns")
+def q_e18(spark, sf):
+    return governance_columns(contracts(spark, sf))
+
+
+@register("k13_weekly_summary")
+def q_k13(spark, sf):
+    return K.weekly_summary(fact(spark, sf), 5, CFG)

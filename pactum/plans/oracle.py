@@ -825,3 +825,43 @@ WHERE c.contract_id IN (SELECT contract_id FROM gaps ORDER BY len(missing) DESC,
 ORACLE["t1_auto_ingest_stream"] = ORACLE["a7_idempotent_ingest"]
 ORACLE["t6_session_history_stream"] = ORACLE["w1_last_events_per_user"]
 ORACLE["t2_high_risk_alerts"] = with_fact("SELECT contract_id, risk_score, 1 AS version FROM fact WHERE risk_score >= 70")
+
+
+# ------------------------------------------------------- governance
+def _export_date(c: str) -> str:
+    fmts = ("%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y", "%Y")
+    tries = ", ".join(f"try_strptime(trim({c}), '{f}')" for f in fmts)
+    return (f"CASE WHEN {c} IS NULL OR {c} IN ('', 'Unknown', 'Not specified', 'Not found') THEN NULL "
+            f"ELSE COALESCE({tries}) END")
+
+
+ORACLE["e18_governance_columns"] = with_fact(f"""
+SELECT contract_id,
+  CASE WHEN lower(coalesce(contract_status, '')) = 'terminated' THEN 'Terminated'
+       WHEN coalesce(is_draft, FALSE) OR lower(coalesce(contract_status, '')) = 'draft' THEN 'Draft'
+       WHEN lower(coalesce(contract_status, '')) IN ('archive', 'superseded') THEN 'Archive'
+       WHEN ex IS NOT NULL AND ex < {AS_OF} THEN 'Expired'
+       WHEN ex IS NOT NULL AND {_days('ex')} <= 90 THEN 'Review'
+       WHEN ef IS NOT NULL AND ef > {AS_OF} THEN 'Pending' ELSE 'Active' END AS lifecycle_stage,
+  CASE WHEN score >= 50 THEN 'High' WHEN score >= 25 THEN 'Medium' ELSE 'Low' END AS risk_level,
+  {_days('ex')} AS days_to_expiry,
+  CASE WHEN ef IS NOT NULL AND CAST(floor((epoch_us({AS_OF}) - epoch_us(ef)) / 86400000000.0) AS INTEGER) >= 730
+       THEN 'Yes' ELSE 'No' END AS audit_flag,
+  concat_ws(' - ', strftime(ef, '%Y-%m-%d'), strftime(ex, '%Y-%m-%d')) AS contract_duration,
+  CAST(NULL AS VARCHAR) AS renewal_date
+FROM (SELECT *,
+  CASE WHEN {_days('ex')} < 0 THEN 40 WHEN {_days('ex')} < 30 THEN 30 WHEN {_days('ex')} < 90 THEN 20 ELSE 0 END
+  + CASE WHEN coalesce(effective_date, 'Unknown') = 'Unknown' THEN 10 ELSE 0 END
+  + CASE WHEN coalesce(contract_type, 'Unknown') = 'Unknown' THEN 10 ELSE 0 END
+  + CASE WHEN lower(coalesce(gdpr_applicable, 'No')) IN ('yes', 'true') THEN 10 ELSE 0 END
+  + CASE WHEN coalesce(termination_for_convenience, 'Unknown') = 'No' THEN 15 ELSE 0 END AS score
+  FROM (SELECT *, {_export_date('effective_date')} AS ef, {_export_date('expiration_date')} AS ex FROM contracts))""")
+
+ORACLE["k13_weekly_summary"] = with_fact("""
+SELECT 'kpi' AS section, 0 AS rank, key, value FROM (
+  SELECT unnest(['total_contracts', 'active_contracts', 'expiring_soon', 'high_risk_contracts', 'unique_companies']) AS key,
+         unnest([COUNT(*), COUNT(*) FILTER (WHERE status = 'Active'), COUNT(*) FILTER (WHERE is_expiring_soon),
+                 COUNT(*) FILTER (WHERE risk_score >= 70), COUNT(DISTINCT company_folder)]) AS value FROM fact)
+UNION ALL SELECT 'by_type', 0, coalesce(contract_type, 'Unknown'), COUNT(*) FROM fact GROUP BY contract_type
+UNION ALL SELECT * FROM (SELECT 'top_expiring', 0, company_folder, CAST(days_until_expiration AS BIGINT) FROM fact
+  WHERE is_expiring_soon ORDER BY days_until_expiration, contract_id LIMIT 5)""")
