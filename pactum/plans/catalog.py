@@ -638,3 +638,31 @@ def q_e18(spark, sf):
 @register("k13_weekly_summary")
 def q_k13(spark, sf):
     return K.weekly_summary(fact(spark, sf), 5, CFG)
+
+
+# ------------------------------------------------------------ sinks
+from . import sinks as SK  # noqa: E402
+
+# Documented collection columns (FIXTURES.md §1.1), used to validate the view.
+COLLECTION_SCHEMA = (
+    "contract_id", "filename", "file_path", "file_type", "relative_label", "source_hash", "upload_date",
+    "char_count", "page_count", "_pos", "text", "embedding", "contract_type", "document_role",
+    "contract_status", "document_status_label", "is_draft", "is_terminated", "is_archive", "parties",
+    "primary_party_name", "primary_party_address", "counterparty_name", "counterparty_address",
+    "party1_name", "party1_address", "party2_name", "party2_address", "effective_date",
+    "effective_date_extracted", "expiration_date", "termination_date", "execution_date", "renewal_date",
+    "sow_start_date", "sow_end_date", "parent_agreement_date", "doc_created", "initial_term", "renewal_term",
+    "renewal_notice_period", "termination_notice_period", "termination_for_convenience",
+    "termination_for_convenience_notice", "perpetual", "perpetual_notice_period", "auto_renewal",
+    "payment_terms", "late_charge", "governing_law", "jurisdiction", "notice_period", "region",
+    "counterparty_region", "gdpr_applicable", "gdpr_reason", "subject_to_gdpr", "folder_name",
+    "parent_folder_name", "grandparent_folder_name", "agreement_folder", "company_folder",
+    "contract_group_id", "document_sequence_label", "document_parent_reference", "related_contract_hint",
+    "expected_related_documents", "sharepoint_department", "sharepoint_owner_primary",
+    "sharepoint_owner_secondary",
+)
+
+
+@register("a13_schema_validation")
+def q_a13(spark, sf):
+    return SK.schema_validation(contracts(spark, sf), list(COLLECTION_SCHEMA))
