@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 
 
 def dense_index(df: DataFrame, order_cols: list[str], n_parts: int | None = None,
@@ -29,9 +29,8 @@ def dense_index(df: DataFrame, order_cols: list[str], n_parts: int | None = None
     if n_parts is None:
         n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = [F.col(c).asc_nulls_first() for c in order_cols]
-    ranged = (df.repartitionByRange(n_parts, *ordered)
-              .withColumn("_part", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n_parts, *ordered)
+                         .withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # prefix sum over (at most n_parts) rows
     offsets = counts.select(

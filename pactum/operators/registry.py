@@ -34,6 +34,7 @@ from ..functions.missing import col_or_null
 from ..functions.sequence import dense_index, rank_within_groups
 from ..functions.textrules import party_garbage
 from ..session import ensure_checkpoint_dir
+from ..session import materialize as checkpointed
 
 # Hierarchy ranks of the id allocation order.
 HIERARCHY_ORDER = {"MSA": 0, "NDA": 1, "Standalone": 2, "SOW": 3, "Amendment": 4, "Schedule": 5}
@@ -161,7 +162,7 @@ def family_id(cp: Column, folder: Column, pad: Column, effective: Column,
     folder = F.when(folder != "", folder).otherwise(F.lit("Unknown"))
     # ``cp`` comes from ``clean_counterparty``: every candidate there already
     # passed the garbage test, so only the empty / 'Unknown' cases remain.
-    use = F.when(cp.isNull() | (cp == "") | (cp == "Unknown"), folder).otherwise(cp)
+    use = F.coalesce(F.nullif(F.nullif(cp, F.lit("")), F.lit("Unknown")), folder)
     name = F.substring(F.regexp_replace(use, "[^a-zA-Z0-9]", ""), 1, 20)
     name = F.when(name == "", F.lit("Unknown")).otherwise(name)
     pyear = F.regexp_extract(F.coalesce(pad, F.lit("")), r"((19|20)\d{2})", 1)
@@ -179,8 +180,13 @@ def normalise_name(c: Column) -> Column:
     return F.array_join(kept, "")
 
 
-def classify(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Phase 1: one narrow stage over the collection."""
+def classify(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFAULT,
+             materialize: bool = False) -> DataFrame:
+    """Phase 1: one narrow stage over the collection.
+
+    With ``materialize`` the regex-heavy projection (hierarchy, counterparty)
+    is checkpointed before the columns derived from it, so those derivations
+    (and every later join that reads phase 1) never re-run the rules."""
     g = lambda n: col_or_null(contracts, n)
     eff = F.coalesce(*[parse_date_export(g(f)) for f in
                        ("effective_date", "effective_date_extracted", "start_date",
@@ -202,6 +208,8 @@ def classify(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFA
         cp.alias("counterparty"), folder.alias("folder"), eff.alias("effective_ts"),
         draft.alias("is_draft"), g("parent_agreement_date").alias("parent_agreement_date"),
     )
+    if materialize:
+        out = checkpointed(out)
     out = out.withColumn("h_order", F.element_at(h_order, F.col("hierarchy")))
     out = out.withColumn("sort_date", F.coalesce(F.col("effective_ts"),
                                                  F.lit(_dt.datetime(1900, 1, 1)).cast("timestamp")))
@@ -215,12 +223,14 @@ def classify(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFA
     return out.withColumn("yymm", yymm)
 
 
-def _substrings(name: Column) -> Column:
-    """Every non-empty substring of ``name`` (distinct names only)."""
-    n = F.length(name)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.flatten(F.transform(starts, lambda s: F.transform(
-        F.sequence(F.lit(1), F.greatest(n - s + 1, F.lit(1))), lambda ln: F.substring(name, s, ln))))
+def _substring_rows(df: DataFrame, name_col: str) -> DataFrame:
+    """(name, s) for every non-empty substring s of each (distinct) name, as
+    two generator steps (start, then length) and one codegen'd substring."""
+    n = F.length(F.col(name_col))
+    starts = df.select(name_col, F.explode(F.sequence(F.lit(1), n)).alias("_st"))
+    spans = starts.select(name_col, "_st", F.explode(
+        F.sequence(F.lit(1), F.length(F.col(name_col)) - F.col("_st") + 1)).alias("_ln"))
+    return spans.select(name_col, F.substring(F.col(name_col), F.col("_st"), F.col("_ln")).alias("s"))
 
 
 def name_matches(child_names: DataFrame, parent_names: DataFrame) -> DataFrame:
@@ -230,9 +240,9 @@ def name_matches(child_names: DataFrame, parent_names: DataFrame) -> DataFrame:
     c = child_names.select(F.col("name").alias("c"))
     p = parent_names.select(F.col("name").alias("p"))
     eq = c.join(p, F.col("c") == F.col("p")).select("c", "p")
-    p_sub = p.where(F.col("p") != "").select("p", F.explode(_substrings(F.col("p"))).alias("s")).distinct()
+    p_sub = _substring_rows(p.where(F.col("p") != ""), "p").distinct()
     c_in_p = p_sub.join(c.where(F.col("c") != ""), F.col("s") == F.col("c")).select("c", "p")
-    c_sub = c.where(F.col("c") != "").select("c", F.explode(_substrings(F.col("c"))).alias("s")).distinct()
+    c_sub = _substring_rows(c.where(F.col("c") != ""), "c").distinct()
     p_in_c = c_sub.join(p.where(F.col("p") != ""), F.col("s") == F.col("p")).select("c", "p")
     return eq.unionByName(c_in_p).unionByName(p_in_c).distinct()
 
@@ -266,7 +276,9 @@ def allocate_ids(cls: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     Returns cls columns + parent_pos, child_num, seq, registry_id (raw),
     id_notes."""
     links = parent_search(cls)
-    rows = cls.join(links, "_pos", "left")
+    # the parent links feed three consumers (sequence, running numbers, ids):
+    # materialise them once instead of re-running the name search per consumer
+    rows = checkpointed(cls.join(links, "_pos", "left"))
     is_child = F.col("hierarchy").isin(*CHILD_CLASSES)
     # one dense sequence over parents and parent-less children
     seq_rows = rows.where(~is_child | F.col("parent_pos").isNull()).select("_pos", "h_order", "sort_date")
@@ -342,8 +354,8 @@ def registry(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFA
     ensure_checkpoint_dir(contracts.sparkSession)
     # phase 1 is read by several later joins: materialise it once (checkpoint
     # into the shared folder; also cuts the lineage for executor loss)
-    cls = classify(contracts.where(~non_contract_file(col_or_null(contracts, "filename"))), as_of, cfg) \
-        .checkpoint(eager=True)
+    cls = classify(contracts.where(~non_contract_file(col_or_null(contracts, "filename"))), as_of, cfg,
+                   materialize=True)
     ids = allocate_ids(cls, cfg).withColumn("norm_id", normalise_registry_id(F.col("registry_id")))
     fam = family_parents(ids)
     out = ids.join(fam, "family", "left")
