@@ -666,3 +666,20 @@ COLLECTION_SCHEMA = (
 @register("a13_schema_validation")
 def q_a13(spark, sf):
     return SK.schema_validation(contracts(spark, sf), list(COLLECTION_SCHEMA))
+
+
+# ------------------------------------------------------ classification
+from ..operators import classify as CL  # noqa: E402
+
+
+@register("c1_contract_type")
+def q_c1(spark, sf):
+    d = contract_documents(spark, sf, with_lineage=True)
+    return CL.classify_documents(d, "contract_id", folder_col="parent_folder_name", filename_col="filename",
+                                 use_filename=True)
+
+
+@register("c1_type_counts")
+def q_c1c(spark, sf):
+    d = contract_documents(spark, sf, with_lineage=True)
+    return CL.type_counts(CL.classify_documents(d, "contract_id", folder_col="parent_folder_name"))

@@ -865,3 +865,55 @@ SELECT 'kpi' AS section, 0 AS rank, key, value FROM (
 UNION ALL SELECT 'by_type', 0, coalesce(contract_type, 'Unknown'), COUNT(*) FROM fact GROUP BY contract_type
 UNION ALL SELECT * FROM (SELECT 'top_expiring', 0, company_folder, CAST(days_until_expiration AS BIGINT) FROM fact
   WHERE is_expiring_soon ORDER BY days_until_expiration, contract_id LIMIT 5)""")
+
+
+# ------------------------------------------------------ classification
+def _rule_cond(s: str, pattern: str) -> str:
+    """RE2 has no lookbehind: 'p not preceded by X' holds when p occurs more
+    often than 'X p' does."""
+    import re as _re
+    parts = []
+    for alt in _split_top(pattern):
+        lbs = _re.findall(r"\(\?<!([^()]*)\)", alt)
+        core = _re.sub(r"\(\?<![^()]*\)", "", alt)
+        if not lbs:
+            parts.append(f"regexp_matches({s}, {_rx(core)})")
+        else:
+            neg = " + ".join(f"len(regexp_extract_all({s}, {_rx(lb + core)}))" for lb in lbs)
+            parts.append(f"(len(regexp_extract_all({s}, {_rx(core)})) > {neg})")
+    return "(" + " OR ".join(parts) + ")"
+
+
+def _split_top(p: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for ch in p:
+        if ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        if ch == "|" and depth == 0:
+            out.append(cur)
+            cur = ""
+        else:
+            cur += ch
+    return out + [cur]
+
+
+def _chain_sql(s: str, rules) -> str:
+    return "CASE " + " ".join(f"WHEN {_rule_cond(s, p)} THEN '{_sqlq(t)}'" for p, t in rules) + " END"
+
+
+def _c1_sql(use_filename: bool) -> str:
+    from ..operators import classify as CL
+    folder = f"CASE WHEN coalesce(parent_folder_name, '') <> '' THEN {_chain_sql('lower(parent_folder_name)', CL.FOLDER_RULES)} END"
+    fname = f"CASE WHEN coalesce(filename, '') <> '' THEN {_chain_sql('lower(filename)', CL.FILENAME_RULES)} END"
+    text = _chain_sql("substr(lower(coalesce(text, '')), 1, 10000)", CL.TEXT_RULES)
+    tiers = [("folder", folder)] + ([("filename", fname)] if use_filename else []) + [("text", text)]
+    label = "COALESCE(" + ", ".join(t for _, t in tiers) + ", 'Auto-detected')"
+    tier = "CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN '{n}'" for n, t in tiers) + " ELSE 'default' END"
+    return f"SELECT contract_id, {label} AS contract_type, {tier} AS tier FROM contract_documents"
+
+
+ORACLE["c1_contract_type"] = with_fact(_c1_sql(True))
+ORACLE["c1_type_counts"] = with_fact(
+    f"SELECT contract_type, tier, COUNT(*) AS n_docs FROM ({_c1_sql(False)}) GROUP BY contract_type, tier")

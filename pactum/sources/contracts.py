@@ -126,7 +126,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contract_documents(spark: SparkSession, sf_dir: str, with_lineage: bool = False) -> DataFrame:
     """Contract text at a realistic size: document prose around the clause.
 
     ``text = doc + ' ' + clause + ' ' + doc`` where ``doc`` is the document with
@@ -134,13 +134,14 @@ def contract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     The document count is a scalar subquery, the join a shuffled equi-join on
     the derived key (both sides grow with the data).
     """
-    ct = contracts(spark, sf_dir).select("_pos", "contract_id", F.col("text").alias("clause"))
+    extra = ["filename", "parent_folder_name"] if with_lineage else []
+    ct = contracts(spark, sf_dir).select("_pos", "contract_id", *extra, F.col("text").alias("clause"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     joined = ct.join(docs, F.col("_pos") % n_docs == F.col("doc_id"), "left")
     doc = F.coalesce(F.col("doc"), F.lit(""))
     return joined.select(
-        "_pos", "contract_id",
+        "_pos", "contract_id", *extra,
         F.concat(doc, F.lit(" "), F.col("clause"), F.lit(" "), doc).alias("text"))
 
 
@@ -185,7 +186,7 @@ SELECT k AS _pos, CONCAT('c-',LPAD(CAST(k AS VARCHAR(20)),9,'0')) AS contract_id
  cl.clause_text AS text
 FROM base JOIN clause cl ON cl.cid = k%7),
 contract_documents AS (
- SELECT ct._pos, ct.contract_id,
+ SELECT ct._pos, ct.contract_id, ct.filename, ct.parent_folder_name,
         CONCAT(COALESCE(dd.text,''),' ',ct.text,' ',COALESCE(dd.text,'')) AS text
  FROM contracts ct LEFT JOIN documents dd
    ON dd.doc_id = ct._pos % (SELECT COUNT(*) FROM documents))"""
