@@ -99,23 +99,52 @@ def _i(p: str) -> str:
     return "(?i)" + p
 
 
-def first_capture(text: Column, patterns, flags: str = "(?i)", group: int = 1) -> Column:
+# Necessary (lower-case) words per pattern: a cheap ``contains`` on the
+# lower-cased text decides whether the case-insensitive regex can match at
+# all, so most documents skip most scans.  Same results, far less work.
+RENEWAL_TERM_GUARDS = (("renew",),) * len(RENEWAL_TERM_PATTERNS)
+RENEWAL_NOTICE_GUARDS = (("renew",),) * len(RENEWAL_NOTICE_PATTERNS)
+TERMINATION_NOTICE_GUARDS = (("terminat",), ("terminat",), ("upon",), ("giving",), ("with",),
+                             ("effective",), ("least",))
+PERPETUAL_GUARDS = (("until",), ("indefinitely",), ("perpetual",), ("until",), ("fixed",), ("until",),
+                    ("until",), ("until",), ("until",), ("terminated",), ("terminated",), ("terminat",),
+                    ("evergreen",))
+AUTO_RENEW_GUARDS = (("renew",), ("renew",), ("renew",), ("successive",))
+
+
+def _guard(low: Column | None, words) -> Column | None:
+    if low is None or not words:
+        return None
+    g = F.lit(False)
+    for w in words:
+        g = g | low.contains(w)
+    return g
+
+
+def first_capture(text: Column, patterns, flags: str = "(?i)", group: int = 1,
+                  guards=None, low: Column | None = None) -> Column:
     """Group ``group`` of the first pattern (in order) that matches.  The
     patterns' groups never match empty, so '' means "no match" and each
-    pattern is scanned once."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, flags + p, group), F.lit(""))
-                        for p in patterns])
+    pattern is scanned once (and only when its guard words occur)."""
+    outs = []
+    for i, p in enumerate(patterns):
+        e = F.nullif(F.regexp_extract(text, flags + p, group), F.lit(""))
+        g = _guard(low, guards[i]) if guards is not None else None
+        outs.append(e if g is None else F.when(g, e))
+    return F.coalesce(*outs)
 
 
 def first_match_window(text: Column, patterns, before: int, after: int,
-                       flags: str = "(?i)") -> Column:
+                       flags: str = "(?i)", guards=None, low: Column | None = None) -> Column:
     """``text[start-before : end+after]`` around the first match of the first
     matching pattern, or NULL.  The match is located with ``locate`` on the
     matched string (the first occurrence of that string is where the leftmost
     match starts), so the scan stays linear."""
     outs = []
-    for p in patterns:
+    for i, p in enumerate(patterns):
         m = F.nullif(F.regexp_extract(text, flags + "(" + p + ")", 1), F.lit(""))
+        g = _guard(low, guards[i]) if guards is not None else None
+        m = m if g is None else F.when(g, m)
         pos = F.position(m, text)  # 1-based
         start = F.greatest(pos - before, F.lit(1))
         outs.append(F.when(m.isNotNull(), F.substring(text, start, pos - start + F.length(m) + after)))
@@ -134,34 +163,37 @@ def clause_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
     """C13a-C13j: term, notice, perpetual, renewal, payment and law fields."""
     raw = F.coalesce(F.col(text_col), F.lit(""))
     t = normalise_ws(F.col(text_col))
-    base = df.select("*", t.alias("_tn"))
+    base = df.select("*", t.alias("_tn")).withColumn("_low", F.lower(F.col("_tn")))
     tn = F.col("_tn")
+    low = F.col("_low")
     # perpetual: first matching pattern, context -50/+300 around its first match
-    perp_ctx = first_match_window(tn, PERPETUAL_PATTERNS, 50, 300)
-    auto_ctx = first_match_window(tn, AUTO_RENEW_PATTERNS, 0, 200)
-    tfc = F.regexp_extract(tn, _i(TFC_CLAUSE), 0)
-    renewal_fallback = first_capture(tn, RENEWAL_TERM_PATTERNS)
+    perp_ctx = first_match_window(tn, PERPETUAL_PATTERNS, 50, 300, guards=PERPETUAL_GUARDS, low=low)
+    auto_ctx = first_match_window(tn, AUTO_RENEW_PATTERNS, 0, 200, guards=AUTO_RENEW_GUARDS, low=low)
+    tfc = F.when(low.contains("terminat"), F.regexp_extract(tn, _i(TFC_CLAUSE), 0)).otherwise(F.lit(""))
+    renewal_fallback = first_capture(tn, RENEWAL_TERM_PATTERNS, guards=RENEWAL_TERM_GUARDS, low=low)
     renewal_from_auto = F.when(auto_ctx.rlike(_i(RENEWAL_CONTEXT_DURATION)),
                                F.regexp_extract(auto_ctx, _i(RENEWAL_CONTEXT_DURATION), 1))
     out = base.select(
         *[c for c in df.columns if c != text_col],
         F.trim(F.coalesce(renewal_fallback, renewal_from_auto)).alias("renewal_term"),
-        F.trim(first_capture(tn, RENEWAL_NOTICE_PATTERNS)).alias("renewal_notice_period"),
-        F.trim(first_capture(tn, TERMINATION_NOTICE_PATTERNS)).alias("termination_notice_period"),
+        F.trim(first_capture(tn, RENEWAL_NOTICE_PATTERNS, guards=RENEWAL_NOTICE_GUARDS, low=low))
+        .alias("renewal_notice_period"),
+        F.trim(first_capture(tn, TERMINATION_NOTICE_PATTERNS, guards=TERMINATION_NOTICE_GUARDS, low=low))
+        .alias("termination_notice_period"),
         perp_ctx.isNotNull().alias("perpetual"),
         F.trim(F.when(perp_ctx.rlike(_i(NOTICE_AFTER)), F.regexp_extract(perp_ctx, _i(NOTICE_AFTER), 1)))
         .alias("perpetual_notice_period"),
         auto_ctx.isNotNull().alias("auto_renewal"),
-        F.when(tn.rlike(_i(r"payments?[^.]*?(" + NOTICE_DURATION + ")")),
+        F.when(low.contains("payment") & tn.rlike(_i(r"payments?[^.]*?(" + NOTICE_DURATION + ")")),
                F.regexp_extract(tn, _i(r"payments?[^.]*?(" + NOTICE_DURATION + ")"), 1)).alias("payment_terms"),
-        F.when(tn.rlike(_i(LATE_CHARGE)), F.trim(F.regexp_extract(tn, _i(LATE_CHARGE), 0))).alias("late_charge"),
+        F.when(low.contains("late") & tn.rlike(_i(LATE_CHARGE)), F.trim(F.regexp_extract(tn, _i(LATE_CHARGE), 0))).alias("late_charge"),
         F.when(tfc != "", "Yes").otherwise("No").alias("termination_for_convenience"),
         F.when((tfc != "") & tfc.rlike(_i(f"({NOTICE_DURATION})")),
                F.regexp_extract(tfc, _i(f"({NOTICE_DURATION})"), 1)).alias("termination_for_convenience_notice"),
         F.when(tfc != "", F.substring(F.trim(tfc), 1, 250)).alias("termination_for_convenience_clause"),
-        F.when(raw.rlike(_i(GOVERNING_LAW)), F.trim(F.regexp_extract(raw, _i(GOVERNING_LAW), 1)))
+        F.when(low.contains("govern") & raw.rlike(_i(GOVERNING_LAW)), F.trim(F.regexp_extract(raw, _i(GOVERNING_LAW), 1)))
         .alias("governing_law"),
-        F.when(raw.rlike("(?is)" + PURPOSE),
+        F.when(low.contains("purpose") & raw.rlike("(?is)" + PURPOSE),
                F.regexp_replace(F.trim(F.regexp_extract(raw, "(?is)" + PURPOSE, 1)), r"\s+", " "))
         .alias("purpose"),
     )
