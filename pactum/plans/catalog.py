@@ -683,3 +683,26 @@ def q_c1(spark, sf):
 def q_c1c(spark, sf):
     d = contract_documents(spark, sf, with_lineage=True)
     return CL.type_counts(CL.classify_documents(d, "contract_id", folder_col="parent_folder_name"))
+
+
+# ------------------------------------------------------------ region
+from ..operators import region as RG  # noqa: E402
+
+
+@register("e1_region_gdpr_detection")
+def q_e1(spark, sf):
+    d = contract_documents(spark, sf, with_lineage=True)
+    r = RG.detect_region_gdpr(F.col("text"), F.col("counterparty_address"))
+    return d.select("contract_id", r.alias("r")).select("contract_id", "r.*")
+
+
+@register("e3_region_gdpr_export")
+def q_e3(spark, sf):
+    ct = contracts(spark, sf)
+    region = RG.resolve_region(F.lit(None).cast("string"), F.col("region"), F.col("counterparty_address"),
+                               F.lit(None).cast("string"))
+    g = RG.gdpr_decision(F.col("gdpr_applicable"), F.lit(None).cast("string"), F.lit(None).cast("string"),
+                         region, F.col("counterparty_address"))
+    return ct.select("contract_id", region.alias("resolved_region"), g["gdpr"].alias("gdpr"),
+                     g["gdpr_reason"].alias("gdpr_reason"),
+                     RG.region_from_addresses(F.col("counterparty_address")).alias("address_region"))

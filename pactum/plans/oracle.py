@@ -917,3 +917,67 @@ def _c1_sql(use_filename: bool) -> str:
 ORACLE["c1_contract_type"] = with_fact(_c1_sql(True))
 ORACLE["c1_type_counts"] = with_fact(
     f"SELECT contract_type, tier, COUNT(*) AS n_docs FROM ({_c1_sql(False)}) GROUP BY contract_type, tier")
+
+
+# ------------------------------------------------------------ region
+def _first_name_sql(t: str, names) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({t}, {_rx('(?i)' + _wb2(n))}) THEN '{n}'" for n in names) + " END"
+
+
+def _wb2(n: str) -> str:
+    """Whole-word test for RE2: Unicode-aware boundaries written out where the
+    name starts / ends with a word character."""
+    import re as _re
+    left = r"(?:^|[^\p{L}\p{N}_])" if _re.match(r"\w", n) else r"\b"
+    right = r"(?:$|[^\p{L}\p{N}_])" if _re.match(r"\w", n[-1]) else r"\b"
+    return left + n + right
+
+
+def _e1_sql() -> str:
+    from ..operators import region as RG
+    ent = "COALESCE(" + ", ".join(f"NULLIF(regexp_extract(t, {_rx(p)}, 0), '')" for p in RG.EU_ENTITY_PATTERNS) + ")"
+    return with_fact(f"""
+SELECT contract_id,
+  COALESCE(explicit, CASE WHEN ent IS NOT NULL THEN 'EMEA' END, CASE WHEN country IS NOT NULL THEN 'EMEA' END,
+           CASE WHEN na IS NOT NULL THEN 'North America' END, CASE WHEN ap IS NOT NULL THEN 'APAC' END) AS region,
+  CASE WHEN explicit = 'EMEA' OR ent IS NOT NULL OR country IS NOT NULL THEN TRUE END AS subject_to_gdpr,
+  CASE WHEN explicit = 'EMEA' THEN 'EMEA region'
+       WHEN ent IS NOT NULL THEN 'European legal entity type (' || upper(regexp_replace(list_last(string_split_regex(trim(ent), '\\s+')), '\\.+$', '')) || ')'
+       WHEN country IS NOT NULL THEN 'European address (' || country || ')' END AS gdpr_reason
+FROM (SELECT contract_id, t,
+  CASE WHEN regexp_matches(t, {_rx('(?i)' + _wb2('EMEA'))}) THEN 'EMEA'
+       WHEN regexp_matches(t, {_rx('(?i)' + _wb2('North America'))}) THEN 'North America'
+       WHEN regexp_matches(t, {_rx('(?i)' + _wb2('APAC'))}) OR regexp_matches(t, {_rx('(?i)' + _wb2('Asia Pacific'))}) THEN 'APAC' END AS explicit,
+  {ent} AS ent,
+  {_first_name_sql('t', RG.EMEA_COUNTRIES)} AS country,
+  {_first_name_sql('t', RG.NA_LOCATIONS)} AS na,
+  {_first_name_sql('t', RG.APAC_COUNTRIES)} AS ap
+  FROM (SELECT contract_id, CASE WHEN coalesce(counterparty_address, '') <> '' THEN coalesce(text, '') || ' ' || counterparty_address
+                                 ELSE coalesce(text, '') END AS t FROM contract_documents))""")
+
+
+def _e3_sql() -> str:
+    from ..operators import region as RG
+
+    def has(c, words):
+        return "(" + " OR ".join(f"contains({c}, '{w.lower()}')" for w in words) + ")"
+    low = "lower(coalesce(counterparty_address, ''))"
+    infer = (f"CASE WHEN {low} = '' THEN NULL WHEN {has(low, RG.EMEA_KEYWORDS)} THEN 'EMEA' "
+             f"WHEN {has(low, RG.NA_ADDRESS_KEYWORDS)} THEN 'North America' "
+             f"WHEN {has(low, RG.APAC_ADDRESS_KEYWORDS)} THEN 'APAC' END")
+    addr_region = (f"CASE WHEN {has(low, RG.EMEA_COUNTRIES)} THEN 'EMEA' WHEN {has(low, RG.NA_LOCATIONS)} THEN 'North America' "
+                   f"WHEN {has(low, RG.APAC_COUNTRIES)} THEN 'APAC' END")
+    emea_addr = f"({low} <> '' AND {has(low, RG.EMEA_KEYWORDS)})"
+    return with_fact(f"""
+SELECT contract_id, rr AS resolved_region,
+  CASE WHEN flag = 'No' AND (lower(coalesce(rr, '')) = 'emea' OR {emea_addr}) THEN 'Yes' ELSE flag END AS gdpr,
+  CASE WHEN flag <> 'No' THEN '' WHEN lower(coalesce(rr, '')) = 'emea' THEN 'Counterparty region in EMEA'
+       WHEN {emea_addr} THEN 'Counterparty address in EMEA' ELSE '' END AS gdpr_reason,
+  {addr_region} AS address_region
+FROM (SELECT *, COALESCE(CASE WHEN trim(coalesce(region, '')) <> '' THEN region END, {infer}) AS rr,
+        upper(substr(coalesce(gdpr_applicable, 'No'), 1, 1)) || lower(substr(coalesce(gdpr_applicable, 'No'), 2)) AS flag
+      FROM contracts)""")
+
+
+ORACLE["e1_region_gdpr_detection"] = _e1_sql()
+ORACLE["e3_region_gdpr_export"] = _e3_sql()

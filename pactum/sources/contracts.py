@@ -134,7 +134,7 @@ def contract_documents(spark: SparkSession, sf_dir: str, with_lineage: bool = Fa
     The document count is a scalar subquery, the join a shuffled equi-join on
     the derived key (both sides grow with the data).
     """
-    extra = ["filename", "parent_folder_name"] if with_lineage else []
+    extra = ["filename", "parent_folder_name", "counterparty_address"] if with_lineage else []
     ct = contracts(spark, sf_dir).select("_pos", "contract_id", *extra, F.col("text").alias("clause"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc"))
     n_docs = docs.select(F.count(F.lit(1))).scalar()
@@ -186,7 +186,7 @@ SELECT k AS _pos, CONCAT('c-',LPAD(CAST(k AS VARCHAR(20)),9,'0')) AS contract_id
  cl.clause_text AS text
 FROM base JOIN clause cl ON cl.cid = k%7),
 contract_documents AS (
- SELECT ct._pos, ct.contract_id, ct.filename, ct.parent_folder_name,
+ SELECT ct._pos, ct.contract_id, ct.filename, ct.parent_folder_name, ct.counterparty_address,
         CONCAT(COALESCE(dd.text,''),' ',ct.text,' ',COALESCE(dd.text,'')) AS text
  FROM contracts ct LEFT JOIN documents dd
    ON dd.doc_id = ct._pos % (SELECT COUNT(*) FROM documents))"""
