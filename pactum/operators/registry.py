@@ -432,3 +432,63 @@ def duration_label(effective: Column, expiration: Column) -> Column:
 def renewal_date(explicit: Column, expiration: Column, auto_renewal_yes: Column) -> Column:
     """Explicit renewal date, else the expiration when auto-renewing."""
     return F.coalesce(explicit, F.when(auto_renewal_yes, expiration))
+
+
+# Jurisdiction validity lists.
+INVALID_JURISDICTIONS = (
+    "north america", "south america", "latin america", "americas", "emea", "europe", "middle east", "africa",
+    "apac", "asia pacific", "asia", "pacific", "global", "worldwide", "international", "not found", "unknown",
+    "n/a", "none", "tbd", "to be determined", "region", "territory",
+)
+VALID_JURISDICTION_WORDS = (
+    "colorado", "california", "new york", "delaware", "texas", "florida", "massachusetts", "washington",
+    "illinois", "georgia", "michigan", "ohio", "pennsylvania", "virginia", "north carolina", "arizona",
+    "nevada", "oregon", "minnesota", "wisconsin", "tennessee", "england", "wales", "scotland", "ireland",
+    "germany", "france", "netherlands", "switzerland", "singapore", "hong kong", "australia", "canada",
+    "ontario", "british columbia", "quebec", "japan", "china", "india", "brazil", "mexico", "state of",
+    "commonwealth of", "laws of", "courts of",
+)
+PERPETUAL_WORDS = ("perpetual", "evergreen", "no fixed term")
+
+
+def jurisdiction_valid(value: Column) -> Column:
+    """A legal jurisdiction rather than a region: not in the invalid list,
+    and (a known indicator, a 2-letter code, or longer than 4 characters)."""
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    indicator = F.lit(False)
+    for w in VALID_JURISDICTION_WORDS:
+        indicator = indicator | v.contains(w)
+    return (F.when(F.coalesce(value, F.lit("")) == "", F.lit(False))
+            .when(v.isin(*INVALID_JURISDICTIONS), F.lit(False))
+            .when(indicator, F.lit(True))
+            .when((F.length(v) == 2) & v.rlike("^[a-z]{2}$"), F.lit(True))
+            .otherwise(F.length(v) > 4))
+
+
+def default_notice_days(contract_type: Column) -> Column:
+    """E26 default by type: NDA 30, master/MSA 90, reseller/distributor 60, else 30."""
+    t = F.lower(F.coalesce(contract_type, F.lit("")))
+    return (F.when(t.contains("nda"), 30).when(t.contains("master") | t.contains("msa"), 90)
+            .when(t.contains("reseller") | t.contains("distributor"), 60).otherwise(30))
+
+
+def perpetual_flag(contract_type: Column, *texts: Column) -> Column:
+    """E25: 'Yes' when a perpetual keyword appears in the type or term texts."""
+    blob = F.lower(F.concat_ws(" ", F.coalesce(contract_type, F.lit("")), *texts))
+    hit = F.lit(False)
+    for w in PERPETUAL_WORDS:
+        hit = hit | blob.contains(w)
+    return F.when(hit, "Yes").otherwise("No")
+
+
+def folder_context(df: DataFrame, folder_col: str) -> DataFrame:
+    """Documents per folder (rows, Q17 fixed), related-documents flag
+    and the folder group id.  The count is a partial aggregation joined back
+    (one row per folder), not a window over a possibly huge folder."""
+    folder = F.coalesce(F.col(folder_col), F.lit(""))
+    counts = df.where(folder != "").groupBy(F.col(folder_col).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    out = df.join(counts, F.col(folder_col) == F.col("_f"), "left")
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    gid = F.when(folder != "", F.substring(F.md5(F.lower(folder)), 1, 12)).otherwise(F.lit(""))
+    return out.select(*df.columns, n.alias("folder_document_count"), (n > 1).alias("has_related_documents"),
+                      gid.alias("folder_group_id"))

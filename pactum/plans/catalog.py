@@ -706,3 +706,20 @@ def q_e3(spark, sf):
     return ct.select("contract_id", region.alias("resolved_region"), g["gdpr"].alias("gdpr"),
                      g["gdpr_reason"].alias("gdpr_reason"),
                      RG.region_from_addresses(F.col("counterparty_address")).alias("address_region"))
+
+
+@register("e26_term_defaults")
+def q_e26(spark, sf):
+    ct = contracts(spark, sf)
+    ctype = F.coalesce(F.when(F.col("contract_type") != "", F.col("contract_type")), F.lit("Unknown"))
+    return ct.select("contract_id", R.perpetual_flag(ctype).alias("perpetual"),
+                     R.default_notice_days(ctype).alias("notification_days"),
+                     R.jurisdiction_valid(F.col("governing_law")).alias("jurisdiction_valid"))
+
+
+@register("e8_folder_context")
+def q_e8(spark, sf):
+    ct = contracts(spark, sf).select("contract_id", "parent_folder_name", "contract_group_id")
+    return R.folder_context(ct, "parent_folder_name").select(
+        "contract_id", "folder_document_count", "has_related_documents",
+        (F.col("folder_group_id") == F.col("contract_group_id")).alias("group_id_matches"))

@@ -981,3 +981,26 @@ FROM (SELECT *, COALESCE(CASE WHEN trim(coalesce(region, '')) <> '' THEN region
 
 ORACLE["e1_region_gdpr_detection"] = _e1_sql()
 ORACLE["e3_region_gdpr_export"] = _e3_sql()
+
+
+def _e26_sql() -> str:
+    from ..operators import registry as R
+    inv = ", ".join(f"'{x}'" for x in R.INVALID_JURISDICTIONS)
+    ind = " OR ".join(f"contains(v, '{w}')" for w in R.VALID_JURISDICTION_WORDS)
+    return with_fact(f"""
+SELECT contract_id,
+  CASE WHEN contains(lower(ct), 'perpetual') OR contains(lower(ct), 'evergreen') OR contains(lower(ct), 'no fixed term')
+       THEN 'Yes' ELSE 'No' END AS perpetual,
+  CASE WHEN contains(lower(ct), 'nda') THEN 30 WHEN contains(lower(ct), 'master') OR contains(lower(ct), 'msa') THEN 90
+       WHEN contains(lower(ct), 'reseller') OR contains(lower(ct), 'distributor') THEN 60 ELSE 30 END AS notification_days,
+  CASE WHEN coalesce(governing_law, '') = '' THEN FALSE WHEN v IN ({inv}) THEN FALSE WHEN {ind} THEN TRUE
+       WHEN length(v) = 2 AND regexp_matches(v, '^[a-z]{{2}}$') THEN TRUE ELSE length(v) > 4 END AS jurisdiction_valid
+FROM (SELECT *, coalesce(nullif(contract_type, ''), 'Unknown') AS ct, lower(trim(coalesce(governing_law, ''))) AS v FROM contracts)""")
+
+
+ORACLE["e26_term_defaults"] = _e26_sql()
+ORACLE["e8_folder_context"] = with_fact("""
+SELECT contract_id, CAST(count(*) OVER (PARTITION BY parent_folder_name) AS BIGINT) AS folder_document_count,
+  count(*) OVER (PARTITION BY parent_folder_name) > 1 AS has_related_documents,
+  substr(md5(lower(parent_folder_name)), 1, 12) = contract_group_id AS group_id_matches
+FROM contracts""")
