@@ -492,3 +492,25 @@ def folder_context(df: DataFrame, folder_col: str) -> DataFrame:
     gid = F.when(folder != "", F.substring(F.md5(F.lower(folder)), 1, 12)).otherwise(F.lit(""))
     return out.select(*df.columns, n.alias("folder_document_count"), (n > 1).alias("has_related_documents"),
                       gid.alias("folder_group_id"))
+
+
+def folder_actions(lifecycle: Column, is_draft: Column, folder_name: Column, contract_status: Column,
+                   doc_created: Column, as_of) -> Column:
+    """struct(archive_flag, archive_reason, review_flag, lifecycle).
+    Drafts older than 90 days and terminated folders archive; an archived row
+    that is not Terminated/Archive becomes Archive (so Expired never reaches
+    the output, Q20)."""
+    folder = F.lower(F.coalesce(folder_name, F.lit("")))
+    draft = F.coalesce(is_draft, F.lit(False)) | folder.contains("draft")
+    terminated = folder.contains("terminated") | (F.lower(F.coalesce(contract_status, F.lit(""))) == "terminated")
+    age = floor_days(as_of_lit(as_of), doc_created)
+    old_draft = draft & doc_created.isNotNull() & (age > 90)
+    archive = lifecycle.isin("Archive", "Terminated", "Expired") | old_draft | terminated
+    reason = F.concat_ws("; ", F.when(old_draft, F.lit("Draft folder older than 90 days")),
+                         F.when(terminated, F.lit("Agreement folder marked terminated")))
+    review = (F.when(draft & doc_created.isNull(), F.lit("Draft folder (age unknown)"))
+              .when(draft & ~old_draft, F.concat(F.lit("Draft folder "), age.cast("string"), F.lit(" days old")))
+              .otherwise(F.lit("")))
+    final = F.when(archive & ~lifecycle.isin("Terminated", "Archive"), F.lit("Archive")).otherwise(lifecycle)
+    return F.struct(archive.alias("archive_flag"), reason.alias("archive_reason"), review.alias("review_flag"),
+                    final.alias("lifecycle"))

@@ -723,3 +723,13 @@ def q_e8(spark, sf):
     return R.folder_context(ct, "parent_folder_name").select(
         "contract_id", "folder_document_count", "has_related_documents",
         (F.col("folder_group_id") == F.col("contract_group_id")).alias("group_id_matches"))
+
+
+@register("e19_archive_review")
+def q_e19(spark, sf):
+    ct = contracts(spark, sf)
+    gov = governance_columns(ct).select("contract_id", "lifecycle_stage")
+    j = ct.select("contract_id", "is_draft", "contract_status").join(gov, "contract_id")
+    fa = R.folder_actions(F.col("lifecycle_stage"), F.col("is_draft"), F.lit(None).cast("string"),
+                          F.col("contract_status"), F.lit(None).cast("timestamp"), AS_OF)
+    return j.select("contract_id", fa.alias("a")).select("contract_id", "a.*")

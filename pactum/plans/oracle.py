@@ -835,8 +835,9 @@ def _export_date(c: str) -> str:
             f"ELSE COALESCE({tries}) END")
 
 
-ORACLE["e18_governance_columns"] = with_fact(f"""
-SELECT contract_id,
+def _e18_select(extra: str = "") -> str:
+    return f"""
+SELECT contract_id,{extra}
   CASE WHEN lower(coalesce(contract_status, '')) = 'terminated' THEN 'Terminated'
        WHEN coalesce(is_draft, FALSE) OR lower(coalesce(contract_status, '')) = 'draft' THEN 'Draft'
        WHEN lower(coalesce(contract_status, '')) IN ('archive', 'superseded') THEN 'Archive'
@@ -855,7 +856,10 @@ FROM (SELECT *,
   + CASE WHEN coalesce(contract_type, 'Unknown') = 'Unknown' THEN 10 ELSE 0 END
   + CASE WHEN lower(coalesce(gdpr_applicable, 'No')) IN ('yes', 'true') THEN 10 ELSE 0 END
   + CASE WHEN coalesce(termination_for_convenience, 'Unknown') = 'No' THEN 15 ELSE 0 END AS score
-  FROM (SELECT *, {_export_date('effective_date')} AS ef, {_export_date('expiration_date')} AS ex FROM contracts))""")
+  FROM (SELECT *, {_export_date('effective_date')} AS ef, {_export_date('expiration_date')} AS ex FROM contracts))"""
+
+
+ORACLE["e18_governance_columns"] = with_fact(_e18_select())
 
 ORACLE["k13_weekly_summary"] = with_fact("""
 SELECT 'kpi' AS section, 0 AS rank, key, value FROM (
@@ -1004,3 +1008,13 @@ SELECT contract_id, CAST(count(*) OVER (PARTITION BY parent_folder_name) AS BIGI
   count(*) OVER (PARTITION BY parent_folder_name) > 1 AS has_related_documents,
   substr(md5(lower(parent_folder_name)), 1, 12) = contract_group_id AS group_id_matches
 FROM contracts""")
+
+
+ORACLE["e19_archive_review"] = with_fact("""
+SELECT contract_id,
+  (lifecycle_stage IN ('Archive', 'Terminated', 'Expired') OR lower(coalesce(contract_status, '')) = 'terminated') AS archive_flag,
+  CASE WHEN lower(coalesce(contract_status, '')) = 'terminated' THEN 'Agreement folder marked terminated' ELSE '' END AS archive_reason,
+  CASE WHEN coalesce(is_draft, FALSE) THEN 'Draft folder (age unknown)' ELSE '' END AS review_flag,
+  CASE WHEN (lifecycle_stage IN ('Archive', 'Terminated', 'Expired') OR lower(coalesce(contract_status, '')) = 'terminated')
+        AND lifecycle_stage NOT IN ('Terminated', 'Archive') THEN 'Archive' ELSE lifecycle_stage END AS lifecycle
+FROM g""", ctes="g AS (" + _e18_select(" is_draft, contract_status,") + ")")
