@@ -514,3 +514,47 @@ def folder_actions(lifecycle: Column, is_draft: Column, folder_name: Column, con
     final = F.when(archive & ~lifecycle.isin("Terminated", "Archive"), F.lit("Archive")).otherwise(lifecycle)
     return F.struct(archive.alias("archive_flag"), reason.alias("archive_reason"), review.alias("review_flag"),
                     final.alias("lifecycle"))
+
+
+def inherit_terms(reg: DataFrame, meta: DataFrame) -> DataFrame:
+    """Export-time inheritance for child documents.
+
+    A child (SOW / Amendment / Schedule with a parent registry id) that lacks
+    a valid jurisdiction, termination notice, renewal terms or a notification
+    period copies the missing groups from the row whose registry id equals
+    its parent id (equi left join; parent ids are unique).  Only non-empty
+    values count; the law is copied only when valid (E27).
+    ``meta`` carries contract_id and the term columns (absent ones are NULL)."""
+    g = lambda n: col_or_null(meta, n)
+    m = meta.select("contract_id",
+                    F.coalesce(F.when(g("governing_law") != "", g("governing_law")),
+                               F.when(g("jurisdiction") != "", g("jurisdiction"))).alias("law"),
+                    F.coalesce(*[F.when(g(c) != "", g(c)) for c in
+                                 ("termination_notice", "termination_notice_period", "termination_clause")])
+                    .alias("termination"),
+                    F.coalesce(*[F.when(g(c).cast("string") != "", g(c).cast("string"))
+                                 for c in ("renewal_term", "auto_renewal")]).alias("renewal"),
+                    F.coalesce(*[F.when(g(c) != "", g(c)) for c in ("notification_period", "notice_period")])
+                    .alias("notification"),
+                    F.when(g("initial_term") != "", g("initial_term")).alias("initial_term"))
+    rows = reg.select("contract_id", "hierarchy", "registry_id", "parent_registry_id").join(m, "contract_id", "left")
+    parents = rows.select(F.col("registry_id").alias("parent_registry_id"),
+                          *[F.col(c).alias("p_" + c) for c in ("law", "termination", "renewal", "notification",
+                                                               "initial_term")])
+    j = rows.join(parents, "parent_registry_id", "left")
+    is_child = F.col("hierarchy").isin(*CHILD_CLASSES) & (F.coalesce(F.col("parent_registry_id"), F.lit("")) != "")
+    has_law = jurisdiction_valid(F.col("law"))
+    complete = has_law & F.col("termination").isNotNull() & F.col("renewal").isNotNull() \
+        & F.col("notification").isNotNull()
+    law_in = F.when(is_child & ~complete & ~has_law & jurisdiction_valid(F.col("p_law")), F.col("p_law"))
+    term_in = F.when(is_child & ~complete & F.col("termination").isNull(), F.col("p_termination"))
+    ren_in = F.when(is_child & ~complete & F.col("renewal").isNull(), F.col("p_renewal"))
+    not_in = F.when(is_child & ~complete & F.col("notification").isNull(), F.col("p_notification"))
+    init_in = F.when(is_child & ~complete & F.col("initial_term").isNull(), F.col("p_initial_term"))
+    any_in = law_in.isNotNull() | term_in.isNotNull() | ren_in.isNotNull() | not_in.isNotNull() | init_in.isNotNull()
+    return j.select(
+        "contract_id", "registry_id", "parent_registry_id",
+        F.when(any_in, "Yes").otherwise("No").alias("terms_inherited"),
+        law_in.alias("inherited_jurisdiction"),
+        F.when(term_in.isNotNull(), F.concat(F.lit("[Inherited from MSA] "), term_in)).alias("termination_notice"),
+        F.when(init_in.isNotNull(), F.concat(F.lit("[Inherited from MSA] "), init_in)).alias("initial_term"))

@@ -733,3 +733,11 @@ def q_e19(spark, sf):
     fa = R.folder_actions(F.col("lifecycle_stage"), F.col("is_draft"), F.lit(None).cast("string"),
                           F.col("contract_status"), F.lit(None).cast("timestamp"), AS_OF)
     return j.select("contract_id", fa.alias("a")).select("contract_id", "a.*")
+
+
+@register("g13_export_inheritance")
+def q_g13(spark, sf):
+    ct = contracts(spark, sf)
+    reg = R.registry(ct, AS_OF, CFG)
+    return R.inherit_terms(reg, ct.select("contract_id", "governing_law")).select(
+        "contract_id", "terms_inherited", "inherited_jurisdiction")

@@ -1018,3 +1018,24 @@ SELECT contract_id,
   CASE WHEN (lifecycle_stage IN ('Archive', 'Terminated', 'Expired') OR lower(coalesce(contract_status, '')) = 'terminated')
         AND lifecycle_stage NOT IN ('Terminated', 'Archive') THEN 'Archive' ELSE lifecycle_stage END AS lifecycle
 FROM g""", ctes="g AS (" + _e18_select(" is_draft, contract_status,") + ")")
+
+
+def _g13_sql() -> str:
+    from ..operators import registry as R
+    inv = ", ".join(f"'{x}'" for x in R.INVALID_JURISDICTIONS)
+
+    def valid(c):
+        v = f"lower(trim(coalesce({c}, '')))"
+        ind = " OR ".join(f"contains({v}, '{w}')" for w in R.VALID_JURISDICTION_WORDS)
+        return (f"(CASE WHEN coalesce({c}, '') = '' THEN FALSE WHEN {v} IN ({inv}) THEN FALSE WHEN {ind} THEN TRUE "
+                f"WHEN length({v}) = 2 AND regexp_matches({v}, '^[a-z]{{2}}$') THEN TRUE ELSE length({v}) > 4 END)")
+    return with_fact(f"""
+SELECT c.contract_id,
+  CASE WHEN c.is_child AND NOT {valid('c.law')} AND {valid('p.law')} THEN 'Yes' ELSE 'No' END AS terms_inherited,
+  CASE WHEN c.is_child AND NOT {valid('c.law')} AND {valid('p.law')} THEN p.law END AS inherited_jurisdiction
+FROM (SELECT r.contract_id, r.registry_id, r.parent_registry_id, nullif(k.governing_law, '') AS law,
+        r.hierarchy IN ('SOW', 'Amendment', 'Schedule') AND coalesce(r.parent_registry_id, '') <> '' AS is_child
+      FROM registry r JOIN contracts k USING (contract_id)) c
+LEFT JOIN (SELECT r.registry_id, nullif(k.governing_law, '') AS law FROM registry r JOIN contracts k USING (contract_id)) p
+  ON p.registry_id = c.parent_registry_id""", ctes=_registry_ctes())
+ORACLE["g13_export_inheritance"] = _g13_sql()
