@@ -33,6 +33,10 @@ class EngineConfig:
     expiring_days: int = 90
     critical_days: int = 30
     high_risk: int = 70
+    # routing owners
+    default_owner: str = "contracts-owner"
+    default_co_owner: str = "contracts-co-owner"
+    distribution_owner: str = "distribution-owner"
     # partition sizing hints (used by plans that repartition explicitly)
     range_partitions: int = 16
     extras: dict = field(default_factory=dict)

@@ -171,3 +171,39 @@ def gdpr_decision(gdpr_applicable: Column, gdpr_reason: Column, subject_to_gdpr:
                   .when(emea_addr, F.when(reason != "", reason).otherwise(F.lit("Counterparty address in EMEA")))
                   .otherwise(reason))
     return F.struct(out_flag.alias("gdpr"), out_reason.alias("gdpr_reason"))
+
+
+# Department fallback by contract-type keyword, in order.
+DEPARTMENT_MAP = (
+    ("reseller", "Sales"), ("distributor", "Sales"), ("channel", "Sales"), ("partner", "Sales"),
+    ("nda", "Legal"), ("non-disclosure", "Legal"), ("confidentiality", "Legal"),
+    ("employment", "HR"), ("contractor", "HR"), ("consultant", "HR"),
+    ("marketing", "Marketing"), ("joint marketing", "Marketing"),
+    ("procurement", "Procurement"), ("vendor", "Procurement"), ("supplier", "Procurement"),
+    ("oem", "Engineering"), ("development", "Engineering"), ("license", "Legal"),
+    ("software", "Engineering"), ("master service", "Operations"), ("msa", "Operations"),
+)
+NA_APAC_REGION_KEYS = ("north america", "na", "apac", "asia pac", "asia-pacific", "asia pacific")
+
+
+def department_and_owner(department: Column, owner: Column, co_owner: Column, contract_type: Column,
+                         region: Column, cfg) -> Column:
+    """struct(department, owner, co_owner): stored department else the
+    first keyword of the type; distributors in NA/APAC route to the
+    distribution team; owner / co-owner fall back to the configured ones."""
+    t = F.lower(F.coalesce(contract_type, F.lit("")))
+    fallback = F.lit("General")
+    for k, d in reversed(DEPARTMENT_MAP):
+        fallback = F.when(t.contains(k), F.lit(d)).otherwise(fallback)
+    dept = F.coalesce(F.when(F.coalesce(department, F.lit("")) != "", department), fallback)
+    own = F.coalesce(F.when(F.coalesce(owner, F.lit("")) != "", owner), F.lit(cfg.default_owner))
+    dist = t.contains("distributor") & F.lower(F.coalesce(region, F.lit(""))).isin(*NA_APAC_REGION_KEYS)
+    dept = F.when(dist, F.lit("NA APAC Distributor Management")).otherwise(dept)
+    if cfg.distribution_owner:
+        own = F.when(dist, F.lit(cfg.distribution_owner)).otherwise(own)
+    own = F.when(own == "", F.lit(cfg.default_owner)).otherwise(own)
+    co = F.coalesce(co_owner, F.lit(""))
+    d_co = F.lit(cfg.default_co_owner)
+    co = (F.when(co == "", F.when(d_co != own, d_co).otherwise(F.lit("")))
+          .when((co == own) & (d_co != own), d_co).otherwise(co))
+    return F.struct(dept.alias("department"), own.alias("owner"), co.alias("co_owner"))

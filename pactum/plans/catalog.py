@@ -741,3 +741,13 @@ def q_g13(spark, sf):
     reg = R.registry(ct, AS_OF, CFG)
     return R.inherit_terms(reg, ct.select("contract_id", "governing_law")).select(
         "contract_id", "terms_inherited", "inherited_jurisdiction")
+
+
+@register("e6_department_owner")
+def q_e6(spark, sf):
+    ct = contracts(spark, sf)
+    region = RG.resolve_region(F.lit(None).cast("string"), F.col("region"), F.col("counterparty_address"),
+                               F.lit(None).cast("string"))
+    r = RG.department_and_owner(F.lit(None).cast("string"), F.lit(None).cast("string"),
+                                F.lit(None).cast("string"), F.col("contract_type"), region, CFG)
+    return ct.select("contract_id", r.alias("r")).select("contract_id", "r.*")

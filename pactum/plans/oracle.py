@@ -1039,3 +1039,26 @@ FROM (SELECT r.contract_id, r.registry_id, r.parent_registry_id, nullif(k.govern
 LEFT JOIN (SELECT r.registry_id, nullif(k.governing_law, '') AS law FROM registry r JOIN contracts k USING (contract_id)) p
   ON p.registry_id = c.parent_registry_id""", ctes=_registry_ctes())
 ORACLE["g13_export_inheritance"] = _g13_sql()
+
+
+def _e6_sql() -> str:
+    from ..config import FIXTURE_CONFIG as C
+    from ..operators import region as RG
+    t = "lower(coalesce(contract_type, ''))"
+    fb = "CASE " + " ".join(f"WHEN contains({t}, '{k}') THEN '{d}'" for k, d in RG.DEPARTMENT_MAP) + " ELSE 'General' END"
+    keys = ", ".join(f"'{k}'" for k in RG.NA_APAC_REGION_KEYS)
+    low = "lower(coalesce(counterparty_address, ''))"
+    emea = " OR ".join(f"contains({low}, '{w}')" for w in RG.EMEA_KEYWORDS)
+    na = " OR ".join(f"contains({low}, '{w}')" for w in RG.NA_ADDRESS_KEYWORDS)
+    ap = " OR ".join(f"contains({low}, '{w}')" for w in RG.APAC_ADDRESS_KEYWORDS)
+    rr = (f"COALESCE(CASE WHEN trim(coalesce(region, '')) <> '' THEN region END, CASE WHEN {low} = '' THEN NULL "
+          f"WHEN {emea} THEN 'EMEA' WHEN {na} THEN 'North America' WHEN {ap} THEN 'APAC' END)")
+    return with_fact(f"""
+SELECT contract_id, CASE WHEN dist THEN 'NA APAC Distributor Management' ELSE {fb} END AS department,
+  CASE WHEN dist THEN '{C.distribution_owner}' ELSE '{C.default_owner}' END AS owner,
+  CASE WHEN '{C.default_co_owner}' <> (CASE WHEN dist THEN '{C.distribution_owner}' ELSE '{C.default_owner}' END)
+       THEN '{C.default_co_owner}' ELSE '' END AS co_owner
+FROM (SELECT *, contains({t}, 'distributor') AND lower(coalesce({rr}, '')) IN ({keys}) AS dist FROM contracts)""")
+
+
+ORACLE["e6_department_owner"] = _e6_sql()
