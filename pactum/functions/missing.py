@@ -108,3 +108,34 @@ def default_backfill(df: DataFrame, owner_default: str = "") -> DataFrame:
     for name, default in BOOLEAN_DEFAULTS:
         out = out.withColumn(name, F.coalesce(col_or_null(df, name, "boolean"), F.lit(default)))
     return out
+
+
+def _json_str(c: Column) -> Column:
+    """A string as a JSON string literal (quoted, escaped)."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def flatten_list(c: Column) -> Column:
+    """B2/D3: list -> ', '-joined non-empty items; an empty result is NULL
+    (the key is dropped)."""
+    items = F.filter(c.cast("array<string>"), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    return F.when(F.size(items) > 0, F.array_join(F.transform(items, lambda x: F.trim(x)), ", "))
+
+
+def flatten_map(c: Column, sort_keys: bool = False) -> Column:
+    """B2: dict -> JSON text with the original separators (', ' and ': ');
+    ``sort_keys`` is the repair-path mode (D4).  NULL map -> NULL."""
+    entries = F.map_entries(c.cast("map<string,string>"))
+    if sort_keys:
+        entries = F.array_sort(entries)
+    body = F.array_join(F.transform(entries, lambda e: F.concat(
+        _json_str(e["key"]), F.lit(": "),
+        F.when(e["value"].isNull(), F.lit("null")).otherwise(_json_str(e["value"])))), ", ")
+    return F.when(c.isNotNull(), F.concat(F.lit("{"), body, F.lit("}")))
+
+
+def flatten_list_json(c: Column) -> Column:
+    """List -> JSON array text (repair path)."""
+    items = F.transform(c.cast("array<string>"), lambda x: F.when(x.isNull(), F.lit("null")).otherwise(_json_str(x)))
+    return F.when(c.isNotNull(), F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))

@@ -751,3 +751,13 @@ def q_e6(spark, sf):
     r = RG.department_and_owner(F.lit(None).cast("string"), F.lit(None).cast("string"),
                                 F.lit(None).cast("string"), F.col("contract_type"), region, CFG)
     return ct.select("contract_id", r.alias("r")).select("contract_id", "r.*")
+
+
+@register("b2_flatten_metadata")
+def q_b2(spark, sf):
+    e = G.gap_entries(contracts(spark, sf))
+    return e.select("contract_id",
+                    M.flatten_list(F.col("missing_fields")).alias("missing_text"),
+                    M.flatten_list_json(F.col("categories")).alias("categories_json"),
+                    M.flatten_map(F.col("inherited")).alias("inherited_json"),
+                    M.flatten_map(F.col("inherited"), sort_keys=True).alias("inherited_json_sorted"))

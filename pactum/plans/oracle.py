@@ -1062,3 +1062,19 @@ FROM (SELECT *, contains({t}, 'distributor') AND lower(coalesce({rr}, '')) IN ({
 
 
 ORACLE["e6_department_owner"] = _e6_sql()
+
+
+def _b2_sql() -> str:
+    from ..operators.gaps import FIELD_NAMES  # noqa: F401
+    pairs = ("list_transform(inherited_kv, lambda p: to_json(p[1]) || ': ' || to_json(p[2]))")
+    return with_fact(f"""
+SELECT contract_id,
+  CASE WHEN len(missing) > 0 THEN array_to_string(missing, ', ') END AS missing_text,
+  '[' || array_to_string(list_transform(cats, lambda x: to_json(x)), ', ') || ']' AS categories_json,
+  '{{' || array_to_string({pairs}, ', ') || '}}' AS inherited_json,
+  '{{' || array_to_string(list_transform(list_sort(inherited_kv), lambda p: to_json(p[1]) || ': ' || to_json(p[2])), ', ') || '}}' AS inherited_json_sorted
+FROM (SELECT *, list_transform(inherited_pairs, lambda s: [split_part(s, '=', 1), substr(s, strpos(s, '=') + 1)]) AS inherited_kv FROM gaps)""",
+                     ctes=_gap_ctes())
+
+
+ORACLE["b2_flatten_metadata"] = _b2_sql()
