@@ -96,3 +96,30 @@ def floor_days(later: Column, earlier: Column) -> Column:
     """Whole days of ``later - earlier``, floored like a Python timedelta (Q21)."""
     diff = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
     return F.floor(diff / F.lit(MICROS_PER_DAY)).cast("int")
+
+
+# Month-name typo fixes applied before parsing.
+MONTH_TYPOS = (
+    ("Seplember", "September"), ("Septmber", "September"), ("Sepetmber", "September"),
+    ("Janurary", "January"), ("Febuary", "February"), ("Feburary", "February"), ("Apirl", "April"),
+    ("Augest", "August"), ("Augst", "August"), ("Ocotber", "October"), ("Novmber", "November"),
+    ("Decmber", "December"),
+)
+# C7 formats in order (%B %d, %Y ... %d/%m/%Y).
+NORMALISE_FORMATS = ("MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM, yyyy",
+                     "d MMMM yyyy", "d MMM, yyyy", "d MMM yyyy", "yyyy-M-d", "M/d/yyyy", "d/M/yyyy")
+DAY_OF = r"(?i)(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+([A-Za-z]+),?\s+(\d{4})"
+
+
+def normalise_date_text(c: Column) -> Column:
+    """Typo fixes, "19th day of October, 2005" -> "October 19, 2005", then
+    the first of 11 formats -> MM/dd/yyyy; the (fixed) text when none parses."""
+    s = c.cast("string")
+    for typo, right in MONTH_TYPOS:
+        s = F.regexp_replace(s, "(?i)" + typo, right)
+    s = F.when(s.rlike(DAY_OF), F.concat(F.regexp_extract(s, DAY_OF, 2), F.lit(" "),
+                                          F.regexp_extract(s, DAY_OF, 1), F.lit(", "),
+                                          F.regexp_extract(s, DAY_OF, 3))).otherwise(s)
+    t = F.trim(s)
+    parsed = F.coalesce(*[_try_ts(t, f) for f in NORMALISE_FORMATS])
+    return F.when(parsed.isNotNull(), F.date_format(parsed, "MM/dd/yyyy")).otherwise(s)

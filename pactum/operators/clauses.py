@@ -320,3 +320,21 @@ def date_literal(text: Column) -> Column:
     y = F.regexp_extract(t, YEAR_ONLY, 1)
     year = F.when(t.rlike(YEAR_ONLY) & (y.try_cast("int") >= 1900) & (y.try_cast("int") <= 2099), y)
     return F.coalesce(*hits, year)
+
+
+# Effective date in the preamble (C13f), in order.
+EFFECTIVE_DATE_PATTERNS = (
+    r"effective\s+(?:as\s+of\s+)?([A-Za-z]+\s+\d{1,2},?\s+\d{4})\s*\((?:the\s+)?[\"']?Effective\s+Date",
+    r"(?:dated|entered\s+into)\s+(?:as\s+of\s+)?([A-Za-z]+\s+\d{1,2},?\s+\d{4})",
+    r"this\s+(\d{1,2}(?:st|nd|rd|th)?\s+day\s+of\s+[A-Za-z]+,?\s+\d{4})",
+    r"\"?Effective\s+Date\"?\s+(?:shall\s+)?mean[^.]*?([A-Za-z]+\s+\d{1,2},?\s+\d{4})",
+    r"(?:dated|effective|as\s+of)\s+(\d{1,2}\s+[A-Za-z]+\s+\d{4})",
+)
+EFFECTIVE_DATE_GUARDS = (("effective",), ("dated", "entered"), ("day",), ("effective",),
+                         ("dated", "effective", "as"))
+
+
+def effective_date_from_preamble(text: Column) -> Column:
+    """C13f: raw effective-date literal from the first matching pattern."""
+    t = F.coalesce(text, F.lit(""))
+    return F.trim(first_capture(t, EFFECTIVE_DATE_PATTERNS, guards=EFFECTIVE_DATE_GUARDS, low=F.lower(t)))

@@ -761,3 +761,12 @@ def q_b2(spark, sf):
                     M.flatten_list_json(F.col("categories")).alias("categories_json"),
                     M.flatten_map(F.col("inherited")).alias("inherited_json"),
                     M.flatten_map(F.col("inherited"), sort_keys=True).alias("inherited_json_sorted"))
+
+
+@register("c7_effective_date_extracted")
+def q_c7(spark, sf):
+    from ..functions.dates import normalise_date_text
+    d = contract_documents(spark, sf)
+    raw = C.effective_date_from_preamble(F.col("text"))
+    return d.select("contract_id", raw.alias("raw")).select(
+        "contract_id", "raw", normalise_date_text(F.col("raw")).alias("effective_date_extracted"))

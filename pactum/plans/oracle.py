@@ -1078,3 +1078,25 @@ FROM (SELECT *, list_transform(inherited_pairs, lambda s: [split_part(s, '=', 1)
 
 
 ORACLE["b2_flatten_metadata"] = _b2_sql()
+
+
+def _c7_sql() -> str:
+    from ..functions.dates import MONTH_TYPOS
+    from ..operators.clauses import EFFECTIVE_DATE_PATTERNS
+    raw = "trim(" + _first("t", EFFECTIVE_DATE_PATTERNS) + ")"
+    s = "raw"
+    for typo, right in MONTH_TYPOS:
+        s = f"regexp_replace({s}, '{typo}', '{right}', 'gi')"
+    dof = r"(?i)(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+([A-Za-z]+),?\s+(\d{4})"
+    fixed = (f"CASE WHEN regexp_matches(s1, '{dof}') THEN regexp_extract(s1, '{dof}', 2) || ' ' || "
+             f"regexp_extract(s1, '{dof}', 1) || ', ' || regexp_extract(s1, '{dof}', 3) ELSE s1 END")
+    fmts = ("%B %d, %Y", "%B %d %Y", "%b %d, %Y", "%b %d %Y", "%d %B, %Y", "%d %B %Y", "%d %b, %Y", "%d %b %Y",
+            "%Y-%m-%d", "%m/%d/%Y", "%d/%m/%Y")
+    parsed = "COALESCE(" + ", ".join(f"try_strptime(trim(s2), '{f}')" for f in fmts) + ")"
+    return with_fact(f"""
+SELECT contract_id, raw, CASE WHEN {parsed} IS NOT NULL THEN strftime({parsed}, '%m/%d/%Y') ELSE s2 END AS effective_date_extracted
+FROM (SELECT *, {fixed} AS s2 FROM (SELECT *, {s} AS s1 FROM (SELECT contract_id, {raw} AS raw FROM
+  (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents))))""")
+
+
+ORACLE["c7_effective_date_extracted"] = _c7_sql()

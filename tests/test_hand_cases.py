@@ -68,3 +68,25 @@ def test_name_matching(spark):
     assert ("acme", "acmeholdings") in pairs
     empties = name_matches(names.where("name = ''"), names.where("name = ''")).count()
     assert empties == 1
+
+
+def test_date_normalisation(spark):
+    from pactum.functions.dates import normalise_date_text
+    got = [one(spark, normalise_date_text, v) for v in
+           ["19th day of October, 2005", "Seplember 5, 2020", "2025-10-21", "soon"]]
+    assert got == ["10/19/2005", "09/05/2020", "10/21/2025", "soon"]
+
+
+def test_notice_days_and_contract_value(spark):
+    from pactum.operators.clauses import contract_value, notice_days
+    got = [one(spark, notice_days, v) for v in ["30 days", "2 months", "3 weeks", "thirty (30) days", "Unknown"]]
+    assert got == [30, 60, 21, None, None]
+    df = spark.createDataFrame([("£27,335", "EMEA"), ("50000", "EMEA"), ("$1,000", "APAC"), ("abc", "APAC")],
+                               "v string, r string")
+    rows = [tuple(r.x) for r in df.select(contract_value(F.col("v"), F.col("r")).alias("x")).collect()]
+    assert rows == [(27335.0, "GBP"), (50000.0, "EUR"), (1000.0, "USD"), (None, "USD")]
+
+
+def test_jurisdiction_validity(spark):
+    got = [one(spark, R.jurisdiction_valid, v) for v in ["EMEA", "Colorado", "CO", "N/A", "Peru"]]
+    assert got == [False, True, True, False, False]
