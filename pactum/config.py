@@ -37,6 +37,15 @@ class EngineConfig:
     default_owner: str = "contracts-owner"
     default_co_owner: str = "contracts-co-owner"
     distribution_owner: str = "distribution-owner"
+    # ingest routing owners (E5); empty = not configured
+    owner_legal: str = "legal-owner"
+    owner_marketing: str = "marketing-owner"
+    owner_procurement: str = "procurement-owner"
+    owner_distribution_emea: str = "distribution-emea-owner"
+    owner_distribution_na_apac: str = "distribution-na-apac-owner"
+    owner_distribution_na: str = "distribution-na-owner"
+    default_contract_owner: str = ""
+    default_contract_co_owner: str = ""
     # partition sizing hints (used by plans that repartition explicitly)
     range_partitions: int = 16
     extras: dict = field(default_factory=dict)

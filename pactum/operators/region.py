@@ -207,3 +207,52 @@ def department_and_owner(department: Column, owner: Column, co_owner: Column, co
     co = (F.when(co == "", F.when(d_co != own, d_co).otherwise(F.lit("")))
           .when((co == own) & (d_co != own), d_co).otherwise(co))
     return F.struct(dept.alias("department"), own.alias("owner"), co.alias("co_owner"))
+
+
+# Ingest routing keywords (E5).
+DISTRIBUTION_KEYWORDS = ("distributor", "distribution", "reseller", "partner program")
+PROCUREMENT_KEYWORDS = ("supplier", "manufactur", "oem", "vendor", "hotel", "credit card", "procurement")
+MARKETING_KEYWORDS = ("marketing", "campaign", "advertising", "joint marketing")
+
+
+def _owners(*names: str, cfg=None) -> list[str]:
+    """Order-preserving unique non-empty owners plus the configured defaults."""
+    out: list[str] = []
+    for n in names:
+        if n and n not in out:
+            out.append(n)
+    if not out and cfg.default_contract_owner:
+        out.append(cfg.default_contract_owner)
+    if cfg.default_contract_co_owner and cfg.default_contract_co_owner not in out:
+        out.append(cfg.default_contract_co_owner)
+    return out
+
+
+def _arr(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def assign_owners(contract_type: Column, region: Column, cfg) -> Column:
+    """E5: struct(department, owners) by type keywords (marketing, then
+    procurement, then distribution by region), owners de-duplicated in order.
+    Owner names are configuration, so every branch is a literal array."""
+    t = F.lower(F.coalesce(contract_type, F.lit("")))
+    r = F.lower(F.coalesce(region, F.lit("")))
+    legal = _owners(cfg.owner_legal, cfg=cfg)
+    dist = (F.when(r.isin("emea", "europe", "europe, middle east and africa"), F.struct(
+                F.lit("EMEA Distribution").alias("department"),
+                _arr(_owners(cfg.owner_distribution_emea, cfg.owner_legal, cfg=cfg) or legal).alias("owners")))
+            .when(r.isin("north america", "na", "apac", "asia pac", "asia-pacific"), F.struct(
+                F.lit("NA APAC Distributor Management").alias("department"),
+                _arr(_owners(cfg.owner_distribution_na_apac, cfg.owner_legal, cfg=cfg) or legal).alias("owners")))
+            .otherwise(F.struct(F.lit("NA Distribution").alias("department"),
+                                _arr(_owners(cfg.owner_distribution_na, cfg.owner_legal, cfg=cfg) or legal)
+                                .alias("owners"))))
+    return (F.when(_contains_any(t, MARKETING_KEYWORDS), F.struct(
+                F.lit("Marketing").alias("department"),
+                _arr(_owners(cfg.owner_legal, cfg.owner_marketing, cfg=cfg)).alias("owners")))
+            .when(_contains_any(t, PROCUREMENT_KEYWORDS), F.struct(
+                F.lit("Procurement").alias("department"),
+                _arr(_owners(cfg.owner_legal, cfg.owner_procurement, cfg=cfg)).alias("owners")))
+            .when(_contains_any(t, DISTRIBUTION_KEYWORDS), dist)
+            .otherwise(F.struct(F.lit("Legal").alias("department"), _arr(legal).alias("owners"))))

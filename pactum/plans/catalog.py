@@ -770,3 +770,14 @@ def q_c7(spark, sf):
     raw = C.effective_date_from_preamble(F.col("text"))
     return d.select("contract_id", raw.alias("raw")).select(
         "contract_id", "raw", normalise_date_text(F.col("raw")).alias("effective_date_extracted"))
+
+
+@register("e5_ingest_routing")
+def q_e5(spark, sf):
+    ct = contracts(spark, sf)
+    det = RG.detect_region_gdpr(F.col("text"), F.col("counterparty_address"))
+    region = F.coalesce(det["region"], RG.region_from_addresses(F.col("counterparty_address")))
+    r = RG.assign_owners(F.col("contract_type"), region, CFG)
+    return ct.select("contract_id", region.alias("region"), r["department"].alias("sharepoint_department"),
+                     F.element_at(r["owners"], 1).alias("sharepoint_owner_primary"),
+                     F.array_join(r["owners"], ", ").alias("sharepoint_owners"))

@@ -937,18 +937,18 @@ def _wb2(n: str) -> str:
     return left + n + right
 
 
-def _e1_sql() -> str:
+def _e1_sql(source: str = "contract_documents", extra: str = "") -> str:
     from ..operators import region as RG
     ent = "COALESCE(" + ", ".join(f"NULLIF(regexp_extract(t, {_rx(p)}, 0), '')" for p in RG.EU_ENTITY_PATTERNS) + ")"
-    return with_fact(f"""
-SELECT contract_id,
+    return f"""
+SELECT contract_id,{extra}
   COALESCE(explicit, CASE WHEN ent IS NOT NULL THEN 'EMEA' END, CASE WHEN country IS NOT NULL THEN 'EMEA' END,
            CASE WHEN na IS NOT NULL THEN 'North America' END, CASE WHEN ap IS NOT NULL THEN 'APAC' END) AS region,
   CASE WHEN explicit = 'EMEA' OR ent IS NOT NULL OR country IS NOT NULL THEN TRUE END AS subject_to_gdpr,
   CASE WHEN explicit = 'EMEA' THEN 'EMEA region'
        WHEN ent IS NOT NULL THEN 'European legal entity type (' || upper(regexp_replace(list_last(string_split_regex(trim(ent), '\\s+')), '\\.+$', '')) || ')'
        WHEN country IS NOT NULL THEN 'European address (' || country || ')' END AS gdpr_reason
-FROM (SELECT contract_id, t,
+FROM (SELECT contract_id,{extra} t,
   CASE WHEN regexp_matches(t, {_rx('(?i)' + _wb2('EMEA'))}) THEN 'EMEA'
        WHEN regexp_matches(t, {_rx('(?i)' + _wb2('North America'))}) THEN 'North America'
        WHEN regexp_matches(t, {_rx('(?i)' + _wb2('APAC'))}) OR regexp_matches(t, {_rx('(?i)' + _wb2('Asia Pacific'))}) THEN 'APAC' END AS explicit,
@@ -956,8 +956,8 @@ FROM (SELECT contract_id, t,
   {_first_name_sql('t', RG.EMEA_COUNTRIES)} AS country,
   {_first_name_sql('t', RG.NA_LOCATIONS)} AS na,
   {_first_name_sql('t', RG.APAC_COUNTRIES)} AS ap
-  FROM (SELECT contract_id, CASE WHEN coalesce(counterparty_address, '') <> '' THEN coalesce(text, '') || ' ' || counterparty_address
-                                 ELSE coalesce(text, '') END AS t FROM contract_documents))""")
+  FROM (SELECT contract_id,{extra} CASE WHEN coalesce(counterparty_address, '') <> '' THEN coalesce(text, '') || ' ' || counterparty_address
+                                 ELSE coalesce(text, '') END AS t FROM {source}))"""
 
 
 def _e3_sql() -> str:
@@ -983,7 +983,7 @@ FROM (SELECT *, COALESCE(CASE WHEN trim(coalesce(region, '')) <> '' THEN region
       FROM contracts)""")
 
 
-ORACLE["e1_region_gdpr_detection"] = _e1_sql()
+ORACLE["e1_region_gdpr_detection"] = with_fact(_e1_sql())
 ORACLE["e3_region_gdpr_export"] = _e3_sql()
 
 
@@ -1100,3 +1100,52 @@ FROM (SELECT *, {fixed} AS s2 FROM (SELECT *, {s} AS s1 FROM (SELECT contract_id
 
 
 ORACLE["c7_effective_date_extracted"] = _c7_sql()
+
+
+
+def _e5_sql() -> str:
+    from ..config import FIXTURE_CONFIG as C
+    from ..operators import region as RG
+
+    def has(c, words):
+        return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+    def owners(*names):
+        out = []
+        for n in names:
+            if n and n not in out:
+                out.append(n)
+        if not out and C.default_contract_owner:
+            out.append(C.default_contract_owner)
+        if C.default_contract_co_owner and C.default_contract_co_owner not in out:
+            out.append(C.default_contract_co_owner)
+        return out
+    legal = owners(C.owner_legal)
+
+    def arr(v):
+        return "[" + ", ".join(f"'{x}'" for x in v) + "]::VARCHAR[]"
+    low = "lower(coalesce(counterparty_address, ''))"
+    addr = (f"CASE WHEN {has(low, [w.lower() for w in RG.EMEA_COUNTRIES])} THEN 'EMEA' "
+            f"WHEN {has(low, [w.lower() for w in RG.NA_LOCATIONS])} THEN 'North America' "
+            f"WHEN {has(low, [w.lower() for w in RG.APAC_COUNTRIES])} THEN 'APAC' END")
+    t = "lower(coalesce(contract_type, ''))"
+    r = "lower(coalesce(rg, ''))"
+    dist_dep = (f"CASE WHEN {r} IN ('emea', 'europe', 'europe, middle east and africa') THEN 'EMEA Distribution' "
+                f"WHEN {r} IN ('north america', 'na', 'apac', 'asia pac', 'asia-pacific') THEN 'NA APAC Distributor Management' "
+                f"ELSE 'NA Distribution' END")
+    dist_own = (f"CASE WHEN {r} IN ('emea', 'europe', 'europe, middle east and africa') THEN {arr(owners(C.owner_distribution_emea, C.owner_legal) or legal)} "
+                f"WHEN {r} IN ('north america', 'na', 'apac', 'asia pac', 'asia-pacific') THEN {arr(owners(C.owner_distribution_na_apac, C.owner_legal) or legal)} "
+                f"ELSE {arr(owners(C.owner_distribution_na, C.owner_legal) or legal)} END")
+    dep = (f"CASE WHEN {has(t, RG.MARKETING_KEYWORDS)} THEN 'Marketing' WHEN {has(t, RG.PROCUREMENT_KEYWORDS)} THEN 'Procurement' "
+           f"WHEN {has(t, RG.DISTRIBUTION_KEYWORDS)} THEN {dist_dep} ELSE 'Legal' END")
+    own = (f"CASE WHEN {has(t, RG.MARKETING_KEYWORDS)} THEN {arr(owners(C.owner_legal, C.owner_marketing))} "
+           f"WHEN {has(t, RG.PROCUREMENT_KEYWORDS)} THEN {arr(owners(C.owner_legal, C.owner_procurement))} "
+           f"WHEN {has(t, RG.DISTRIBUTION_KEYWORDS)} THEN {dist_own} ELSE {arr(legal)} END")
+    e1 = _e1_sql("contracts", " contract_type, counterparty_address,")
+    return with_fact(f"""
+SELECT contract_id, rg AS region, {dep} AS sharepoint_department, ({own})[1] AS sharepoint_owner_primary,
+  array_to_string({own}, ', ') AS sharepoint_owners
+FROM (SELECT *, COALESCE(region, {addr}) AS rg FROM ({e1}))""")
+
+
+ORACLE["e5_ingest_routing"] = _e5_sql()
