@@ -558,3 +558,32 @@ def inherit_terms(reg: DataFrame, meta: DataFrame) -> DataFrame:
         law_in.alias("inherited_jurisdiction"),
         F.when(term_in.isNotNull(), F.concat(F.lit("[Inherited from MSA] "), term_in)).alias("termination_notice"),
         F.when(init_in.isNotNull(), F.concat(F.lit("[Inherited from MSA] "), init_in)).alias("initial_term"))
+
+
+def relationship_text(current_type: Column) -> Column:
+    """struct(document_hierarchy, parent_contracts, child_contracts,
+    related_documents) for the current contract type (exact labels)."""
+    sow = current_type == "Statement of Work (SOW)"
+    amd = current_type == "Amendment"
+    msa = current_type == "Master Service Agreement (MSA)"
+    return F.struct(
+        F.when(sow, "MSA (Parent) -> SOW (Current)").when(amd, "Original Contract -> Amendment (Current)")
+        .when(msa, "MSA (Current) -> SOWs (Children)").otherwise("").alias("document_hierarchy"),
+        F.when(sow, "Master Service Agreement (MSA)").when(amd, "Original Contract").otherwise("")
+        .alias("parent_contracts"),
+        F.when(msa, "Statements of Work (SOWs)").otherwise("").alias("child_contracts"),
+        F.when(sow, "Review parent MSA for governing terms")
+        .when(amd, "Identify base contract for amendment tracking")
+        .when(msa, "Track all SOWs executed under this MSA").otherwise("").alias("related_documents"))
+
+
+def party_role(contract_type: Column, is_primary: bool) -> Column:
+    """Role name of a party by contract type (primary company or
+    counterparty)."""
+    t = F.lower(F.coalesce(contract_type, F.lit("")))
+    if is_primary:
+        return (F.when(t.contains("reseller") | t.contains("distributor"), "Vendor")
+                .when(t.contains("nda"), "Discloser").otherwise("Client"))
+    return (F.when(t.contains("reseller"), "Reseller").when(t.contains("distributor"), "Distributor")
+            .when(t.contains("nda"), "Recipient").when(t.contains("procurement") | t.contains("vendor"), "Vendor")
+            .when(t.contains("hotel"), "Hotel").when(t.contains("contractor"), "Contractor").otherwise("Party"))

@@ -781,3 +781,16 @@ def q_e5(spark, sf):
     return ct.select("contract_id", region.alias("region"), r["department"].alias("sharepoint_department"),
                      F.element_at(r["owners"], 1).alias("sharepoint_owner_primary"),
                      F.array_join(r["owners"], ", ").alias("sharepoint_owners"))
+
+
+@register("e39_relationship_map")
+def q_e39(spark, sf):
+    d = contract_documents(spark, sf)
+    et = C.enterprise_type(F.col("text"))
+    ct = contracts(spark, sf).select("contract_id", "contract_type")
+    rel = d.select("contract_id", et.alias("current_type")).join(ct, "contract_id")
+    r = R.relationship_text(F.col("current_type"))
+    return rel.select("contract_id", "current_type", r.alias("r"),
+                      R.party_role(F.col("contract_type"), True).alias("primary_role"),
+                      R.party_role(F.col("contract_type"), False).alias("counterparty_role")) \
+        .select("contract_id", "current_type", "r.*", "primary_role", "counterparty_role")

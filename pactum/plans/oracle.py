@@ -1149,3 +1149,32 @@ FROM (SELECT *, COALESCE(region, {addr}) AS rg FROM ({e1}))""")
 
 
 ORACLE["e5_ingest_routing"] = _e5_sql()
+
+
+def _e39_sql() -> str:
+    from ..operators.clauses import ENTERPRISE_TYPES
+    et = "CASE " + " ".join(f"WHEN contains(lower(coalesce(d.text, '')), '{x.lower()}') THEN '{x}'"
+                            for x in ENTERPRISE_TYPES) + " END"
+    t = "lower(coalesce(c.contract_type, ''))"
+    return with_fact(f"""
+SELECT contract_id, current_type,
+  CASE current_type WHEN 'Statement of Work (SOW)' THEN 'MSA (Parent) -> SOW (Current)'
+    WHEN 'Amendment' THEN 'Original Contract -> Amendment (Current)'
+    WHEN 'Master Service Agreement (MSA)' THEN 'MSA (Current) -> SOWs (Children)' ELSE '' END AS document_hierarchy,
+  CASE current_type WHEN 'Statement of Work (SOW)' THEN 'Master Service Agreement (MSA)'
+    WHEN 'Amendment' THEN 'Original Contract' ELSE '' END AS parent_contracts,
+  CASE WHEN current_type = 'Master Service Agreement (MSA)' THEN 'Statements of Work (SOWs)' ELSE '' END AS child_contracts,
+  CASE current_type WHEN 'Statement of Work (SOW)' THEN 'Review parent MSA for governing terms'
+    WHEN 'Amendment' THEN 'Identify base contract for amendment tracking'
+    WHEN 'Master Service Agreement (MSA)' THEN 'Track all SOWs executed under this MSA' ELSE '' END AS related_documents,
+  primary_role, counterparty_role
+FROM (SELECT d.contract_id, {et} AS current_type,
+  CASE WHEN contains({t}, 'reseller') OR contains({t}, 'distributor') THEN 'Vendor' WHEN contains({t}, 'nda') THEN 'Discloser'
+       ELSE 'Client' END AS primary_role,
+  CASE WHEN contains({t}, 'reseller') THEN 'Reseller' WHEN contains({t}, 'distributor') THEN 'Distributor'
+       WHEN contains({t}, 'nda') THEN 'Recipient' WHEN contains({t}, 'procurement') OR contains({t}, 'vendor') THEN 'Vendor'
+       WHEN contains({t}, 'hotel') THEN 'Hotel' WHEN contains({t}, 'contractor') THEN 'Contractor' ELSE 'Party' END AS counterparty_role
+  FROM contract_documents d JOIN contracts c USING (contract_id))""")
+
+
+ORACLE["e39_relationship_map"] = _e39_sql()
