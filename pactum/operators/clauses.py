@@ -233,12 +233,13 @@ def defined_terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFra
     shorts = F.regexp_extract_all(t, F.lit(DEFINED_MARKER), 1)
     pieces = F.split(t, DEFINED_MARKER)
     run = lambda p: F.reverse(F.regexp_extract(F.reverse(p), r'^([^()"]+)', 1))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     pairs = F.transform(shorts, lambda s, i: F.struct(
-        F.trim(run(F.element_at(pieces, i + 1))).alias("full_term"), F.trim(s).alias("short_term"),
-        (i + 1).alias("ordinal"),
+        strip(run(F.element_at(pieces, i + 1))).alias("full_term"), strip(s).alias("short_term"),
         (F.length(run(F.element_at(pieces, i + 1))) > 0).alias("ok")))
-    return (df.select(id_col, F.explode(pairs).alias("p")).where(F.col("p.ok"))
-            .select(id_col, "p.ordinal", "p.full_term", "p.short_term"))
+    kept = F.filter(pairs, lambda p: p["ok"])
+    return (df.select(id_col, F.posexplode(kept).alias("pos", "p"))
+            .select(id_col, (F.col("pos") + 1).alias("ordinal"), "p.full_term", "p.short_term"))
 
 
 def contract_refs(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

@@ -1178,3 +1178,12 @@ FROM (SELECT d.contract_id, {et} AS current_type,
 
 
 ORACLE["e39_relationship_map"] = _e39_sql()
+
+
+ORACLE["c15_defined_terms"] = with_fact(r"""
+SELECT contract_id, CAST(ordinal AS INTEGER) AS ordinal,
+  regexp_replace(f, '^\s+|\s+$', '', 'g') AS full_term, regexp_replace(s, '^\s+|\s+$', '', 'g') AS short_term
+FROM (SELECT contract_id, unnest(range(1, len(fl) + 1)) AS ordinal, unnest(fl) AS f, unnest(sl) AS s FROM (
+  SELECT contract_id, regexp_extract_all(coalesce(text, ''), '([^()"]+?)\s*\((?:the\s+)?"([^"]+)"\)', 1) AS fl,
+         regexp_extract_all(coalesce(text, ''), '([^()"]+?)\s*\((?:the\s+)?"([^"]+)"\)', 2) AS sl
+  FROM contract_documents))""")
