@@ -587,3 +587,51 @@ def party_role(contract_type: Column, is_primary: bool) -> Column:
     return (F.when(t.contains("reseller"), "Reseller").when(t.contains("distributor"), "Distributor")
             .when(t.contains("nda"), "Recipient").when(t.contains("procurement") | t.contains("vendor"), "Vendor")
             .when(t.contains("hotel"), "Hotel").when(t.contains("contractor"), "Contractor").otherwise("Party"))
+
+
+# Full names per type code and the title map per hierarchy.
+TYPE_FULL_NAMES = (
+    ("MSA", "Master Service Agreement"), ("SVC", "Service Agreement"), ("DST", "Distributor Agreement"),
+    ("RSL", "Reseller Agreement"), ("OEM", "OEM Agreement"), ("PUR", "Purchase Agreement"),
+    ("VND", "Vendor Agreement"), ("DEV", "Development Agreement"), ("NDA", "Non-Disclosure Agreement"),
+    ("SOW", "Statement of Work"), ("AMD", "Amendment"), ("TRM", "Termination Agreement"),
+    ("COR", "Correspondence"), ("SCH", "Schedule"),
+)
+HIERARCHY_TITLES = (
+    ("MSA", "Master Service Agreement"), ("NDA", "Non-Disclosure Agreement"), ("SOW", "Statement of Work"),
+    ("SCHEDULE", "Schedule"), ("SCH", "Schedule"), ("AMENDMENT", "Amendment"), ("STANDALONE", "Service Agreement"),
+)
+
+
+def clean_title_text(c: Column) -> Column:
+    """Drop the file extension and 'final / executed' words, '_' and '-'
+    runs to spaces, collapse spaces, trim ' -_/'."""
+    t = F.regexp_replace(F.trim(c), r"(?i)\.(pdf|docx?|xlsx?)$", "")
+    t = F.regexp_replace(t, r"(?i)\b(fully\s+executed|final|final\s+clean|executed copy)\b", "")
+    t = F.regexp_replace(t, r"[_\-]+", " ")
+    t = F.regexp_replace(t, r"\s{2,}", " ")
+    return F.regexp_replace(t, r"^[ \-_/]+|[ \-_/]+$", "")
+
+
+def contract_title(title_candidates: list[Column], hierarchy: Column, code: Column, counterparty: Column,
+                   primary_name: str) -> Column:
+    """The first title candidate that is >= 6 chars after cleaning, else
+    '<full type name> - <counterparty or primary company>'."""
+    cleaned = [F.when(F.length(clean_title_text(c)) >= 6, clean_title_text(c)) for c in title_candidates]
+    full = F.lit(None).cast("string")
+    for k, v in reversed(TYPE_FULL_NAMES):
+        full = F.when(code == k, F.lit(v)).otherwise(full)
+    full = F.coalesce(full, F.when(hierarchy != "", hierarchy), F.lit("Contract"))
+    frag = F.when(F.coalesce(counterparty, F.lit("")).isin("", "Unknown"), F.lit(primary_name)).otherwise(counterparty)
+    return F.coalesce(*cleaned, F.concat(full, F.lit(" - "), frag))
+
+
+def simplify_title(title: Column, hierarchy: Column) -> Column:
+    """Hierarchy title when the hierarchy is known, else the part before ' - '."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    head = F.when(t.contains(" - "), F.trim(F.substring_index(t, " - ", 1))).otherwise(t)
+    key = F.upper(F.trim(F.coalesce(hierarchy, F.lit(""))))
+    mapped = F.lit(None).cast("string")
+    for k, v in reversed(HIERARCHY_TITLES):
+        mapped = F.when(key == k, F.lit(v)).otherwise(mapped)
+    return F.coalesce(mapped, head)

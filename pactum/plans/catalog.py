@@ -794,3 +794,12 @@ def q_e39(spark, sf):
                       R.party_role(F.col("contract_type"), True).alias("primary_role"),
                       R.party_role(F.col("contract_type"), False).alias("counterparty_role")) \
         .select("contract_id", "current_type", "r.*", "primary_role", "counterparty_role")
+
+
+@register("e30_contract_titles")
+def q_e30(spark, sf):
+    cls = R.classify(contracts(spark, sf).where(~R.non_contract_file(F.col("filename"))), AS_OF, CFG)
+    title = R.contract_title([F.lit(None).cast("string")], F.col("hierarchy"), F.col("type_code"),
+                             F.col("counterparty"), CFG.primary_company_display)
+    return cls.select("contract_id", title.alias("contract_title"),
+                      R.simplify_title(title, F.col("hierarchy")).alias("simplified_title"))

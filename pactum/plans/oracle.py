@@ -1187,3 +1187,19 @@ FROM (SELECT contract_id, unnest(range(1, len(fl) + 1)) AS ordinal, unnest(fl) A
   SELECT contract_id, regexp_extract_all(coalesce(text, ''), '([^()"]+?)\s*\((?:the\s+)?"([^"]+)"\)', 1) AS fl,
          regexp_extract_all(coalesce(text, ''), '([^()"]+?)\s*\((?:the\s+)?"([^"]+)"\)', 2) AS sl
   FROM contract_documents))""")
+
+
+def _e30_sql() -> str:
+    from ..config import FIXTURE_CONFIG as C
+    from ..operators import registry as R
+    full = "CASE " + " ".join(f"WHEN type_code = '{k}' THEN '{v}'" for k, v in R.TYPE_FULL_NAMES) + " END"
+    mapped = "CASE upper(trim(hierarchy)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.HIERARCHY_TITLES) + " END"
+    title = (f"COALESCE({full}, NULLIF(hierarchy, ''), 'Contract') || ' - ' || "
+             f"CASE WHEN coalesce(counterparty, '') IN ('', 'Unknown') THEN '{C.primary_company_display}' ELSE counterparty END")
+    return with_fact(f"""
+SELECT contract_id, {title} AS contract_title,
+  COALESCE({mapped}, CASE WHEN contains({title}, ' - ') THEN trim(split_part({title}, ' - ', 1)) ELSE trim({title}) END) AS simplified_title
+FROM r4""", ctes=_registry_ctes())
+
+
+ORACLE["e30_contract_titles"] = _e30_sql()
