@@ -339,3 +339,41 @@ def effective_date_from_preamble(text: Column) -> Column:
     """C13f: raw effective-date literal from the first matching pattern."""
     t = F.coalesce(text, F.lit(""))
     return F.trim(first_capture(t, EFFECTIVE_DATE_PATTERNS, guards=EFFECTIVE_DATE_GUARDS, low=F.lower(t)))
+
+
+# Section blocks (C17).  The original's block splitter is not available; our
+# definition: a numbered heading is a line "<n>. <Capital>"; the preamble is
+# the text before the first heading (all of it when there is none); the term
+# block runs from the first heading line containing "TERM" to the next
+# heading; the signature block runs from "IN WITNESS WHEREOF" to the end.
+HEADING = r"\n[ \t]*\d+\.[ \t]+[A-Z]"
+PREAMBLE = r"(?s)^(.*?)(?:" + HEADING + r"|$)"
+TERM_BLOCK = r"(?s)(\n[ \t]*\d+\.[ \t]+[^\n]*TERM[^\n]*.*?)(?:" + HEADING + r"|$)"
+SIGNATURES = r"(?s)(IN WITNESS WHEREOF.*)$"
+# Preamble contract-type labels (C3), in order.
+PREAMBLE_TYPES = ("Master Service Agreement", "Distributor Agreement", "OEM Agreement", "NDA", "SOW",
+                  "Statement of Work", "License Agreement")
+
+
+def section_blocks(text: Column) -> Column:
+    """C17 (our definition): struct(preamble, term_termination, signatures)."""
+    t = F.coalesce(text, F.lit(""))
+    return F.struct(
+        F.regexp_extract(t, PREAMBLE, 1).alias("preamble"),
+        F.nullif(F.regexp_extract(t, TERM_BLOCK, 1), F.lit("")).alias("term_termination"),
+        F.when(t.contains("IN WITNESS WHEREOF"), F.regexp_extract(t, SIGNATURES, 1)).alias("signatures"))
+
+
+def preamble_type(preamble: Column) -> Column:
+    """First label contained in the preamble (case-insensitive)."""
+    low = F.lower(F.coalesce(preamble, F.lit("")))
+    out = F.lit(None).cast("string")
+    for label in reversed(PREAMBLE_TYPES):
+        out = F.when(low.contains(label.lower()), F.lit(label)).otherwise(out)
+    return out
+
+
+def signature_dates(signatures: Column) -> Column:
+    """Every ``DATE: ...`` line value of the signature block, joined."""
+    found = F.regexp_extract_all(F.coalesce(signatures, F.lit("")), F.lit(r"DATE:\s*([^\n]+)"), 1)
+    return F.when(F.size(found) > 0, F.array_join(found, ", "))

@@ -803,3 +803,14 @@ def q_e30(spark, sf):
                              F.col("counterparty"), CFG.primary_company_display)
     return cls.select("contract_id", title.alias("contract_title"),
                       R.simplify_title(title, F.col("hierarchy")).alias("simplified_title"))
+
+
+@register("c17_section_blocks")
+def q_c17(spark, sf):
+    d = contract_documents(spark, sf)
+    b = C.section_blocks(F.col("text"))
+    return d.select("contract_id", b.alias("b")).select(
+        "contract_id", F.length("b.preamble").alias("preamble_chars"),
+        C.preamble_type(F.col("b.preamble")).alias("preamble_type"),
+        F.col("b.term_termination").isNotNull().alias("has_term_block"),
+        C.signature_dates(F.col("b.signatures")).alias("signature_dates"))

@@ -1203,3 +1203,19 @@ FROM r4""", ctes=_registry_ctes())
 
 
 ORACLE["e30_contract_titles"] = _e30_sql()
+
+
+def _c17_sql() -> str:
+    from ..operators import clauses as C
+    ptype = "CASE " + " ".join(f"WHEN contains(lower(pre), '{x.lower()}') THEN '{x}'" for x in C.PREAMBLE_TYPES) + " END"
+    return with_fact(f"""
+SELECT contract_id, CAST(length(pre) AS INTEGER) AS preamble_chars, {ptype} AS preamble_type,
+  NULLIF(regexp_extract(t, {_rx(C.TERM_BLOCK)}, 1), '') IS NOT NULL AS has_term_block,
+  CASE WHEN len(regexp_extract_all(coalesce(sig, ''), 'DATE:\\s*([^\\n]+)', 1)) > 0
+       THEN array_to_string(regexp_extract_all(coalesce(sig, ''), 'DATE:\\s*([^\\n]+)', 1), ', ') END AS signature_dates
+FROM (SELECT contract_id, t, regexp_extract(t, {_rx(C.PREAMBLE)}, 1) AS pre,
+        CASE WHEN contains(t, 'IN WITNESS WHEREOF') THEN regexp_extract(t, {_rx(C.SIGNATURES)}, 1) END AS sig
+      FROM (SELECT contract_id, coalesce(text, '') AS t FROM contract_documents))""")
+
+
+ORACLE["c17_section_blocks"] = _c17_sql()
