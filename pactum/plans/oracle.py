@@ -1219,3 +1219,4 @@ FROM (SELECT contract_id, t, regexp_extract(t, {_rx(C.PREAMBLE)}, 1) AS pre,
 
 
 ORACLE["c17_section_blocks"] = _c17_sql()
+ORACLE["a8_force_reprocess"] = ORACLE["a7_idempotent_ingest"]
