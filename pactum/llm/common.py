@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import table  # noqa: F401  (re-used by the query module)
@@ -36,6 +37,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def most_frequent(counts: DataFrame, n_col: str, limit: int) -> tuple[DataFrame, int]:
+    """The rows of ``counts`` with the largest ``n_col``: as many whole groups of equal
+    counts as make at most ``limit`` rows, and the least count among them.
+
+    Only the histogram of counts is ordered, so no task hands ``limit`` rows on."""
+    hist = (counts.groupBy(n_col).agg(F.count(F.lit(1)).alias("_rows"))
+            .orderBy(F.desc(n_col)).limit(limit).collect())
+    total, least = 0, None
+    for r in hist:
+        total += r["_rows"]
+        if total > limit:
+            break
+        least = r[n_col]
+    if least is None:                    # no rows, or more equal ones than the limit
+        return counts.limit(0), (hist[0][n_col] + 1 if hist else 0)
+    return counts.filter(F.col(n_col) >= least), int(least)
+
+
 # ---------------------------------------------------------------- text blocks
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -35,11 +35,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import run_folder, text_blocks
+from .common import most_frequent, run_folder, stage, text_blocks
 
 MAX_WORDS = 131_072            # words compiled into the lexicon
-CACHE_WORDS = 200_000          # distinct words one worker remembers
+CACHE_WORDS = 400_000          # distinct words one worker remembers
 CACHE_WORD_BYTES = 64
+BLOCK = 4 << 20                # text bytes that are coded together
 _WIDE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -158,9 +159,9 @@ def merge_words(vocab: Vocabulary, words: list[bytes]) -> list[list[int]]:
         more = best >> 32 < _NO_PAIR
         if not more.all():                        # words without a pair are done
             done = np.repeat(~more, size)
-            for w, ids in zip(word[first[~more]].tolist(),
-                              np.split(sym[done], np.cumsum(size[~more])[:-1])):
-                out[w] = ids.tolist()
+            ids, end = sym[done].tolist(), np.cumsum(size[~more])
+            for w, a, b in zip(word[first[~more]].tolist(), (end - size[~more]).tolist(), end.tolist()):
+                out[w] = ids[a:b]
             if not more.any():
                 break
         pos = best[more] & 0xFFFFFFFF
@@ -313,6 +314,7 @@ class Coder:
         self.lex = open_lexicon(lexicon_path)
         self.known: dict[str, tuple] = {}
         self.after: dict[str, tuple] = {}
+        self.id_text = {i: str(i) for i in self.vocab.bytes_of}
         self.listed: dict[int, tuple] = {}            # records of lexicon words, by number
 
     def _records(self, chunks: list[str]) -> list[tuple]:
@@ -335,35 +337,32 @@ class Coder:
                 (",".join([made[w][0] for w in s]), b"".join([made[w][1] for w in s])) for s in split]
 
     def _record(self, seq: list[int]) -> tuple[str, bytes]:
-        return ",".join(map(str, seq)), b"".join(map(self.vocab.bytes_of.__getitem__, seq))
+        return (",".join(map(self.id_text.__getitem__, seq)),
+                b"".join(map(self.vocab.bytes_of.__getitem__, seq)))
 
     def records(self, texts: list[str]) -> list[list[tuple]]:
         """The chunk records of each text, in order."""
-        heads, tails, found = [], [], []
-        for t in texts:
-            h, r = chunks(t)
-            heads.append(h)
-            tails.append(r)
-            found.append(list(map(self.known.get, h)) + list(map(self.after.get, r)))
+        cut = [chunks(t) for t in texts]
+        heads = self._look([h for h, _ in cut], self.known, "")
+        tails = self._look([r for _, r in cut], self.after, " ")
+        return [h + r for h, r in zip(heads, tails)]
+
+    def _look(self, lists: list[list[str]], known: dict[str, tuple], lead: str) -> list[list[tuple]]:
+        found = [list(map(known.get, c)) for c in lists]
+        open_ = [k for k, f in enumerate(found) if None in f]
         new: Counter = Counter()
-        for h, r, f in zip(heads, tails, found):
-            if None in f:
-                new.update(c for c, x in zip(h, f) if x is None)
-                new.update(" " + c for c, x in zip(r, f[len(h):]) if x is None)
+        for k in open_:
+            new.update([c for c, x in zip(lists[k], found[k]) if x is None])
         if new:
             order = list(new)
-            fresh = dict(zip(order, self._records(order)))
-            for h, r, f in zip(heads, tails, found):
-                if None in f:
-                    f[:] = [x or fresh[c] for c, x in zip(h, f)] + \
-                        [x or fresh[" " + c] for c, x in zip(r, f[len(h):])]
-            if len(self.known) > CACHE_WORDS:
-                self.known, self.after = {}, {}       # bounded; chunks can be coded again
-            for c, x in fresh.items():
-                if new[c] > 1 and len(c) <= CACHE_WORD_BYTES:
-                    self.known[c] = x
-                    if c[0] == " ":
-                        self.after[c[1:]] = x
+            fresh = dict(zip(order, self._records([lead + c for c in order] if lead else order)))
+            for k in open_:
+                found[k] = [x or fresh[c] for c, x in zip(lists[k], found[k])]
+            if len(known) > CACHE_WORDS:
+                known.clear()                         # bounded; chunks can be coded again
+            for c, n in new.items():
+                if n > 1 and len(c) <= CACHE_WORD_BYTES:
+                    known[c] = fresh[c]
         return found
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -389,7 +388,7 @@ def chunks(text: str) -> tuple[list[str], list[str]]:
 
 def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                    max_words: int = MAX_WORDS) -> list[bytes]:
-    """The ``max_words`` most frequent pre-tokens of all texts (ties by value)."""
+    """The most frequent pre-tokens of all texts, ``max_words`` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, seen, lead = _vocab(tokenizer_path), Counter(), Counter()
@@ -406,7 +405,7 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                 [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                 names=["w", "n"])
 
-        for b in text_blocks(batches, "_t"):
+        for b in text_blocks(batches, "_t", BLOCK):
             for t in b.column(0).to_pylist():
                 h, r = chunks(t or "")
                 lead.update(h)
@@ -415,12 +414,12 @@ def frequent_words(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
                 yield rows()
         yield rows()
 
-    top = (docs.select(docs[text_col].alias("_t")).mapInArrow(count, "w string, n long")
-           .filter(F.length("w") <= CACHE_WORD_BYTES)
-           .groupBy("w").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "w").limit(max_words))
+    counted = (docs.select(docs[text_col].alias("_t")).mapInArrow(count, "w string, n long")
+               .filter(F.length("w") <= CACHE_WORD_BYTES).groupBy("w").agg(F.sum("n").alias("n")))
+    top, _ = most_frequent(stage(counted.filter("n > 1"), run_folder(docs.sparkSession), "words"), "n", max_words)
     special = _vocab(tokenizer_path).special
-    return [r.w.encode() for r in top.select("w").collect() if r.w not in special]
+    words = top.select("w").toPandas()["w"]              # max_words rows at most
+    return [w.encode() for w in words if w not in special]
 
 
 def publish_lexicon(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
@@ -461,7 +460,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             _CODERS[key] = Coder(*key)
         coder = _CODERS[key]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in text_blocks(batches, "_t"):
+        for b in text_blocks(batches, "_t", BLOCK):
             found = coder.records([t or "" for t in b.column(1).to_pylist()])
             back = [b"".join([x[1] for x in f]).decode("utf-8", "replace") for f in found]
             if digest:
