@@ -8,11 +8,12 @@ ordered thresholds t_1 < ... < t_{G-1} cut the score s = w.x:
 Every document gets the expected grade and the tail probability P(grade >= top);
 documents with a tail probability of at least ``keep_at`` are selected.
 
-Features are presences of 64-bit hashes: runs of letters (A-Z lower-cased), runs of
-digits, runs of other characters, and shares of capitals, symbols and repeated runs
-in steps of an eighth.  A hash is used if at least ``MIN_SHARE`` of the training rows (and
-``MIN_ROWS``) have it, at most ``MAX_FEATURES`` of them, so hashes don't collide in
-practice and weights are a bounded array.
+Features are presences of 64-bit hashes: runs of letters (A-Z lower-cased) and their
+beginnings, runs of digits, runs of other characters, and shares of capitals, symbols
+and repeated runs in steps of an eighth.  A hash is used if at least ``MIN_SHARE`` of the
+training rows (and ``MIN_ROWS``) have it and its chi-square against the grades reaches
+``MIN_SCORE``; of these the ``MAX_FEATURES`` highest.  So noise has no weight, hashes
+don't collide in practice and weights are a bounded array.
 
 The fit uses a bounded sample: all rated documents, or of more than ``MAX_TRAIN``
 those with the smallest hashed ids (a fixed share of the hash range, at most a few
@@ -38,11 +39,13 @@ from pyspark.sql import functions as F
 from .common import U64, as_i64, flat_text, mix64, run_folder, span_hashes, stage, text_blocks
 
 MAX_TRAIN = 20_000
-MAX_FEATURES = 16_384
+MAX_FEATURES = 8_192
+MIN_SCORE = 30.0               # chi-square of a feature against the grades
+STEMS = (4, 6)                 # bytes of word beginnings
 MIN_ROWS = 4
 MIN_SHARE = 0.0005
-RIDGE = 0.3                    # weight penalty: RIDGE / 2 * |w|^2 over the whole sample
-STEPS = 40
+RIDGE = 0.1                    # weight penalty: RIDGE / 2 * |w|^2 over the whole sample
+STEPS = 60
 FIT_TASKS = 12
 SHARE_STEPS = 8
 KEEP_AT = 0.5
@@ -77,6 +80,7 @@ def features(col: pa.Array) -> list[np.ndarray]:
     caps = np.add.reduceat(np.r_[(data >= 65) & (data <= 90), False].astype(np.int64), np.minimum(off[:-1], len(data)))
     caps = np.where(np.diff(off) > 0, caps, 0)
     runs = np.bincount(row, minlength=n)
+    stems = [(row[k == 1], _stem(data, s[k == 1], e[k == 1], size)) for size in STEMS]
     shares = (caps / np.maximum(letters, 1), np.bincount(row, weights=k == 3, minlength=n) / np.maximum(runs, 1),
               np.bincount(row, weights=same, minlength=n) / np.maximum(runs, 1))
     more_row, more_h = [], []
@@ -85,13 +89,18 @@ def features(col: pa.Array) -> list[np.ndarray]:
             at = np.flatnonzero(share * SHARE_STEPS >= step)
             more_row.append(at)
             more_h.append(np.full(len(at), mix64(np.array([(i + 1) * 1000 + step], U64))[0], U64))
-    row = np.concatenate([row, *more_row])
-    h = np.concatenate([h, *more_h])
+    row = np.concatenate([row, *more_row, *(r for r, _ in stems)])
+    h = np.concatenate([h, *more_h, *(x for _, x in stems)])
     order = np.argsort(row, kind="stable")
     ends = np.cumsum(np.bincount(row, minlength=n))[:-1]
     return [np.unique(x) for x in np.split(h[order], ends)]
 
 
+def _stem(data: np.ndarray, s: np.ndarray, e: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` bytes of runs, apart from those of whole runs."""
+    return mix64(span_hashes(data, s, np.minimum(e, s + size)) + U64(size))
+
+
 def feature_rows(docs: DataFrame) -> DataFrame:
     """(grade, f): grade and distinct feature hashes of training rows (grade, text)."""
 
@@ -131,7 +140,7 @@ def loss_and_gradient(idx: np.ndarray, off: np.ndarray, grade: np.ndarray, w: np
     return float(-np.log(p).sum()), g_w, g_t[1:-1]
 
 
-def lbfgs(f, x: np.ndarray, steps: int, memory: int = 8, tol: float = 1e-4) -> np.ndarray:
+def lbfgs(f, x: np.ndarray, steps: int, memory: int = 8, tol: float = 1e-3) -> np.ndarray:
     """Minimise ``f(x) -> (value, gradient)``."""
     value, grad = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -155,7 +164,7 @@ def lbfgs(f, x: np.ndarray, steps: int, memory: int = 8, tol: float = 1e-4) -> n
             break
         if (g - grad) @ (new - x) > 1e-12:
             pairs = [*pairs[1 - memory:], (new - x, g - grad)]
-        done = value - v < tol * max(1.0, abs(v)) * 0.1
+        done = value - v < tol * abs(v)
         x, value, grad = new, v, g
         if done:
             break
@@ -172,8 +181,16 @@ def fit(rated: DataFrame, folder: str, n_grades: int) -> tuple[np.ndarray, np.nd
     if n == 0:
         return np.zeros(0, U64), np.zeros(0), np.full(n_grades - 1, -20.0)
     least = max(MIN_ROWS, math.ceil(MIN_SHARE * n))
-    chosen = (rows.select(F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") >= least).orderBy(F.desc("n"), "f").limit(MAX_FEATURES).toPandas())
+    by_grade = [F.count(F.when(F.col("grade") == g, 1)).alias(f"n{g}") for g in range(n_grades)]
+    score = F.lit(0.0)
+    for g in range(n_grades):
+        p = per_grade.get(g, 0) / n
+        if 0 < p < 1:
+            score += F.pow(F.col(f"n{g}") - F.col("n") * p, F.lit(2.0)) / (F.col("n") * p)
+    chosen = (rows.select("grade", F.explode("f").alias("f")).groupBy("f")
+              .agg(F.count(F.lit(1)).alias("n"), *by_grade).filter(F.col("n") >= least)
+              .withColumn("score", score).filter(F.col("score") >= MIN_SCORE)
+              .orderBy(F.desc("score"), "f").limit(MAX_FEATURES).toPandas())
     hashes = np.sort(chosen["f"].to_numpy(np.int64).view(U64))
     sc = rows.sparkSession.sparkContext
     known = sc.broadcast(hashes)
@@ -297,8 +314,10 @@ def select_documents(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col:
 
 
 def corpus_ratings(labels: DataFrame) -> DataFrame:
-    """Grades of the ``labels`` table: 0 low quality, 1 toxic, 2 good."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    """Grades of the ``labels`` table: how many of "good quality" and "not toxic" hold.
+
+    Low quality and toxicity each take one grade, which suits one additive score."""
+    grade = F.col("quality").cast("int") + 1 - F.coalesce(F.col("toxic").cast("int"), F.lit(0))
     return labels.select(F.col("doc_id").alias("id"), grade.alias("grade"))
 
 
