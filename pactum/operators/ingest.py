@@ -55,9 +55,10 @@ def needs_ocr(text: Column, has_images: Column, requested: Column | None = None)
 
 
 def source_hash(file_name: Column, text: Column) -> Column:
-    """I1 (text-only form): sha1 of the lower-cased file name and the first
-    2,000 characters of the text."""
-    return F.sha1(F.concat(F.lower(file_name), F.substring(F.coalesce(text, F.lit("")), 1, 2000)))
+    """I1 (text-only form): sha1 of the lower-cased file name, the text's size in
+    bytes and the whole text, so files that only begin alike stay apart."""
+    body = F.coalesce(text, F.lit(""))
+    return F.sha1(F.concat(F.lower(file_name), F.octet_length(body).cast("string"), F.lit("-"), body))
 
 
 def contract_id(file_name: Column, hash_col: Column) -> Column:

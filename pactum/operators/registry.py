@@ -223,28 +223,35 @@ def classify(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFA
     return out.withColumn("yymm", yymm)
 
 
-def _substring_rows(df: DataFrame, name_col: str) -> DataFrame:
-    """(name, s) for every non-empty substring s of each (distinct) name, as
-    two generator steps (start, then length) and one codegen'd substring."""
+def substrings(df: DataFrame, name_col: str, lengths: list[int], *keep: str) -> DataFrame:
+    """(s, keep...) for every substring of ``name_col`` that has one of ``lengths``."""
     n = F.length(F.col(name_col))
-    starts = df.select(name_col, F.explode(F.sequence(F.lit(1), n)).alias("_st"))
-    spans = starts.select(name_col, "_st", F.explode(
-        F.sequence(F.lit(1), F.length(F.col(name_col)) - F.col("_st") + 1)).alias("_ln"))
-    return spans.select(name_col, F.substring(F.col(name_col), F.col("_st"), F.col("_ln")).alias("s"))
-
-
-def name_matches(child_names: DataFrame, parent_names: DataFrame) -> DataFrame:
-    """(c, p) pairs of distinct normalised names where c == p, or both are
-    non-empty and one contains the other.  Containment is an exact equi-join
-    of every substring of one side with the other side's names."""
-    c = child_names.select(F.col("name").alias("c"))
-    p = parent_names.select(F.col("name").alias("p"))
-    eq = c.join(p, F.col("c") == F.col("p")).select("c", "p")
-    p_sub = _substring_rows(p.where(F.col("p") != ""), "p").distinct()
-    c_in_p = p_sub.join(c.where(F.col("c") != ""), F.col("s") == F.col("c")).select("c", "p")
-    c_sub = _substring_rows(c.where(F.col("c") != ""), "c").distinct()
-    p_in_c = c_sub.join(p.where(F.col("p") != ""), F.col("s") == F.col("p")).select("c", "p")
-    return eq.unionByName(c_in_p).unionByName(p_in_c).distinct()
+    spans = df.select(name_col, *keep, F.explode(F.array(*[F.lit(x) for x in lengths]) if lengths
+                                                 else F.array().cast("array<int>")).alias("_ln")).where(F.col("_ln") <= n)
+    starts = spans.select(name_col, *keep, "_ln", F.explode(F.sequence(F.lit(1), n - F.col("_ln") + 1)).alias("_st"))
+    return starts.select(F.substring(F.col(name_col), F.col("_st"), F.col("_ln")).alias("s"), *keep)
+
+
+_FIELD = 10 ** 18
+
+
+def parent_order(hierarchy: Column, h_order: Column, sort_date: Column, pos: Column) -> Column:
+    """Priority of a parent row as one number (MSA first, then allocation order), so
+    that ``min`` runs as a hash aggregate; the position is its last 18 digits."""
+    d = "decimal(38,0)"
+    rank = (F.when(hierarchy == "MSA", 0).otherwise(1) * 10 + h_order).cast("decimal(2,0)")
+    micros = (F.unix_micros(sort_date) + F.lit(10 ** 17)).cast("decimal(18,0)")
+    return ((rank * F.lit(_FIELD).cast("decimal(19,0)") + micros).cast("decimal(20,0)")
+            * F.lit(_FIELD).cast("decimal(19,0)") + pos.cast("decimal(18,0)")).cast(d)
+
+
+def order_pos(key: Column) -> Column:
+    return (key % F.lit(_FIELD).cast("decimal(19,0)")).cast("bigint")
+
+
+def _lengths(names: DataFrame) -> list[int]:
+    """Distinct lengths of non-empty names (as many rows as the longest name at most)."""
+    return sorted(r.n for r in names.select(F.length("name").alias("n")).where("n > 0").distinct().collect())
 
 
 def parent_search(cls: DataFrame) -> DataFrame:
@@ -252,22 +259,31 @@ def parent_search(cls: DataFrame) -> DataFrame:
 
     Priority: MSA first (earliest in allocation order), else the first
     NDA/Standalone in allocation order; a parent matches by its counterparty
-    or its folder name."""
+    or its folder name, if the names are equal or one contains the other.
+
+    No pair of names is ever formed: the best key is reduced per substring of the
+    parents' names before children look up their whole name there, and children's
+    substrings look up the best key of a whole parent name.  Only substrings as long
+    as some name of the other side are made."""
     parents = cls.where(F.col("hierarchy").isin(*PARENT_CLASSES))
-    key = F.struct(F.when(F.col("hierarchy") == "MSA", 0).otherwise(1).alias("k0"),
-                   F.col("h_order"), F.col("sort_date"), F.col("_pos"))
+    key = parent_order(F.col("hierarchy"), F.col("h_order"), F.col("sort_date"), F.col("_pos"))
     pnames = parents.select(normalise_name(F.col("counterparty")).alias("name"), key.alias("key")) \
         .unionByName(parents.where(F.col("folder") != "")
                      .select(normalise_name(F.col("folder")).alias("name"), key.alias("key")))
-    best_by_pname = pnames.groupBy("name").agg(F.min("key").alias("key"))
+    best_by_pname = checkpointed(pnames.groupBy("name").agg(F.min("key").alias("key")))
     children = cls.where(F.col("hierarchy").isin(*CHILD_CLASSES)) \
         .withColumn("cname", normalise_name(F.col("counterparty")))
-    cnames = children.select(F.col("cname").alias("name")).distinct()
-    pairs = name_matches(cnames, best_by_pname.select("name"))
-    best = (pairs.join(best_by_pname, F.col("p") == F.col("name"))
-            .groupBy("c").agg(F.min("key").alias("key")))
-    return (children.join(best, F.col("cname") == F.col("c"), "left")
-            .select("_pos", F.col("key._pos").alias("parent_pos")))
+    cnames = checkpointed(children.select(F.col("cname").alias("name")).distinct())
+    in_parent = (substrings(best_by_pname.where("name <> ''"), "name", _lengths(cnames), "key")
+                 .groupBy("s").agg(F.min("key").alias("key")))
+    up = cnames.join(in_parent, F.col("name") == F.col("s")).select("name", "key")
+    own = cnames.where("name <> ''").withColumn("c", F.col("name"))
+    down = (substrings(own, "c", _lengths(best_by_pname), "name").distinct()
+            .join(best_by_pname.withColumnRenamed("name", "s"), "s").select("name", "key"))
+    same = cnames.join(best_by_pname, "name").select("name", "key")
+    best = up.unionByName(down).unionByName(same).groupBy("name").agg(F.min("key").alias("key"))
+    return (children.join(best.withColumnRenamed("name", "cname"), "cname", "left")
+            .select("_pos", order_pos(F.col("key")).alias("parent_pos")))
 
 
 def allocate_ids(cls: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -301,7 +317,10 @@ def allocate_ids(cls: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     rows = rows.withColumn("own_id", F.when(F.col("seq").isNotNull(), own_id))
     parent_ids = rows.where(~is_child).select(F.col("_pos").alias("parent_pos"),
                                               F.col("own_id").alias("parent_id"))
-    rows = rows.join(parent_ids, "parent_pos", "left")
+    # rows without a parent get a key of their own, or they would all meet in one task
+    own_key = F.coalesce("parent_pos", -1 - F.col("_pos"))
+    rows = (rows.withColumn("_link", own_key)
+            .join(parent_ids.withColumnRenamed("parent_pos", "_link"), "_link", "left").drop("_link"))
     suffix = (F.when(F.col("hierarchy") == "SOW", "SOW").when(F.col("hierarchy") == "Amendment", "A")
               .otherwise("SCH"))
     num = F.when(F.col("child_num") > 0, F.format_string("%02d", F.col("child_num"))).otherwise("01")
@@ -323,18 +342,10 @@ def normalise_registry_id(c: Column) -> Column:
     return F.when(has_leg, F.concat(F.regexp_replace(core, "-+$", ""), F.lit("-LEG"))).otherwise(core)
 
 
-def derived_parent_id(rid: Column, hierarchy: Column, pfx: str) -> Column:
-    """Parent id from a child id (text rule), '' when not derivable."""
-    is_child = hierarchy.isin(*CHILD_CLASSES)
-    last = F.element_at(F.split(rid, "-"), -1)
-    head = F.regexp_replace(rid, "-[^-]*$", "")
-    by_split = F.when(is_child & (rid.contains("-SOW") | rid.contains("-A0") | rid.contains("-SCH"))
-                      & (last.startswith("SOW") | last.startswith("A") | last.startswith("SCH")), head)
-    pat = rf"^({pfx}-[A-Z]{{3}}-\d{{4}}-\d{{4}})-(?:SOW|SCH|A)\d{{2}}(?:-LEG)?$"
-    base = F.regexp_extract(rid, pat, 1)
-    by_regex = F.when(is_child & (base != ""),
-                      F.concat(base, F.when(rid.contains("-LEG"), F.lit("-LEG")).otherwise(F.lit(""))))
-    return F.coalesce(by_split, by_regex, F.lit(""))
+def duplicate_ids(reg: DataFrame) -> DataFrame:
+    """Ids that more than one row got (equal parsed numbers under one parent)."""
+    return reg.groupBy("norm_id").agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1") \
+        .select(F.col("norm_id").alias("registry_id"), "n_rows")
 
 
 def family_parents(ids: DataFrame) -> DataFrame:
@@ -359,10 +370,11 @@ def registry(contracts: DataFrame, as_of: _dt.datetime, cfg: EngineConfig = DEFA
     ids = allocate_ids(cls, cfg).withColumn("norm_id", normalise_registry_id(F.col("registry_id")))
     fam = family_parents(ids)
     out = ids.join(fam, "family", "left")
-    derived = derived_parent_id(F.col("norm_id"), F.col("hierarchy"), cfg.id_prefix)
+    # The parent that the search found, by its id; the family only where it found none
+    linked = F.when(F.col("parent_id").isNotNull(), normalise_registry_id(F.col("parent_id")))
     fam_fallback = F.when(F.col("family_parent_id").isNotNull() & (F.col("family_parent_id") != F.col("norm_id")),
                           F.col("family_parent_id")).otherwise(F.lit(""))
-    parent = F.when(derived != "", derived).otherwise(fam_fallback)
+    parent = F.coalesce(linked, fam_fallback)
     return out.withColumn("parent_registry_id", parent)
 
 
@@ -487,7 +499,9 @@ def folder_context(df: DataFrame, folder_col: str) -> DataFrame:
     (one row per folder), not a window over a possibly huge folder."""
     folder = F.coalesce(F.col(folder_col), F.lit(""))
     counts = df.where(folder != "").groupBy(F.col(folder_col).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
-    out = df.join(counts, F.col(folder_col) == F.col("_f"), "left")
+    # rows without a folder match nothing: spread them instead of joining on ''
+    key = F.when(folder != "", folder).otherwise(F.concat(F.lit("\u0000"), F.rand(7).cast("string")))
+    out = df.withColumn("_key", key).join(counts, F.col("_key") == F.col("_f"), "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
     gid = F.when(folder != "", F.substring(F.md5(F.lower(folder)), 1, 12)).otherwise(F.lit(""))
     return out.select(*df.columns, n.alias("folder_document_count"), (n > 1).alias("has_related_documents"),
@@ -541,7 +555,10 @@ def inherit_terms(reg: DataFrame, meta: DataFrame) -> DataFrame:
     parents = rows.select(F.col("registry_id").alias("parent_registry_id"),
                           *[F.col(c).alias("p_" + c) for c in ("law", "termination", "renewal", "notification",
                                                                "initial_term")])
-    j = rows.join(parents, "parent_registry_id", "left")
+    # parent rows have no parent id: spread them instead of joining on ''
+    link = F.when(F.coalesce("parent_registry_id", F.lit("")) != "", F.col("parent_registry_id")) \
+        .otherwise(F.concat(F.lit("\u0000"), F.col("contract_id")))
+    j = rows.withColumn("_link", link).join(parents.withColumnRenamed("parent_registry_id", "_link"), "_link", "left")
     is_child = F.col("hierarchy").isin(*CHILD_CLASSES) & (F.coalesce(F.col("parent_registry_id"), F.lit("")) != "")
     has_law = jurisdiction_valid(F.col("law"))
     complete = has_law & F.col("termination").isNotNull() & F.col("renewal").isNotNull() \

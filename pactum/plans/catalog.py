@@ -260,6 +260,11 @@ def q_i6(spark, sf):
                     F.col("child_num").cast("int").alias("child_num"))
 
 
+@register("i6_duplicate_ids")
+def q_i6_dup(spark, sf):
+    return R.duplicate_ids(R.registry(contracts(spark, sf), AS_OF, CFG))
+
+
 # ------------------------------------------------------------------ PII
 from ..operators import pii as P  # noqa: E402
 from ..sources.tables import table  # noqa: E402
@@ -585,11 +590,28 @@ def q_t1(spark, sf):
 
 @register("t2_high_risk_alerts")
 def q_t2(spark, sf):
-    """Batch body of T2 over the current fact snapshot (version 1)."""
+    """T2 over a stream of row versions: the fact table, each row delivered twice."""
+    run = T.new_run_dir(spark, "t2")
+    src = _os.path.join(run, "versions")
     f = fact(spark, sf).select("contract_id", "risk_score", F.lit(1).alias("version"),
                                F.lit(AS_OF).cast("timestamp").alias("updated_at"))
-    return f.where(F.col("risk_score") >= 70).dropDuplicates(["contract_id", "version"]) \
-        .select("contract_id", "risk_score", "version")
+    f.unionByName(f).write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    out = T.run_alerts(spark, stream, _os.path.join(run, "alerts"), _os.path.join(run, "ckpt"))
+    return out.select("contract_id", "risk_score", "version")
+
+
+@register("t5_intake_queue")
+def q_t5(spark, sf):
+    """T5 over the documents as submissions, with the stored status."""
+    run = T.new_run_dir(spark, "t5")
+    docs = table(spark, sf, "documents")
+    stream = (spark.readStream.format("parquet").schema(docs.schema)
+              .option("pathGlobFilter", "documents.parquet").load(sf))
+    subs = stream.select(F.col("doc_id").alias("submission_id"),
+                         F.concat("source", F.lit("-"), "lang", F.lit(".pdf")).alias("file_name"), "text")
+    T.intake_queue(spark, subs, _os.path.join(run, "queue"), _os.path.join(run, "ckpt"))
+    return T.latest_queue(spark, _os.path.join(run, "queue"))
 
 
 @register("t6_session_history_stream")

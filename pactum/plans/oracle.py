@@ -419,16 +419,9 @@ r10 AS (SELECT *, CASE WHEN contains(registry_id, '-LEG') THEN rtrim(replace(reg
 fam AS (SELECT family, arg_min(norm_id, [CASE hierarchy WHEN 'MSA' THEN 0 WHEN 'Standalone' THEN 1 ELSE 2 END,
                  epoch_us(coalesce(effective_ts, TIMESTAMP '9999-12-31')), h_order, epoch_us(sort_date), _pos]) AS family_parent_id
         FROM r10 WHERE hierarchy IN ('MSA', 'NDA', 'Standalone') GROUP BY family),
-r11 AS (SELECT r10.*, fam.family_parent_id,
-          CASE WHEN hierarchy IN ('SOW', 'Amendment', 'Schedule') AND (contains(norm_id, '-SOW') OR contains(norm_id, '-A0') OR contains(norm_id, '-SCH'))
-                AND regexp_matches(regexp_extract(norm_id, '[^-]*$'), '^(SOW|A|SCH)')
-               THEN regexp_replace(norm_id, '-[^-]*$', '') END AS d1,
-          CASE WHEN hierarchy IN ('SOW', 'Amendment', 'Schedule')
-                AND regexp_matches(norm_id, '^({pfx}-[A-Z]{{3}}-\\d{{4}}-\\d{{4}})-(?:SOW|SCH|A)\\d{{2}}(?:-LEG)?$')
-               THEN regexp_extract(norm_id, '^({pfx}-[A-Z]{{3}}-\\d{{4}}-\\d{{4}})', 1)
-                    || CASE WHEN contains(norm_id, '-LEG') THEN '-LEG' ELSE '' END END AS d2
-        FROM r10 LEFT JOIN fam USING (family)),
-registry AS (SELECT *, COALESCE(d1, d2, CASE WHEN family_parent_id IS NOT NULL AND family_parent_id <> norm_id
+r11 AS (SELECT r10.*, fam.family_parent_id FROM r10 LEFT JOIN fam USING (family)),
+registry AS (SELECT *, COALESCE(CASE WHEN contains(parent_id, '-LEG') THEN rtrim(replace(parent_id, '-LEG', ''), '-') || '-LEG'
+                  ELSE parent_id END, CASE WHEN family_parent_id IS NOT NULL AND family_parent_id <> norm_id
                                              THEN family_parent_id ELSE '' END) AS parent_registry_id FROM r11)"""
 
 
@@ -438,6 +431,10 @@ SELECT contract_id, hierarchy, counterparty, family, type_code, norm_id AS regis
 FROM registry""", ctes=_registry_ctes())
 
 
+ORACLE["i6_duplicate_ids"] = with_fact("""
+SELECT norm_id AS registry_id, count(*) AS n_rows FROM registry GROUP BY 1 HAVING count(*) > 1""", ctes=_registry_ctes())
+
+
 # ------------------------------------------------------------------ PII
 def _wb(p: str) -> str:
     """Unicode-aware word boundary written out for RE2 (yes/no tests)."""
@@ -786,7 +783,7 @@ ORACLE["b17_humanised_keys"] = _b17()
 # ------------------------------------------------------------- ingest (A*, I*)
 _BATCH = """
 b0 AS (SELECT doc_id AS _pos, source || '-' || lang || '.pdf' AS file_name, octet_length(encode(coalesce(text, ''))) AS size,
-         text, sha1(lower(source || '-' || lang || '.pdf') || substr(coalesce(text, ''), 1, 2000)) AS source_hash
+         text, sha1(lower(source || '-' || lang || '.pdf') || CAST(octet_length(encode(coalesce(text, ''))) AS VARCHAR) || '-' || coalesce(text, '')) AS source_hash
        FROM documents),
 b1 AS (SELECT *, left(coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(file_name, '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'contract'), 40)
           || '-' || left(source_hash, 10) AS contract_id,
@@ -824,6 +821,8 @@ WHERE c.contract_id IN (SELECT contract_id FROM gaps ORDER BY len(missing) DESC,
 # ---------------------------------------------------------- streaming (T*)
 ORACLE["t1_auto_ingest_stream"] = ORACLE["a7_idempotent_ingest"]
 ORACLE["t6_session_history_stream"] = ORACLE["w1_last_events_per_user"]
+ORACLE["t5_intake_queue"] = f"""WITH {_BATCH.strip()}
+SELECT _pos AS submission_id, file_name, 'Processed' AS status, contract_id FROM b1"""
 ORACLE["t2_high_risk_alerts"] = with_fact("SELECT contract_id, risk_score, 1 AS version FROM fact WHERE risk_score >= 70")
 
 
@@ -911,7 +910,7 @@ def _c1_sql(use_filename: bool) -> str:
     from ..operators import classify as CL
     folder = f"CASE WHEN coalesce(parent_folder_name, '') <> '' THEN {_chain_sql('lower(parent_folder_name)', CL.FOLDER_RULES)} END"
     fname = f"CASE WHEN coalesce(filename, '') <> '' THEN {_chain_sql('lower(filename)', CL.FILENAME_RULES)} END"
-    text = _chain_sql("substr(lower(coalesce(text, '')), 1, 10000)", CL.TEXT_RULES)
+    text = _chain_sql("lower(coalesce(text, ''))", CL.TEXT_RULES)
     tiers = [("folder", folder)] + ([("filename", fname)] if use_filename else []) + [("text", text)]
     label = "COALESCE(" + ", ".join(t for _, t in tiers) + ", 'Auto-detected')"
     tier = "CASE " + " ".join(f"WHEN {t} IS NOT NULL THEN '{n}'" for n, t in tiers) + " ELSE 'default' END"

@@ -8,7 +8,7 @@
 * T3/T4: the daily expiration digest (K14) and weekly summary (K13) bodies run
   with ``trigger(availableNow=True)`` over the current fact snapshot.
 * T5 ``intake_queue``: submissions -> Processed with a contract id; each epoch
-  writes a new queue snapshot (never overwriting the path it reads).
+  writes its own folder and reads no other.
 * T6 ``session_history``: per-user last-10 history kept as bounded keyed state
   with ``applyInPandasWithState`` (batch twin: W1).
 Paths for collections, checkpoints and snapshots live under the shared folder
@@ -26,7 +26,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import ingest as IN
 from ..session import scratch_path
@@ -36,14 +35,14 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on its Hadoop file system; other failures surface."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 # ------------------------------------------------------------------- T1
+ID_PART_DIGITS = 2              # 256 folders of the collection
 COLLECTION_COLUMNS = ("contract_id", "_pos", "file_name", "source_hash", "size", "text")
 
 
@@ -56,10 +55,13 @@ def auto_ingest(spark: SparkSession, source_dir: str, schema: str, collection_pa
 
     def upsert(df: DataFrame, epoch_id: int) -> None:
         ok = IN.dedupe(df.where(F.col("junk_reason").isNull()).select(*COLLECTION_COLUMNS))
-        stored = _read_or_none(df.sparkSession, collection_path)
-        if stored is not None:
-            ok = ok.join(stored.select("contract_id"), "contract_id", "left_anti")
-        ok.write.mode("append").parquet(collection_path)
+        s = df.sparkSession
+        ok = ok.withColumn("id_part", F.concat(F.lit("p"), F.substring(F.sha1("contract_id"), 1, ID_PART_DIGITS)))
+        if path_exists(s, collection_path):
+            # stored ids are laid out by id part, so a batch reads only the parts it has ids in
+            stored = s.read.parquet(collection_path).select("contract_id", "id_part")
+            ok = ok.join(stored, ["contract_id", "id_part"], "left_anti")
+        ok.write.mode("append").partitionBy("id_part").parquet(collection_path)
 
     q = (batch.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -76,21 +78,32 @@ def high_risk_alerts(versions: DataFrame, threshold: int = 70, watermark: str =
             .dropDuplicatesWithinWatermark(["contract_id", "version"]))
 
 
+def run_alerts(spark: SparkSession, versions: DataFrame, out_path: str, checkpoint: str, threshold: int = 70) -> DataFrame:
+    """Drive T2 over a stream of row versions: each epoch writes its alerts to a folder
+    of its own, so a repeated epoch replaces itself."""
+    q = (high_risk_alerts(versions, threshold).writeStream.foreachBatch(_epoch_writer(out_path))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_path).drop("epoch")
+
+
+def _epoch_writer(root: str):
+    def write(df: DataFrame, epoch_id: int) -> None:
+        df.write.mode("overwrite").parquet(os.path.join(root, f"epoch={epoch_id}"))
+    return write
+
+
 # ------------------------------------------------------------------- T5
 def intake_queue(spark: SparkSession, submissions: DataFrame, queue_root: str, checkpoint: str) -> None:
-    """T5: mark submissions Processed with their contract id.  Epoch N reads
-    the latest snapshot and writes ``queue_root/epoch=N`` (pointer = max)."""
+    """T5: mark submissions Processed with their contract id.
+
+    Epoch N writes only its own submissions to ``queue_root/epoch=N``; no epoch reads or
+    rewrites another's folder, so a repeated epoch just replaces its own rows."""
     def step(df: DataFrame, epoch_id: int) -> None:
-        s = df.sparkSession
         name = F.col("file_name")
-        h = IN.source_hash(name, F.col("text"))
-        done = df.select("submission_id", "file_name",
-                         F.lit("Processed").alias("status"),
-                         IN.contract_id(name, h).alias("contract_id"))
-        prev = latest_queue(s, queue_root)
-        snap = done if prev is None else prev.join(done.select("submission_id"), "submission_id",
-                                                   "left_anti").unionByName(done)
-        snap.write.mode("overwrite").parquet(os.path.join(queue_root, f"epoch={epoch_id}"))
+        done = df.select("submission_id", "file_name", F.lit("Processed").alias("status"),
+                         IN.contract_id(name, IN.source_hash(name, F.col("text"))).alias("contract_id"))
+        done.write.mode("overwrite").parquet(os.path.join(queue_root, f"epoch={epoch_id}"))
 
     q = (submissions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -98,13 +111,13 @@ def intake_queue(spark: SparkSession, submissions: DataFrame, queue_root: str, c
 
 
 def latest_queue(spark: SparkSession, queue_root: str) -> DataFrame | None:
-    """The newest queue snapshot (``epoch`` is a partition column of the root;
-    works on any Hadoop file system)."""
-    df = _read_or_none(spark, queue_root)
-    if df is None:
+    """The queue as it stands: of each submission the row of its newest epoch."""
+    if not path_exists(spark, queue_root):
         return None
-    newest = df.select(F.max("epoch")).first()[0]
-    return df.where(F.col("epoch") == newest).drop("epoch")
+    rows = spark.read.parquet(queue_root)
+    cols = [c for c in rows.columns if c != "epoch"]
+    newest = rows.groupBy("submission_id").agg(F.max_by(F.struct(*cols), "epoch").alias("r"))
+    return newest.select("r.*")
 
 
 # ------------------------------------------------------------------- T6
@@ -153,14 +166,11 @@ def session_history(events: DataFrame) -> DataFrame:
 
 def run_session_history(spark: SparkSession, source_dir: str, schema: str, out_path: str, checkpoint: str,
                         glob: str = "*.parquet") -> DataFrame:
-    """Drive T6 over a file source; each epoch's emissions are appended with
-    the epoch id, and the latest emission per user is the current history."""
+    """Drive T6 over a file source; each epoch writes a folder of its own (a repeated
+    epoch replaces itself), and the latest emission per user is the current history."""
     stream = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", glob).load(source_dir)
 
-    def sink(df: DataFrame, epoch_id: int) -> None:
-        df.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(out_path)
-
-    q = (session_history(stream).writeStream.outputMode("update").foreachBatch(sink)
+    q = (session_history(stream).writeStream.outputMode("update").foreachBatch(_epoch_writer(out_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     out = spark.read.parquet(out_path)
