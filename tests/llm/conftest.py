@@ -1,0 +1,10 @@
+import pytest
+
+from pactum.session import local_session
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session(cores="*", shuffle_partitions=4, app="pactum-tests")
