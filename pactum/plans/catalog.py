@@ -629,8 +629,9 @@ def q_t6(spark, sf):
 from ..functions.dates import parse_date_export  # noqa: E402
 
 
-def governance_columns(ct: DataFrame) -> DataFrame:
-    """E18, E21, E23, E24, E31, E32 for every contract of the collection."""
+def governance_columns(ct: DataFrame, *keep: str) -> DataFrame:
+    """E18, E21, E23, E24, E31, E32 for every contract of the collection, beside the
+    columns ``keep``."""
     g = lambda n: M.col_or_null(ct, n)
     eff = F.coalesce(*[parse_date_export(g(f)) for f in
                        ("effective_date", "effective_date_extracted", "start_date", "commencement_date",
@@ -640,7 +641,7 @@ def governance_columns(ct: DataFrame) -> DataFrame:
     exp = F.coalesce(exp, parse_date_export(g("termination_date")))
     auto_yes = M.yes_no(g("auto_renewal"), "Unknown") == "Yes"
     return ct.select(
-        "contract_id",
+        "contract_id", *keep,
         R.lifecycle_stage(g("contract_status"), g("is_terminated").cast("boolean"), g("is_draft").cast("boolean"),
                           eff, exp, AS_OF).alias("lifecycle_stage"),
         R.risk_level(g("effective_date"), g("contract_type"), g("gdpr_applicable"),
@@ -750,8 +751,7 @@ def q_e8(spark, sf):
 @register("e19_archive_review")
 def q_e19(spark, sf):
     ct = contracts(spark, sf)
-    gov = governance_columns(ct).select("contract_id", "lifecycle_stage")
-    j = ct.select("contract_id", "is_draft", "contract_status").join(gov, "contract_id")
+    j = governance_columns(ct, "is_draft", "contract_status")
     fa = R.folder_actions(F.col("lifecycle_stage"), F.col("is_draft"), F.lit(None).cast("string"),
                           F.col("contract_status"), F.lit(None).cast("timestamp"), AS_OF)
     return j.select("contract_id", fa.alias("a")).select("contract_id", "a.*")
@@ -785,6 +785,31 @@ def q_b2(spark, sf):
                     M.flatten_map(F.col("inherited"), sort_keys=True).alias("inherited_json_sorted"))
 
 
+from ..operators import workorder as WO  # noqa: E402
+
+
+@register("c12c_duration")
+def q_c12c(spark, sf):
+    return contract_documents(spark, sf).select("contract_id", WO.duration(F.col("text")).alias("duration"))
+
+
+@register("c13k_work_order_dates")
+def q_c13k(spark, sf):
+    return contract_documents(spark, sf).select("contract_id", WO.work_order_dates(F.col("text")).alias("w")) \
+        .select("contract_id", "w.*")
+
+
+@register("c13l_parent_reference")
+def q_c13l(spark, sf):
+    return contract_documents(spark, sf).select("contract_id", WO.parent_reference(F.col("text")).alias("p")) \
+        .select("contract_id", "p.*")
+
+
+@register("c32_department_facts")
+def q_c32(spark, sf):
+    return WO.department_facts(contract_documents(spark, sf), "contract_id")
+
+
 @register("c7_effective_date_extracted")
 def q_c7(spark, sf):
     from ..functions.dates import normalise_date_text

@@ -1079,6 +1079,73 @@ FROM (SELECT *, list_transform(inherited_pairs, lambda s: [split_part(s, '=', 1)
 ORACLE["b2_flatten_metadata"] = _b2_sql()
 
 
+# Literals written out here, apart from the DataFrame code's patterns.
+_DATE = r"(?:\d{1,2}\s+[A-Za-z]+,?\s+\d{4}|[A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"
+_UNIT = r"\s*(?:days?|months?|years?))"
+_WORD_NUMBER = (r"(?i)((?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|eighteen|twenty|twenty-?four|"
+                r"thirty|thirty-?six|forty-?five|sixty|ninety|one\s+hundred\s+(?:twenty|eighty))\s*\(\d+\)")
+
+
+def _date_text(c: str, out: str, src: str) -> str:
+    """``src`` with a column ``out``: the date text ``c`` normalised as in C7."""
+    s = c
+    for typo, right in (("Seplember", "September"), ("Septmber", "September"), ("Sepetmber", "September"),
+                        ("Janurary", "January"), ("Febuary", "February"), ("Feburary", "February"), ("Apirl", "April"),
+                        ("Augest", "August"), ("Augst", "August"), ("Ocotber", "October"), ("Novmber", "November"),
+                        ("Decmber", "December")):
+        s = f"regexp_replace({s}, '{typo}', '{right}', 'gi')"
+    tries = ", ".join(f"try_strptime(trim({out}0), '{f}')" for f in (
+        "%B %d, %Y", "%B %d %Y", "%b %d, %Y", "%b %d %Y", "%d %B, %Y", "%d %B %Y", "%d %b, %Y", "%d %b %Y", "%Y-%m-%d",
+        "%m/%d/%Y", "%d/%m/%Y"))
+    return (f"(SELECT *, CASE WHEN COALESCE({tries}) IS NOT NULL THEN strftime(COALESCE({tries}), '%m/%d/%Y') "
+            f"ELSE {out}0 END AS {out} FROM (SELECT *, {s} AS {out}0 FROM {src}))")
+
+
+def _work_order_sql() -> dict[str, str]:
+    docs = "(SELECT contract_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') AS tn FROM contract_documents)"
+    both = rf"(?i)(?:project\s+)?start\s+date\s+(?:shall\s+be|is)\s+({_DATE})\s+and\s+(?:shall\s+)?end\s+({_DATE})"
+    starts = [rf"(?:project\s+)?start\s+date\s+(?:shall\s+be|is|:)\s*({_DATE})",
+              rf"(?:commencement|commence)\s+(?:date\s+)?(?:shall\s+be|is|on|:)\s*({_DATE})",
+              rf"services?\s+(?:shall\s+)?(?:commence|begin)\s+(?:on\s+)?({_DATE})"]
+    ends = [rf"(?:project\s+)?end\s+date\s+(?:shall\s+be|is|:)\s*({_DATE})", rf"(?:shall\s+)?end\s+(?:on\s+)?({_DATE})",
+            rf"completion\s+date\s+(?:shall\s+be|is|of|:)\s*({_DATE})",
+            rf"services?\s+(?:shall\s+)?(?:end|terminate|conclude)\s+(?:on\s+)?({_DATE})"]
+    done = (r"(?i)(?:shall|will)\s+terminate\s+upon\s+completion|terminat(?:e|es)\s+upon\s+(?:the\s+)?completion\s+of\s+(?:the\s+)?services"
+            r"|until\s+(?:the\s+)?completion\s+of\s+(?:the\s+)?(?:project|services|work)")
+    refs = [rf"(?:Master\s+)?(?:Services?\s+)?Agreement.*?(?:dated|effective)\s+(?:as\s+of\s+)?({_DATE})",
+            rf"pursuant\s+to\s+(?:the\s+)?(?:Master\s+)?(?:Services?\s+)?Agreement.*?dated\s+({_DATE})",
+            rf"under\s+(?:the\s+)?(?:MSA|Master\s+(?:Services?\s+)?Agreement).*?dated\s+({_DATE})",
+            rf"Statement\s+of\s+Work.*?(?:appended|attached|subject).*?(?:dated|effective)\s+(?:as\s+of\s+)?({_DATE})"]
+
+    def pick(g, alone):
+        return f"trim(CASE WHEN regexp_matches(tn, {_rx(both)}) THEN regexp_extract(tn, {_rx(both)}, {g}) ELSE {_first('tn', alone)} END)"
+    raw = f"(SELECT contract_id, {pick(1, starts)} AS s, {pick(2, ends)} AS e, regexp_matches(tn, {_rx(done)}) AS sow_completion_based FROM {docs})"
+    dates = _date_text("e", "sow_end_date", _date_text("s", "sow_start_date", raw))
+    ref = f"(SELECT contract_id, trim({_first('t', refs)}) AS d, lower({_first('t', refs, group=0)}) AS phrase FROM {docs})"
+    sections = (("PREAMBLE", r"THIS AGREEMENT.{0,100}WHEREAS"), ("TERM_AND_TERMINATION", "TERM AND TERMINATION|Term of Agreement"),
+                ("PAYMENT_TERMS", "PAYMENT|Compensation|Fees"), ("CONFIDENTIALITY", "CONFIDENTIALITY|Non-Disclosure"),
+                ("SIGNATURES", "IN WITNESS WHEREOF|EXECUTED|Signature:"))
+    found = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '(?is){p}') THEN '{n}' END" for n, p in sections) + "], lambda x: x IS NOT NULL)"
+    return {
+        "c12c_duration": with_fact(f"SELECT contract_id, trim({_first('t', [])}) AS duration FROM {docs}".replace(
+            "COALESCE()", f"COALESCE(nullif(regexp_extract(t, {_rx(_WORD_NUMBER + _UNIT)}, 1), ''), "
+                          f"nullif(regexp_extract(t, {_rx('(?i)([0-9]{1,3}' + _UNIT)}, 1), ''))")),
+        "c13k_work_order_dates": with_fact(f"SELECT contract_id, sow_start_date, sow_end_date, sow_completion_based FROM {dates}"),
+        "c13l_parent_reference": with_fact(f"""SELECT contract_id, parent_agreement_date,
+            CASE WHEN contains(phrase, 'master') OR contains(phrase, 'msa') THEN 'MSA' WHEN contains(phrase, 'service') THEN 'Services Agreement'
+                 WHEN phrase IS NOT NULL THEN 'Agreement' END AS parent_agreement_type FROM {_date_text('d', 'parent_agreement_date', ref)}"""),
+        "c32_department_facts": with_fact(f"""
+            SELECT contract_id, department, CASE department WHEN 'Legal' THEN array_to_string(found, ', ')
+              WHEN 'Sales' THEN 'payment ' || CASE WHEN list_contains(found, 'PAYMENT_TERMS') THEN 'found' ELSE 'not found' END
+                || ', termination ' || CASE WHEN list_contains(found, 'TERM_AND_TERMINATION') THEN 'found' ELSE 'not found' END
+              ELSE CAST(len(found) AS VARCHAR) || ' sections' END AS facts
+            FROM (SELECT contract_id, {found} AS found, unnest(['Legal', 'Sales', 'Procurement']) AS department FROM {docs})"""),
+    }
+
+
+ORACLE.update(_work_order_sql())
+
+
 def _c7_sql() -> str:
     from ..functions.dates import MONTH_TYPOS
     from ..operators.clauses import EFFECTIVE_DATE_PATTERNS
