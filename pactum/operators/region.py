@@ -20,17 +20,15 @@ EU_ENTITY_PATTERNS = (
 # reversed text the literal suffix anchors every attempt, so the scan is linear
 # instead of re-running the open letter class from every capital letter.  Only
 # presence and the suffix label are used, and both are direction-independent.
-EU_ENTITY_REVERSED = (
-    (r"\bdetimiL [A-Za-z&\s]+[A-Z]\b", "LIMITED", " Limited"),
-    (r"\b\.?dtL [A-Za-z&\s]+[A-Z]\b", "LTD", " Ltd"),
-    (r"\bHbmG [A-Za-z&\s]+[A-Z]\b", "GMBH", " GmbH"),
-    (r"\bSpA [A-Za-z&\s]+[A-Z]\b", "APS", " ApS"),
-    (r"\bVB [A-Za-z&\s]+[A-Z]\b", "BV", " BV"),
-    (r"\bVN [A-Za-z&\s]+[A-Z]\b", "NV", " NV"),
-    (r"\bGA [A-Za-z&\s]+[A-Z]\b", "AG", " AG"),
-    (r"\bAS [A-Za-z&\s]+[A-Z]\b", "SA", " SA"),
-    (r"\bSAS [A-Za-z&\s]+[A-Z]\b", "SAS", " SAS"),
-)
+def _right_to_left(pattern: str) -> tuple[str, str, str]:
+    """(pattern on the reversed text, label, text that must occur) of an entity pattern."""
+    suffix = pattern.split("]+ ")[1].removesuffix(r"\b")
+    word = suffix.removesuffix(r"\.?")
+    dot = suffix[len(word):]
+    return rf"\b{dot}{word[::-1]} [A-Za-z&\s]+[A-Z]\b", word.upper(), " " + word
+
+
+EU_ENTITY_REVERSED = tuple(_right_to_left(p) for p in EU_ENTITY_PATTERNS)
 # Place names by region, in search order.
 EMEA_COUNTRIES = (
     "Denmark", "Germany", "France", "UK", "United Kingdom", "England", "Scotland", "Netherlands",

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_QUERIES = 50_000  # query vectors shipped to tasks at once
 
+TILE_CELLS = 4_000_000          # scores that a task holds at once
+
 
 def _normalise(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
@@ -36,15 +38,17 @@ def _partial_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_c
                 continue
             ids = pdf[id_col].to_numpy()
             vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col].to_numpy()])
-            sims = _normalise(vecs) @ qmat.T  # (rows, queries)
-            kk = min(k, sims.shape[0])
-            # k best rows per query column (ties broken by id later)
-            top = np.argpartition(-sims, kk - 1, axis=0)[:kk] if kk < sims.shape[0] else \
-                np.tile(np.arange(sims.shape[0])[:, None], (1, sims.shape[1]))
-            rows = top.reshape(-1)
-            cols = np.tile(np.arange(sims.shape[1]), top.shape[0])
-            yield pd.DataFrame({"query_id": qids[cols], id_col: ids[rows],
-                                "cosine": sims[rows, cols]})
+            order = np.argsort(ids, kind="stable")
+            ids, vecs = ids[order], _normalise(vecs[order])
+            step = max(1, TILE_CELLS // max(1, len(ids)))
+            for a in range(0, len(qids), step):           # bounded score matrix
+                sims = vecs @ qmat[a:a + step].T          # (rows, queries)
+                # a stable sort by score keeps ties in id order at the cut
+                top = np.argsort(-sims, axis=0, kind="stable")[:k]
+                rows = top.reshape(-1)
+                cols = np.tile(np.arange(sims.shape[1]), top.shape[0])
+                yield pd.DataFrame({"query_id": qids[a + cols], id_col: ids[rows],
+                                    "cosine": sims[rows, cols]})
     return run
 
 

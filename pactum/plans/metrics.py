@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
@@ -123,27 +123,29 @@ FUNNEL_STAGES = ("Draft", "Active", "Expiring Soon", "Expired", "Terminated")
 def lifecycle_funnel(fact: DataFrame) -> DataFrame:
     """K9: ordered funnel stages.  A stage present as a status takes its count;
     'Expiring Soon' (never a status) takes the flag sum when > 0; when no stage
-    is present at all, the raw status counts are returned in count order.
-    ``width`` = count / max(count) over the (at most five) stage rows."""
-    spark = fact.sparkSession
-    stages = spark.createDataFrame([(i, s) for i, s in enumerate(FUNNEL_STAGES)],
-                                   "stage_order INT, stage STRING")
-    agg = fact.agg(F.count_if(F.col("is_expiring_soon")).alias("n_soon"))
-    status_counts = fact.groupBy(F.col("status").alias("stage")).agg(
-        F.count(F.lit(1)).alias("n_contracts"))
-    soon = agg.select(F.lit("Expiring Soon").alias("stage"), F.col("n_soon").alias("n_contracts"))
-    counts = status_counts.withColumn("prio", F.lit(0)).unionByName(
-        soon.where(F.col("n_contracts") > 0).withColumn("prio", F.lit(1)))
-    # a real status named 'Expiring Soon' wins over the flag sum
-    counts = counts.groupBy("stage").agg(F.min_by("n_contracts", "prio").alias("n_contracts"))
-    staged = F.broadcast(stages).join(counts, "stage", "inner")
-    fallback = status_counts.join(F.broadcast(stages), "stage", "left_anti") \
-        .select(F.lit(None).cast("int").alias("stage_order"), "stage", "n_contracts")
-    has_stage = staged.select(F.count(F.lit(1))).scalar() > 0
-    out = staged.select("stage_order", "stage", "n_contracts").unionByName(
-        fallback.where(~has_stage))
-    mx = out.select(F.max("n_contracts")).scalar()
-    return out.withColumn("width", F.col("n_contracts") / mx)
+    is present at all, the raw status counts are returned.
+    ``width`` = count / max(count) over the stage rows.
+
+    The fact table is aggregated once by status; everything else works on the one row
+    that holds the counts (as many as there are statuses)."""
+    per = fact.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_expiring_soon").alias("soon"))
+    one = per.agg(F.collect_list(F.struct("status", "n")).alias("all"), F.sum("soon").alias("soon"))
+    row = "array<struct<stage_order:int,stage:string,n_contracts:bigint>>"
+
+    def count_of(name: str) -> Column:
+        n = F.element_at(F.transform(F.filter("all", lambda x: x["status"] == name), lambda x: x["n"]), 1)
+        n = F.when(F.exists("all", lambda x: x["status"] == name), n)
+        return F.coalesce(n, F.when(F.col("soon") > 0, F.col("soon"))) if name == "Expiring Soon" else n
+
+    staged = F.array_compact(F.array(*(
+        F.when(count_of(s).isNotNull(), F.struct(F.lit(i).alias("stage_order"), F.lit(s).alias("stage"),
+                                                 count_of(s).alias("n_contracts")))
+        for i, s in enumerate(FUNNEL_STAGES)))).cast(row)
+    raw = F.transform("all", lambda x: F.struct(F.lit(None).cast("int").alias("stage_order"), x["status"].alias("stage"),
+                                                x["n"].alias("n_contracts"))).cast(row)
+    rows = one.select(F.when(F.size(staged) > 0, staged).otherwise(raw).alias("rows"))
+    return rows.select(F.explode("rows").alias("r"), F.array_max(F.transform("rows", lambda x: x["n_contracts"])).alias("mx")) \
+        .select("r.*", (F.col("r.n_contracts") / F.col("mx")).alias("width"))
 
 
 def expiration_calendar(fact: DataFrame, as_of: _dt.datetime) -> DataFrame:
