@@ -765,6 +765,16 @@ def q_g13(spark, sf):
         "contract_id", "terms_inherited", "inherited_jurisdiction")
 
 
+@register("e28_jurisdiction")
+def q_e28(spark, sf):
+    from ..operators.jurisdiction import jurisdictions
+    ct = contracts(spark, sf)
+    reg = R.registry(ct, AS_OF, CFG)
+    inherited = R.inherit_terms(reg, ct.select("contract_id", "governing_law")) \
+        .select("contract_id", "inherited_jurisdiction")
+    return jurisdictions(reg, inherited, ct)
+
+
 @register("e6_department_owner")
 def q_e6(spark, sf):
     ct = contracts(spark, sf)

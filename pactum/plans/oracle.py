@@ -1040,6 +1040,39 @@ LEFT JOIN (SELECT r.registry_id, nullif(k.governing_law, '') AS law FROM registr
 ORACLE["g13_export_inheritance"] = _g13_sql()
 
 
+def _e28_sql() -> str:
+    def valid(c):
+        from ..operators import registry as R
+        v = f"lower(trim(coalesce({c}, '')))"
+        ind = " OR ".join(f"contains({v}, '{w}')" for w in R.VALID_JURISDICTION_WORDS)
+        inv = ", ".join(f"'{x}'" for x in R.INVALID_JURISDICTIONS)
+        return (f"(CASE WHEN coalesce({c}, '') = '' THEN FALSE WHEN {v} IN ({inv}) THEN FALSE WHEN {ind} THEN TRUE "
+                f"WHEN length({v}) = 2 AND regexp_matches({v}, '^[a-z]{{2}}$') THEN TRUE ELSE length({v}) > 4 END)")
+    countries = (("england", "England and Wales"), ("united kingdom", "England and Wales"), ("uk", "England and Wales"),
+                 ("germany", "Germany"), ("deutschland", "Germany"), ("france", "France"), ("netherlands", "Netherlands"),
+                 ("australia", "Australia"), ("singapore", "Singapore"), ("hong kong", "Hong Kong"), ("japan", "Japan"),
+                 ("canada", "Ontario, Canada"))
+    states = ("colorado co,california ca,new york ny,texas tx,florida fl,michigan mi,illinois il,georgia ga,delaware de,"
+              "massachusetts ma,washington wa,virginia va,north carolina nc,arizona az,nevada nv,oregon or,minnesota mn,"
+              "wisconsin wi,tennessee tn,ohio oh,pennsylvania pa").split(",")
+    country = " ".join(f"WHEN contains(a, '{w}') THEN '{j}'" for w, j in countries)
+    state = " ".join(f"WHEN regexp_matches(a, '\\b{s[:-3]}\\b|\\b{s[-2:]}\\s+[0-9]{{5}}') THEN '{s[:-3].title()}'" for s in states)
+    inherited = ORACLE["g13_export_inheritance"]
+    head, tail = inherited.rsplit("SELECT c.contract_id,", 1)
+    return f"""{head}
+SELECT contract_id, CASE WHEN {valid('law')} THEN law
+    WHEN child AND {valid('inherited_jurisdiction')} THEN inherited_jurisdiction || ' (from MSA)'
+    {country} WHEN region = 'North America' THEN CASE {state} ELSE 'Colorado (default - requires verification)' END
+    ELSE 'Requires Review' END AS jurisdiction
+FROM (SELECT r.contract_id, r.hierarchy IN ('SOW', 'Amendment', 'Schedule') AS child, k.governing_law AS law, k.region,
+             lower(coalesce(k.counterparty_address, '')) AS a, i.inherited_jurisdiction
+      FROM registry r JOIN contracts k USING (contract_id)
+      LEFT JOIN (SELECT c.contract_id, {tail}) i USING (contract_id))"""
+
+
+ORACLE["e28_jurisdiction"] = _e28_sql()
+
+
 def _e6_sql() -> str:
     from ..config import FIXTURE_CONFIG as C
     from ..operators import region as RG
