@@ -97,9 +97,12 @@ class Cascade:
         return found
 
 
-def bloom_level(keys: DataFrame, n: int, rate: float) -> tuple[int, int, np.ndarray]:
-    """(bits, hashes, words) of a Bloom filter of ``keys`` (h1, h2); made by Spark."""
-    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
+def bloom_level(keys: DataFrame, n: int, rate: float, level: int = 0) -> tuple[int, int, np.ndarray]:
+    """(bits, hashes, words) of a Bloom filter of ``keys`` (h1, h2); made by Spark.
+
+    The modulus differs from level to level, so keys that meet in one level part in a
+    later one also where filters are tiny."""
+    bits = (max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2)) | 1) + 2 * level
     k = max(1, round(-math.log2(rate)))
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                                lambda j: F.pmod(F.pmod("h1", F.lit(bits)) + j * F.pmod("h2", F.lit(bits)), F.lit(bits)))).alias("at")
@@ -117,7 +120,7 @@ def build_cascade(keys: DataFrame, n_listed: int, n_rest: int) -> Cascade:
     rate = min(DEEP_RATE, max(1e-6, n_listed * math.sqrt(0.5) / max(1, n_rest)))
     side, n = keys.filter("listed"), n_listed
     while n:
-        cascade.levels.append(bloom_level(side, n, rate))
+        cascade.levels.append(bloom_level(side, n, rate, len(cascade.levels)))
         other = keys.filter("NOT listed" if len(cascade.levels) % 2 else "listed")
         side = _passing(other, cascade)
         n, rate = side.count(), DEEP_RATE
