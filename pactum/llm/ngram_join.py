@@ -175,61 +175,92 @@ def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int) -> Data
         run, "bucket int, keys binary, sizes binary, counts binary, vals binary")
 
 
+def _by_group(keys: np.ndarray, at: np.ndarray, n_groups: int):
+    """Classes ``at`` cut into groups by key: (group, classes) for each group that occurs.
+
+    What a bucket knows of its classes is handed on as one row for each group, so the
+    rows between two exchanges are buckets times groups, not buckets times classes."""
+    group = np.frombuffer(keys[at].tobytes(), U64)[::2] % U64(n_groups)
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(n_groups + 1))
+    return [(g, at[order[ends[g]:ends[g + 1]]]) for g in range(n_groups) if ends[g] < ends[g + 1]]
+
+
+def _merged(t: pa.Table, *names: str):
+    """A group: its distinct keys with sizes, the class of each handed-on entry, and the
+    joined columns ``names`` (name:type)."""
+    cols = {n.split(":")[0]: np.frombuffer(b"".join(x.as_py() for x in t.column(n.split(":")[0])), n.split(":")[1])
+            for n in ("keys:V16", "sizes:i4", *names)}
+    halves = np.frombuffer(cols["keys"].tobytes(), U64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.r_[True, (halves[order][1:] != halves[order][:-1]).any(1)][:len(order)]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return cols["keys"][first], cols["sizes"][first], which, cols
+
+
 def screen(docs: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
     """(key, n) of the classes whose screened members leave a partner possible."""
 
-    def run(tab: pa.Table) -> pa.Table:
+    def count(tab: pa.Table) -> pa.Table:
         keys, sizes, counts, keep, owner, _, df = _shared(tab)
-        common = np.bincount(owner[df > 1], minlength=len(keys))
-        at = np.flatnonzero(keep)
-        return pa.table({"key": pa.array([keys[i].tobytes() for i in at], pa.binary()), "n": pa.array(sizes[at]),
-                         "c": pa.array(counts[at]), "m": pa.array(common[at].astype(np.int32))})
+        common = np.bincount(owner[df > 1], minlength=len(keys)).astype(np.int32)
+        rows = [(g, keys[c].tobytes(), sizes[c].tobytes(), counts[c].tobytes(), common[c].tobytes())
+                for g, c in _by_group(keys, np.flatnonzero(keep), n_buckets)]
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), **{
+            n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("keys", "sizes", "c", "m"), 1)}})
+
+    def judge(tab: pa.Table) -> pa.Table:
+        keys, sizes, which, cols = _merged(tab, "c:i4", "m:i4")
+        c, m = (np.bincount(which, weights=cols[x], minlength=len(keys)) for x in ("c", "m"))
+        at = np.flatnonzero(m >= c - t.may_miss(sizes.astype(np.int64)))
+        return pa.table({"key": pa.array([keys[i].tobytes() for i in at], pa.binary()), "n": pa.array(sizes[at], pa.int32())})
 
-    found = (_bucketed(docs, "part", n_buckets, t.least_size()).groupBy("bucket")
-             .applyInArrow(run, "key binary, n int, c int, m int")
-             .groupBy("key", "n").agg(F.sum("c").alias("c"), F.sum("m").alias("m")))
-    miss = F.col("n") - F.ceil(F.col("n") * t.num / t.den)
-    return found.filter(F.col("m") >= F.col("c") - miss).select("key", "n")
+    return (_bucketed(docs, "part", n_buckets, t.least_size()).groupBy("bucket")
+            .applyInArrow(count, "grp int, keys binary, sizes binary, c binary, m binary")
+            .groupBy("grp").applyInArrow(judge, "key binary, n int"))
 
 
 def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
     """(key, n, members, prefix, before): members shared with other classes (ascending,
     binary), the prefix among them, and how many members of x stand before the prefix."""
 
-    def run(tab: pa.Table) -> pa.Table:
-        keys, sizes, _, keep, owner, vals, df = _shared(tab)
+    def collect(tab: pa.Table) -> pa.Table:
+        keys, sizes, _, _, owner, vals, df = _shared(tab)
         at = np.flatnonzero(df > 1)
-        owner, vals, df = owner[at], vals[at], df[at]
-        order = np.argsort(owner, kind="stable")
+        order = at[np.argsort(owner[at], kind="stable")]
         owner, vals, df = owner[order], vals[order], df[order]
-        who, first = np.unique(owner, return_index=True)
-        cut = np.r_[first, len(owner)]
-        spans = list(zip(cut[:-1], cut[1:]))
-        return pa.table({
-            "key": pa.array([keys[i].tobytes() for i in who], pa.binary()), "n": pa.array(sizes[who]),
-            "v": pa.array([vals[a:b].tobytes() for a, b in spans], pa.binary()),
-            "d": pa.array([df[a:b].tobytes() for a, b in spans], pa.binary())})
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for key, n, vd in zip(*(b.column(i).to_pylist() for i in range(3))):
-                v = np.frombuffer(b"".join(x["v"] for x in vd), U64)
-                d = np.frombuffer(b"".join(x["d"] for x in vd), np.int64)
-                alone = n - len(v)
-                take = t.may_miss(n) + 1 - alone
-                if take > 0:
-                    order = np.lexsort((v, d))[:take]
-                    out.append((key, n, np.sort(v).tobytes(), as_i64(v[order]), alone))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int32()),
-                 pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.list_(pa.int64())),
-                 pa.array([r[4] for r in out], pa.int32())], names=["key", "n", "members", "prefix", "before"])
-
-    rows = (_bucketed(sets, "members", n_buckets, t.least_size()).groupBy("bucket")
-            .applyInArrow(run, "key binary, n int, v binary, d binary"))
-    return (rows.groupBy("key", "n").agg(F.collect_list(F.struct("v", "d")).alias("vd"))
-            .mapInArrow(prefixes, "key binary, n int, members binary, prefix array<long>, before int"))
+        have = np.bincount(owner, minlength=len(keys)).astype(np.int32)
+        start = np.cumsum(have) - have
+        rows = []
+        for g, c in _by_group(keys, np.flatnonzero(have), n_buckets):
+            own = np.concatenate([np.arange(start[i], start[i] + have[i]) for i in c])
+            rows.append((g, keys[c].tobytes(), sizes[c].tobytes(), have[c].tobytes(), vals[own].tobytes(), df[own].tobytes()))
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), **{
+            n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("keys", "sizes", "have", "v", "d"), 1)}})
+
+    def prefixes(tab: pa.Table) -> pa.Table:
+        keys, sizes, which, cols = _merged(tab, "have:i4", "v:u8", "d:i8")
+        of = np.repeat(which, cols["have"])
+        order = np.lexsort((cols["v"], cols["d"], of))
+        v, of = cols["v"][order], of[order]
+        ends = np.searchsorted(of, np.arange(len(keys) + 1))
+        out = []
+        for i, n in enumerate(sizes.tolist()):
+            mine = v[ends[i]:ends[i + 1]]
+            alone = n - len(mine)
+            take = t.may_miss(n) + 1 - alone
+            if take > 0:
+                out.append((keys[i].tobytes(), n, np.sort(mine).tobytes(), as_i64(mine[:take]), alone))
+        return pa.table({"key": pa.array([r[0] for r in out], pa.binary()), "n": pa.array([r[1] for r in out], pa.int32()),
+                         "members": pa.array([r[2] for r in out], pa.binary()),
+                         "prefix": pa.array([r[3] for r in out], pa.list_(pa.int64())),
+                         "before": pa.array([r[4] for r in out], pa.int32())})
+
+    return (_bucketed(sets, "members", n_buckets, t.least_size()).groupBy("bucket")
+            .applyInArrow(collect, "grp int, keys binary, sizes binary, have binary, v binary, d binary")
+            .groupBy("grp").applyInArrow(prefixes, "key binary, n int, members binary, prefix array<long>, before int"))
 
 
 # --------------------------------------------------------------------------- comparing
@@ -323,7 +354,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     """id, n_shingles, component_id (least id reachable by links), class_id (a hash of
     the set, as hexadecimal text; NULL without shingles) of every row."""
     spark = docs.sparkSession
-    folder, parts, t = run_folder(spark), shuffle_partitions(spark), Threshold(num, den)
+    folder, t = run_folder(spark), Threshold(num, den)
+    parts = max(4, shuffle_partitions(spark) // 4)      # a bucket holds what four tasks would
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
@@ -337,7 +369,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows = stage(src.mapInArrow(sets_of, "id long, n int, key binary, part binary"), folder, "documents")
     classes = stage(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first")), folder, "classes")
-    left = stage(screen(rows, t, max(4, parts // 4)), folder, "screened")
+    left = stage(screen(rows, t, parts), folder, "screened")
 
     # sets of the classes left: one document of each, found by a filter on ids
     wanted = left.join(classes, "key").select("key", "first")
