@@ -43,7 +43,7 @@ from .url_cascade import Cascade, bloom_level, hash_pair
 WIDTH = 4
 NUM, DEN = 85, 100             # the least similarity as a fraction
 SCREEN = 4                     # one in so many of the hash range is screened
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 ROUNDING = 1e-9
 MAX_FILTER_BITS = 1 << 28      # the filter of representatives; fuller ones only pass more rows
 
@@ -334,7 +334,8 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
         if lists.isEmpty():
             return links
     # what pivots have left open, compared as far as the distances to the pivots allow
-    cols = ["key", "n", "pos", "rank", "comp", *(f"d{r}" for r in range(PIVOT_ROUNDS))]
+    cols = ["key", "n", "pos", "rank", "comp", "prefix", *(f"d{r}" for r in range(PIVOT_ROUNDS))]
+    lists = lists.join(indexed.select("key", "prefix"), "key")
     x, y = (lists.select("e", *(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in ("x", "y"))
     near = F.lit(True)
     for r in range(PIVOT_ROUNDS):
@@ -342,6 +343,8 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
         near &= ~F.coalesce(far, F.lit(False))
         for s in ("x", "y"):                       # pairs with a pivot have been compared
             near &= F.coalesce(F.col(f"d{r}_{s}") > 0, F.lit(True))
+    # two sets meet in every list they share: the pair is made in one of these only
+    near &= F.col("e") == F.array_min(F.array_intersect("prefix_x", "prefix_y"))
     last = (x.join(y, "e").filter((F.col("key_x") < F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & near
                                   & may_link(t, *(F.col(f"{c}_{s}") for s in "xy" for c in ("n", "pos", "rank"))))
             .select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct())
