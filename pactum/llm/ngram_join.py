@@ -20,8 +20,15 @@ with equal sets form a class and are handled once.
    the others: Jaccard distance is a metric, so sets whose distances to the pivot differ
    by more than ``1 - t`` cannot link.  Only pairs of the remaining sets are compared, exactly.
    Pivots change over a few rounds, so a list costs its length for each round.
-
-Rows come out per document; pairs are made between classes only, each pair once.
+5. **Counting.**  Links never leave a component, so the number of links of a class is
+   counted over all pairs of its component, those that step 4 skipped among them.  The
+   classes of a component go into chunks; a task compares two chunks.  A member that most
+   of their sets hold counts as held by all (the pivot set), and overlaps are corrected by
+   the sets' differences from it, so a task sums over small differences, and rows are
+   classes times chunks, never pairs.
+
+Rows come out per document; links are found between classes only, and a document's number
+of links weighs a linked class by its documents and adds the copies of its own set.
 NULL, empty and blank texts have no shingles and link with nothing.  With fewer words
 than a shingle the whole sequence is one.  Repeated rows are in one class.
 """
@@ -46,6 +53,11 @@ SCREEN = 4                     # one in so many of the hash range is screened
 PIVOT_ROUNDS = 2
 ROUNDING = 1e-9
 MAX_FILTER_BITS = 1 << 28      # the filter of representatives; fuller ones only pass more rows
+CHUNK = 256                    # classes of a component that a chunk holds; more from CHUNKS chunks on
+CHUNKS, MAX_CHUNK = 64, 4096
+CHUNK_MEMBERS = 1 << 21
+STRIP_CELLS = 1 << 22          # classes times members that are laid out at once
+SPARSE_PAIRS = 4096            # a member with fewer pairs is enumerated, not multiplied
 
 
 def shingle_sets(col: pa.Array, width: int) -> list[np.ndarray]:
@@ -352,10 +364,98 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
     return links.union(tested.filter(t.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
+# ---------------------------------------------------------------------------- counting
+
+def overlaps(counts_a: np.ndarray, vals_a: np.ndarray, counts_b: np.ndarray, vals_b: np.ndarray) -> np.ndarray:
+    """Overlap of each set of a with each set of b (members concatenated, and how many each has)."""
+    n_a, n_b = len(counts_a), len(counts_b)
+    out = np.zeros((n_a, n_b), np.int64)
+    both = np.intersect1d(vals_a, vals_b)
+    step = max(1, STRIP_CELLS // (n_a + n_b))
+    sides = []
+    for counts, vals in ((counts_a, vals_a), (counts_b, vals_b)):
+        at = np.searchsorted(both, vals)
+        has = both[np.minimum(at, max(len(both) - 1, 0))] == vals if len(both) else np.zeros(len(vals), bool)
+        row, at = np.repeat(np.arange(len(counts)), counts)[has], at[has]
+        order = np.argsort(at, kind="stable")
+        sides.append((row[order], at[order]))
+    for lo in range(0, len(both), step):
+        width = min(step, len(both) - lo)
+        a, b = (np.zeros((n, width), bool) for n in (n_a, n_b))
+        for grid, (row, at) in zip((a, b), sides):
+            i, j = np.searchsorted(at, [lo, lo + width])
+            grid[row[i:j], at[i:j] - lo] = True
+        # members of the pivot set: differences from it instead of the members
+        pivot = 2 * (a.sum(0) + b.sum(0)) > n_a + n_b
+        a, b = a ^ pivot, b ^ pivot
+        out += int(pivot.sum()) - a[:, pivot].sum(1)[:, None] - b[:, pivot].sum(1)
+        pairs = a.sum(0) * b.sum(0)
+        many = pairs > SPARSE_PAIRS
+        out += (a[:, many].astype(np.float32) @ b[:, many].T.astype(np.float32)).astype(np.int64)
+        few = (pairs > 0) & ~many
+        (col, x), (col_b, y) = (np.nonzero(g[:, few].T) for g in (a, b))
+        first = np.searchsorted(col_b, np.arange(few.sum() + 1))
+        times = np.diff(first)[col]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[col], times)
+        out += np.bincount(np.repeat(x, times) * n_b + y[place], minlength=n_a * n_b).reshape(n_a, n_b)
+    return out
+
+
+def count_links(sets: DataFrame, roots: DataFrame, t: Threshold) -> DataFrame:
+    """(key, more): documents in the other classes that each class of ``sets`` (key, n,
+    copies, members) links with.  Classes without a link are left out."""
+    rows = sets.join(roots.withColumnRenamed("node", "key"), "key")
+    per = F.least(F.greatest(F.col("g") / CHUNKS, F.lit(CHUNK)), F.lit(MAX_CHUNK))
+    cut = (rows.groupBy("root").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("held"))
+           .select("root", F.greatest(F.ceil(F.col("g") / per), F.ceil(F.col("held") / CHUNK_MEMBERS)).cast("int").alias("chunks"))
+           .filter("chunks > 1"))                           # large components only, far fewer than classes
+    rows = rows.join(F.broadcast(cut), "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+
+    def pack(tab: pa.Table) -> pa.Table:
+        vals = [x.as_py() for x in tab.column("members")]
+        packed = {"keys": b"".join(x.as_py() for x in tab.column("key")), "vals": b"".join(vals),
+                  "counts": np.array([len(x) // 8 for x in vals], np.int64).tobytes(),
+                  **{name: tab.column(c).to_numpy().astype(np.int64).tobytes() for name, c in (("sizes", "n"), ("weights", "copies"))}}
+        return pa.table({**{c: tab.column(c).slice(0, 1) for c in ("root", "chunk", "chunks")},
+                         **{c: pa.array([v], pa.binary()) for c, v in packed.items()}})
+
+    parts = ["keys", "vals", "counts", "sizes", "weights"]
+    blocks = rows.groupBy("root", "chunk").applyInArrow(
+        pack, "root binary, chunk int, chunks int, " + ", ".join(f"{c} binary" for c in parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                col = [b.column(i)[r].as_py() for i in range(b.num_columns)]
+                same = len(col) == len(parts) or col[0] == col[len(parts)]
+                sides = [(np.frombuffer(c[0], "V16"), np.frombuffer(c[1], U64), *(np.frombuffer(x, np.int64) for x in c[2:]))
+                         for c in (col[:len(parts)], col[-len(parts):])]
+                (k_a, v_a, c_a, n_a, w_a), (k_b, v_b, c_b, n_b, w_b) = sides
+                inter = overlaps(c_a, v_a, c_b, v_b)
+                link = t.links(inter, n_a[:, None], n_b)
+                if same:
+                    np.fill_diagonal(link, False)
+                for k, more in ((k_a, link @ w_b), (k_b, w_a @ link))[:1 if same else 2]:
+                    at = np.flatnonzero(more)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k[i].tobytes() for i in at], pa.binary()), pa.array(more[at])], names=["key", "more"])
+
+    one = blocks.filter("chunks = 1").select(*parts)
+    large = blocks.filter("chunks > 1")
+    side = lambda at, other, a, b, s: large.select(
+        "root", F.col("chunk").alias(at), F.explode(F.sequence(a, b)).alias(other), *(F.col(c).alias(c + s) for c in parts))
+    pairs = side("i", "j", F.col("chunk"), F.col("chunks") - 1, "").join(
+        side("j", "i", F.lit(0), F.col("chunk"), "_b"), ["root", "i", "j"]).select(*parts, *(f"{c}_b" for c in parts))
+    out = "key binary, more long"
+    return one.mapInArrow(run, out).union(pairs.mapInArrow(run, out)).groupBy("key").agg(F.sum("more").alias("more"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
     """id, n_shingles, component_id (least id reachable by links), class_id (a hash of
-    the set, as hexadecimal text; NULL without shingles) of every row."""
+    the set, as hexadecimal text; NULL without shingles) and, with ``links``, n_links
+    (how many other rows the row links with, copies included) of every row."""
     spark = docs.sparkSession
     folder, t = run_folder(spark), Threshold(num, den)
     parts = max(4, shuffle_partitions(spark) // 4)      # a bucket holds what four tasks would
@@ -371,7 +471,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows = stage(src.mapInArrow(sets_of, "id long, n int, key binary, part binary"), folder, "documents")
-    classes = stage(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first")), folder, "classes")
+    classes = stage(rows.filter("key IS NOT NULL").groupBy("key")
+                    .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), folder, "classes")
     left = stage(screen(rows, t, parts), folder, "screened")
 
     # sets of the classes left: one document of each, found by a filter on ids
@@ -402,16 +503,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     sets = again.join(wanted, same).select(again["key"], "n", "members")
     indexed = stage(index(sets, t, parts), folder, "indexed")
 
-    links = find_links(indexed, t, folder)
-    roots = connected_components(links, folder, "final")
+    roots = connected_components(find_links(indexed, t, folder), folder, "final")
     member = roots.join(classes, roots["node"] == classes["key"]).select("key", "root", "first")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     named = member.join(least, "root").select("key", "least")
-    of_class = classes.join(named, "key", "left").select("key", F.coalesce("least", "first").alias("component_id"))
+    of_class = classes.join(named, "key", "left").withColumn("component_id", F.coalesce("least", "first"))
+    found = []
+    if links:
+        roots = stage(roots, folder, "roots")
+        linked = indexed.join(classes, "key").select("key", "n", "copies", "members")
+        counts = stage(count_links(linked, roots, t), folder, "counts")
+        of_class = of_class.join(counts, "key", "left")
+        found = [F.coalesce(F.col("copies") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).alias("n_links")]
     return rows.join(of_class, "key", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.lower(F.hex("key")).alias("class_id"))
+        F.lower(F.hex("key")).alias("class_id"), *found)
 
 
 def one_per_group(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id",
@@ -423,7 +530,7 @@ def one_per_group(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     Rows with a NULL id stay."""
     spark = docs.sparkSession
     folder = run_folder(spark)
-    found = stage(near_duplicates(docs, width, num, den, id_col, text_col).select(
+    found = stage(near_duplicates(docs, width, num, den, id_col, text_col, links=False).select(
         F.col(id_col).alias("id"), "component_id").filter("id IS NOT NULL"), folder, "components")
     ids = stage(found.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("id") == F.col("component_id")).alias("stays")),
                 folder, "ids")

@@ -30,7 +30,11 @@ BLOCKED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bet
 
 
 def op1_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("class_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), links=False).drop("class_id")
+
+
+def op1_link_counts(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_class_lm(spark, sf_dir):
@@ -77,6 +81,9 @@ QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_class_lm, op3_token_counts, op4_quality, op5_pii, op6_exact_top_k, op7_url_verdicts,
     op8_nearest, op9_bpe_round_trip, op10_packing)}
 
+#: The whole join of operator 1 (class and number of links of each document); its SQL below fixes three columns.
+MORE_QUERIES = {"op1_link_counts": op1_link_counts}
+
 ORACLE = {
     "op6_exact_top_k": """
         WITH v AS (

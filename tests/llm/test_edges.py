@@ -72,6 +72,36 @@ def test_near_duplicates_against_all_pairs(spark, width, num, den):
     assert [got[i].component_id for i in range(len(texts))] == root
 
 
+@pytest.mark.parametrize("chunk", [3, 256])
+def test_every_link_is_counted(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)          # 3: groups of several chunks
+    rnd = random.Random(chunk)
+    texts = [None, "", "one two", "ONE  two"]
+    for size in (30, 90):
+        words = [f"w{size}x{i}" for i in range(size)]
+        for _ in range(24):                                  # near copies; some pairs link, some don't
+            w = list(words)
+            for _ in range(rnd.randint(0, size // 25)):
+                w[rnd.randrange(size)] = f"e{rnd.random()}"
+            texts += [" ".join(w)] * rnd.randint(1, 2)
+    sets = [{tuple(w[i:i + 4]) for i in range(max(1, len(w) - 3))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    links = [sum(1 for k, y in enumerate(sets) if k != i and x and 100 * len(x & y) >= 85 * len(x | y)) for i, x in enumerate(sets)]
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(docs(spark, texts, 0)).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == links
+    assert max(links) > 10 and all((got[i].class_id == got[k].class_id) == (x == y) for i, x in enumerate(sets)
+                                   for k, y in enumerate(sets) if x and y)
+
+
+def test_overlaps_of_sparse_and_dense_members(monkeypatch):
+    rnd = np.random.default_rng(1)
+    for limit in (0, 4, 4096):
+        monkeypatch.setattr(ngram_join, "SPARSE_PAIRS", limit)
+        monkeypatch.setattr(ngram_join, "STRIP_CELLS", 100)
+        sides = [[np.unique(rnd.integers(0, 60, n)).astype(np.uint64) for n in rnd.integers(0, 150, rows)] for rows in (7, 5)]
+        args = [x for s in sides for x in (np.array([len(v) for v in s]), np.concatenate(s))]
+        assert ngram_join.overlaps(*args).tolist() == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
+
+
 def test_one_per_group_keeps_the_least_id_once(spark):
     t = " ".join(f"w{i}" for i in range(40))
     frame = spark.createDataFrame([(5, t, "a"), (3, t, "b"), (3, t, "b"), (9, "other words here", "c"), (None, t, "d"), (7, None, "e")],
