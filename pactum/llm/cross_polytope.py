@@ -7,9 +7,13 @@ vectors is split into parts of about that size, and none of its vectors is left
 out.  A query looks into its ``probes`` nearest axes in every table; all vectors
 there are scored exactly on the original components and the best k are kept.
 
-When lengths differ, a vector gets one more component that brings it to the
-largest length (0 for queries), which makes the largest inner product the
-smallest angle.  Seeds are fixed, so runs agree.
+When lengths differ, vectors are indexed in bands of lengths within ``BAND`` of one
+another.  A vector gets one more component that brings it to the largest length of
+its band (0 for queries), which makes the largest inner product the smallest angle,
+and no vector of another band can make that component large.  A query probes every
+band; a band of at most ``WHOLE_BAND`` vectors is one bucket that all queries score.
+Queries that find fewer than k vectors are searched again, exactly, over all blocks.
+Seeds are fixed, so runs agree.
 
 Null, zero, non-finite and repeated rows take part as :mod:`pactum.llm.vectors`
 says; zero vectors take no part.  A query's own row is no candidate.
@@ -31,6 +35,8 @@ from .vectors import (BLOCK_ROWS, QUERY_ROWS, best_per_query, blocks_of, matrix,
 TABLES = 8
 PROBES = 16
 SEED = 20240
+BAND = 1.2                     # largest ratio of two lengths in a band
+WHOLE_BAND = 1024              # a band of so few vectors has no buckets
 ROUNDING = 1e-9                # products this close to the k-th are summed again, in component order
 
 
@@ -53,16 +59,17 @@ def rotate(a: np.ndarray, table: int) -> np.ndarray:
     return a
 
 
-def widen(mat: np.ndarray, longest: float, is_query: bool) -> np.ndarray:
-    """Unit vectors, padded to a power of two that leaves room for the extra component."""
+def widen(mat: np.ndarray, longest: np.ndarray | None, room: bool) -> np.ndarray:
+    """Unit vectors, padded to a power of two that leaves ``room`` for the extra component
+    that brings each to its ``longest``."""
     n, dim = mat.shape
     size = np.sqrt((mat * mat).sum(1))
-    width = 1 << max(1, int(np.ceil(np.log2(dim + (longest > 0)))))
+    width = 1 << max(1, int(np.ceil(np.log2(dim + room))))
     out = np.zeros((n, width))
-    if is_query or not longest:
+    if longest is None:
         out[:, :dim] = mat / size[:, None]
     else:
-        out[:, :dim] = mat / longest
+        out[:, :dim] = mat / longest[:, None]
         out[:, dim] = np.sqrt(np.maximum(0.0, 1.0 - (size / longest) ** 2))
     return out
 
@@ -76,26 +83,38 @@ def axes(mat: np.ndarray, table: int, n: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :n]
 
 
-def bucket_rows(items: DataFrame, tables: int, probes: int, longest: float, is_query: bool) -> DataFrame:
-    """(dim, tab, code, id, vec): a row for each table and, for queries, each probe."""
+def bucket_rows(items: DataFrame, tables: int, probes: int, room: bool, is_query: bool) -> DataFrame:
+    """(dim, band, tab, code, id, vec): a row for each table and, for queries, each probe.
+    Code -1 of table 0 is the bucket of a whole band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = np.asarray(b.column(2))
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                ids, vec = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
-                wide = widen(matrix(vec, int(dim)), longest, is_query)
+                whole = at if is_query else at[np.asarray(b.column(5))[at]]
+                if room and len(whole):
+                    yield rows(b, whole, dim, 0, np.full(len(whole), -1))
+                if room and not is_query:
+                    at = np.setdiff1d(at, whole)
+                if not len(at):
+                    continue
+                longest = np.asarray(b.column(4))[at] if room and not is_query else None
+                wide = widen(matrix(b.column(1).take(pa.array(at)), int(dim)), longest, room)
                 for t in range(tables):
                     codes = axes(wide, t, probes)
                     for j in range(codes.shape[1]):
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, t, np.int32)),
-                             pa.array(codes[:, j].astype(np.int32)), ids, vec],
-                            names=["dim", "tab", "code", "id", "vec"])
+                        yield rows(b, at, dim, t, codes[:, j])
 
-    return items.mapInArrow(run, "dim int, tab int, code int, id long, vec array<double>")
+    def rows(b: pa.RecordBatch, at: np.ndarray, dim: int, tab: int, code: np.ndarray) -> pa.RecordBatch:
+        n, at = len(at), pa.array(at)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, dim, np.int32)), b.column(3).take(at), pa.array(np.full(n, tab, np.int32)),
+             pa.array(code.astype(np.int32)), b.column(0).take(at), b.column(1).take(at)],
+            names=["dim", "band", "tab", "code", "id", "vec"])
+
+    return items.select("id", "vec", "dim", "band", "longest", "whole").mapInArrow(
+        run, "dim int, band int, tab int, code int, id long, vec array<double>")
 
 
 def exact_scores(ids: np.ndarray, mat: np.ndarray, qids: np.ndarray, qmat: np.ndarray, k: int):
@@ -122,27 +141,48 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id",
     queries = valid_vectors(flag.filter("_is_query"), id_col, vec_col).filter(some)
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     lo, hi = items.agg(F.min(size), F.max(size)).first()
-    longest = float(hi) if hi and hi - lo > 1e-6 * hi else 0.0
-
-    rows = stage(bucket_rows(items, tables, 1, longest, False), folder, "buckets")
-    q_rows = stage(bucket_rows(queries, tables, probes, longest, True), folder, "probes")
-    # at most tables * 2 * width rows each: how many parts a bucket has
-    parts = _parts(rows, "n_parts", BLOCK_ROWS)
-    q_parts = _parts(q_rows, "n_q_parts", QUERY_ROWS)
+    room = bool(hi and hi - lo > 1e-6 * hi)                  # lengths differ
+    if room:
+        items = items.withColumn("size", size).withColumn("band", F.floor(F.log("size") / float(np.log(BAND)) + 0.5).cast("int"))
+        bands = items.groupBy("dim", "band").agg(F.max("size").alias("longest"), (F.count(F.lit(1)) <= WHOLE_BAND).alias("whole"))
+        items = items.join(F.broadcast(bands), ["dim", "band"])     # a few rows for each number of components
+    no_band = {"band": F.lit(0), "longest": F.lit(0.0), "whole": F.lit(False)}
+
+    rows = stage(bucket_rows(items if room else items.withColumns(no_band), tables, 1, room, False), folder, "buckets")
+    q_rows = stage(bucket_rows(queries.withColumns(no_band), tables, probes, room, True), folder, "probes").drop("band")
+    # at most tables * 2 * width rows each in a band: how many parts a bucket has
     key = ["dim", "tab", "code"]
+    parts = _parts(rows, ["band", *key], "n_parts", BLOCK_ROWS)
+    q_parts = _parts(q_rows, key, "n_q_parts", QUERY_ROWS)
     split = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    packed = pack(rows.join(F.broadcast(parts), key).withColumn("part", split(F.col("n_parts"))),
-                  [*key, "part"])
+    packed = pack(rows.join(F.broadcast(parts), ["band", *key]).withColumn("part", split(F.col("n_parts"))),
+                  [*key, "band", "part"])
     copies = (pack(q_rows.join(F.broadcast(q_parts), key).withColumn("q_part", split(F.col("n_q_parts"))),
                    [*key, "q_part"])
               .join(F.broadcast(parts), key)
-              .select(*key, F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
+              .select(*key, "band", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
                       F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part")))
-    pairs = packed.join(copies, [*key, "part"])
+    pairs = packed.join(copies, [*key, "band", "part"])
     pairs = pairs.repartition(shuffle_partitions(spark))
-    return merge_lists(score_blocks(pairs, exact_scores, k, "double"), k)
-
-
-def _parts(rows: DataFrame, name: str, size: int) -> DataFrame:
-    return rows.groupBy("dim", "tab", "code").agg(
-        F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    found = stage(merge_lists(score_blocks(pairs, exact_scores, k, "double"), k), folder, "found")
+
+    # queries with a short list, against all vectors
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = stage(queries.join(full, "id", "left_anti"), folder, "short")
+    n_short = short.count()
+    if not n_short:
+        return found
+    every = rows.filter("tab = 0")                           # each vector once
+    n_parts = blocks_of(every.count(), BLOCK_ROWS)
+    packed = pack(every.withColumn("part", split(F.lit(n_parts))), ["dim", "part"])
+    copies = (pack(short.withColumn("q_part", split(F.lit(blocks_of(n_short, QUERY_ROWS)))), ["dim", "q_part"])
+              .select("dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
+                      F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part")))
+    pairs = packed.join(copies, ["dim", "part"]).repartition(shuffle_partitions(spark))
+    exact = merge_lists(score_blocks(pairs, exact_scores, k, "double"), k)
+    kept = found.join(full, found["query_id"] == full["id"], "left_semi")
+    return kept.union(exact)
+
+
+def _parts(rows: DataFrame, key: list[str], name: str, size: int) -> DataFrame:
+    return rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))

@@ -154,6 +154,28 @@ def vector_frame(spark):
     return spark.createDataFrame([(i, v, "s", 1) for i, v in rows], VECS)
 
 
+def test_nearest_with_very_differing_lengths(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 32))
+    mat = centres[rnd.integers(0, 40, 2600)] + 0.3 * rnd.normal(size=(2600, 32))
+    mat /= np.sqrt((mat * mat).sum(1))[:, None]
+    mat[1] *= 10                                      # one very long vector
+    mat[2100:] *= 3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(mat)], "vec_id long, embedding array<double>")
+    rows = cross_polytope.nearest(frame, F.col("vec_id") % 20 == 0).collect()
+    hits = 0
+    for q in range(0, len(mat), 20):
+        score = mat @ mat[q]
+        score[q] = -np.inf
+        mine = {r.vec_id: r.score for r in rows if r.query_id == q}
+        best = np.argsort(-score)[:20]
+        assert len(mine) == 20 and (1 not in best or 1 in mine)
+        assert all(abs(score[i] - x) < 1e-9 for i, x in mine.items())
+        hits += len(set(mine) & set(best.tolist()))
+    print("recall", hits / (20 * len(range(0, len(mat), 20))))
+    assert hits >= 0.95 * 20 * len(range(0, len(mat), 20))
+
+
 def test_vector_searches_on_odd_rows(spark):
     empty = spark.createDataFrame([], VECS)
     assert maxscore.exact_top_k(empty, F.col("vec_id") % 100 == 0).count() == 0
