@@ -9,6 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from .bond import hard_negatives
 from .class_lm import score_documents
 from .common import table
 from .cross_polytope import nearest
@@ -18,6 +19,7 @@ from .ngram_join import near_duplicates
 from .ordinal import GRADES, classify, corpus_ratings
 from .packing import pack, word_counts
 from .pii import report
+from .spelling import NOISE, spelling_variants
 from .token_counts import token_counts
 from .url_cascade import judge_urls, url_parts
 
@@ -77,9 +79,19 @@ def op10_packing(spark, sf_dir):
     return pack(word_counts(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"), noise=NOISE)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_class_lm, op3_token_counts, op4_quality, op5_pii, op6_exact_top_k, op7_url_verdicts,
-    op8_nearest, op9_bpe_round_trip, op10_packing)}
+    op8_nearest, op9_bpe_round_trip, op10_packing, op11_hard_negatives, op13_spelling_variants)}
 
 #: The whole join of operator 1 (class and number of links of each document); its SQL below fixes three columns.
 MORE_QUERIES = {"op1_link_counts": op1_link_counts}
@@ -99,6 +111,25 @@ ORACLE = {
           SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank
           FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+                 CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+          FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.e) = len(c.e) WHERE a.vec_id % 50 = 0),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
     "op1_near_duplicates": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, row_number() OVER () AS rid,
