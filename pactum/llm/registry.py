@@ -20,6 +20,7 @@ from .ordinal import GRADES, classify, corpus_ratings
 from .packing import pack, word_counts
 from .pii import report
 from .spelling import NOISE, spelling_variants
+from .substring import remove_repeats
 from .token_counts import token_counts
 from .url_cascade import judge_urls, url_parts
 
@@ -85,13 +86,19 @@ def op11_hard_negatives(spark, sf_dir):
     return hard_negatives(rows, F.col("vec_id") % 50 == 0)
 
 
+def op12_substring_dedup(spark, sf_dir):
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_spelling_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"), noise=NOISE)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_class_lm, op3_token_counts, op4_quality, op5_pii, op6_exact_top_k, op7_url_verdicts,
-    op8_nearest, op9_bpe_round_trip, op10_packing, op11_hard_negatives, op13_spelling_variants)}
+    op8_nearest, op9_bpe_round_trip, op10_packing, op11_hard_negatives, op12_substring_dedup,
+    op13_spelling_variants)}
 
 #: The whole join of operator 1 (class and number of links of each document); its SQL below fixes three columns.
 MORE_QUERIES = {"op1_link_counts": op1_link_counts}
@@ -130,6 +137,24 @@ ORACLE = {
         FROM p JOIN s USING (anchor_id)
         WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
         QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+    "op12_substring_dedup": r"""
+        WITH w AS (
+          SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        p AS (SELECT doc_id, rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+        win AS (
+          SELECT p.doc_id, p.rid, i, array_to_string(ws[i:i + 12], ' ') AS x
+          FROM p JOIN w USING (rid) WHERE i + 12 <= len(ws)),
+        least AS (SELECT x, min(doc_id) AS first FROM win GROUP BY x),
+        gone AS (
+          SELECT DISTINCT rid, i + unnest(range(0, 13)) AS i FROM win JOIN least USING (x) WHERE doc_id > first),
+        kept AS (
+          SELECT p.rid, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS words
+          FROM p ANTI JOIN gone ON p.rid = gone.rid AND p.i = gone.i GROUP BY p.rid)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(words, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (rid)""",
     "op1_near_duplicates": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, row_number() OVER () AS rid,
