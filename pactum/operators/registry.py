@@ -499,8 +499,9 @@ def folder_context(df: DataFrame, folder_col: str) -> DataFrame:
     (one row per folder), not a window over a possibly huge folder."""
     folder = F.coalesce(F.col(folder_col), F.lit(""))
     counts = df.where(folder != "").groupBy(F.col(folder_col).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
-    # rows without a folder match nothing: spread them instead of joining on ''
-    key = F.when(folder != "", folder).otherwise(F.concat(F.lit("\u0000"), F.rand(7).cast("string")))
+    # rows without a folder match nothing: spread them instead of joining on '', by what they
+    # hold, so a repeated task sends each the same way
+    key = F.when(folder != "", folder).otherwise(F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string")))
     out = df.withColumn("_key", key).join(counts, F.col("_key") == F.col("_f"), "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
     gid = F.when(folder != "", F.substring(F.md5(F.lower(folder)), 1, 12)).otherwise(F.lit(""))

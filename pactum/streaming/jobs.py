@@ -7,10 +7,12 @@
   (contract, version) via ``dropDuplicatesWithinWatermark``; watermark ours.
 * T3/T4: the daily expiration digest (K14) and weekly summary (K13) bodies run
   with ``trigger(availableNow=True)`` over the current fact snapshot.
-* T5 ``intake_queue``: submissions -> Processed with a contract id; each epoch
-  writes its own folder and reads no other.
+* T5 ``intake_queue``: submissions -> Processed with a contract id.
 * T6 ``session_history``: per-user last-10 history kept as bounded keyed state
   with ``applyInPandasWithState`` (batch twin: W1).
+T2, T5 and T6 write each epoch to ``run=<run id>/epoch=<n>``.  The run id is kept in the
+checkpoint, so a repeated epoch replaces itself and another checkpoint or source on the
+same output never touches it; rows carry the time of their batch, which a repeat keeps.
 Paths for collections, checkpoints and snapshots live under the shared folder
 named by ``spark.checkpoint.dir``.
 """
@@ -23,7 +25,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -41,6 +43,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the run that ``checkpoint`` belongs to; made with the checkpoint, kept in it."""
+    path = os.path.join(checkpoint, "run")
+    if not path_exists(spark, os.path.join(path, "_SUCCESS")):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
+
+
+def run_epochs(spark: SparkSession, rows: DataFrame, root: str, checkpoint: str, output_mode: str = "append") -> None:
+    """Drive ``rows`` to its end: epoch N of a run goes to its own folder, with ``batch_time``."""
+    run = run_id(spark, checkpoint)
+
+    def write(df: DataFrame, epoch_id: int) -> None:
+        df.write.mode("overwrite").parquet(os.path.join(root, f"run={run}", f"epoch={epoch_id}"))
+
+    # within a stream this is the time in the batch's offset log: the same when the batch is repeated
+    q = (rows.withColumn("batch_time", F.current_timestamp()).writeStream.outputMode(output_mode).foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_epochs(spark: SparkSession, root: str, columns: str) -> DataFrame:
+    """All epochs of all runs below ``root``; none yet, or none with rows, is an empty table."""
+    schema = f"{columns}, batch_time timestamp, run string, epoch long"
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(root)
+
+
 # ------------------------------------------------------------------- T1
 ID_PART_DIGITS = 2              # 256 folders of the collection
 COLLECTION_COLUMNS = ("contract_id", "_pos", "file_name", "source_hash", "size", "text")
@@ -59,7 +90,8 @@ def auto_ingest(spark: SparkSession, source_dir: str, schema: str, collection_pa
         ok = ok.withColumn("id_part", F.concat(F.lit("p"), F.substring(F.sha1("contract_id"), 1, ID_PART_DIGITS)))
         if path_exists(s, collection_path):
             # stored ids are laid out by id part, so a batch reads only the parts it has ids in
-            stored = s.read.parquet(collection_path).select("contract_id", "id_part")
+            # (the schema is given: after batches without a good row the folder holds no file)
+            stored = s.read.schema("contract_id string, id_part string").parquet(collection_path)
             ok = ok.join(stored, ["contract_id", "id_part"], "left_anti")
         ok.write.mode("append").partitionBy("id_part").parquet(collection_path)
 
@@ -79,44 +111,37 @@ def high_risk_alerts(versions: DataFrame, threshold: int = 70, watermark: str =
 
 
 def run_alerts(spark: SparkSession, versions: DataFrame, out_path: str, checkpoint: str, threshold: int = 70) -> DataFrame:
-    """Drive T2 over a stream of row versions: each epoch writes its alerts to a folder
-    of its own, so a repeated epoch replaces itself."""
-    q = (high_risk_alerts(versions, threshold).writeStream.foreachBatch(_epoch_writer(out_path))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out_path).drop("epoch")
-
-
-def _epoch_writer(root: str):
-    def write(df: DataFrame, epoch_id: int) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(root, f"epoch={epoch_id}"))
-    return write
+    """Drive T2 over a stream of row versions; all alerts so far.  A version that another
+    run has seen too alerts once, at its first batch."""
+    alerts = high_risk_alerts(versions, threshold)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.schema)
+    run_epochs(spark, alerts, out_path, checkpoint)
+    rows = read_epochs(spark, out_path, columns)
+    first = rows.groupBy("contract_id", "version").agg(
+        F.min_by(F.struct(*alerts.columns), F.struct("batch_time", "run", "epoch")).alias("r"))
+    return first.select("r.*")
 
 
 # ------------------------------------------------------------------- T5
-def intake_queue(spark: SparkSession, submissions: DataFrame, queue_root: str, checkpoint: str) -> None:
-    """T5: mark submissions Processed with their contract id.
+QUEUE_COLUMNS = "submission_id long, file_name string, status string, contract_id string"
 
-    Epoch N writes only its own submissions to ``queue_root/epoch=N``; no epoch reads or
-    rewrites another's folder, so a repeated epoch just replaces its own rows."""
-    def step(df: DataFrame, epoch_id: int) -> None:
-        name = F.col("file_name")
-        done = df.select("submission_id", "file_name", F.lit("Processed").alias("status"),
-                         IN.contract_id(name, IN.source_hash(name, F.col("text"))).alias("contract_id"))
-        done.write.mode("overwrite").parquet(os.path.join(queue_root, f"epoch={epoch_id}"))
 
-    q = (submissions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+def intake_queue(spark: SparkSession, submissions: DataFrame, queue_root: str, checkpoint: str) -> None:
+    """T5: mark submissions Processed with their contract id; any number of checkpoints and
+    sources may feed one queue."""
+    name = F.col("file_name")
+    done = submissions.select(F.col("submission_id").cast("long").alias("submission_id"), "file_name", F.lit("Processed").alias("status"),
+                              IN.contract_id(name, IN.source_hash(name, F.col("text"))).alias("contract_id"))
+    run_epochs(spark, done, queue_root, checkpoint)
 
 
 def latest_queue(spark: SparkSession, queue_root: str) -> DataFrame | None:
-    """The queue as it stands: of each submission the row of its newest epoch."""
+    """The queue as it stands: of each submission the row of its newest batch."""
     if not path_exists(spark, queue_root):
         return None
-    rows = spark.read.parquet(queue_root)
-    cols = [c for c in rows.columns if c != "epoch"]
-    newest = rows.groupBy("submission_id").agg(F.max_by(F.struct(*cols), "epoch").alias("r"))
+    rows = read_epochs(spark, queue_root, QUEUE_COLUMNS)
+    cols = [c for c in rows.columns if c not in ("batch_time", "run", "epoch")]
+    newest = rows.groupBy("submission_id").agg(F.max_by(F.struct(*cols), F.struct("batch_time", "epoch", "run")).alias("r"))
     return newest.select("r.*")
 
 
@@ -166,13 +191,14 @@ def session_history(events: DataFrame) -> DataFrame:
 
 def run_session_history(spark: SparkSession, source_dir: str, schema: str, out_path: str, checkpoint: str,
                         glob: str = "*.parquet") -> DataFrame:
-    """Drive T6 over a file source; each epoch writes a folder of its own (a repeated
-    epoch replaces itself), and the latest emission per user is the current history."""
+    """Drive T6 over a file source.  A run's latest emission for a user is its history there;
+    the newest entries of all runs that feed ``out_path`` are the user's history."""
     stream = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", glob).load(source_dir)
-
-    q = (session_history(stream).writeStream.outputMode("update").foreachBatch(_epoch_writer(out_path))
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.read.parquet(out_path)
-    last = out.groupBy("user_id").agg(F.max("epoch").alias("epoch"))
-    return out.join(last, ["user_id", "epoch"]).drop("epoch")
+    run_epochs(spark, session_history(stream), out_path, checkpoint, "update")
+    out = read_epochs(spark, out_path, HISTORY_SCHEMA)
+    last = out.groupBy("run", "user_id").agg(F.max("epoch").alias("epoch"))
+    entries = out.join(last, ["run", "user_id", "epoch"]).dropDuplicates(["user_id", "event_id"])
+    # at most HISTORY rows for each user and run
+    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return (entries.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= HISTORY)
+            .select("user_id", "event_id", "ts", "event_type", "rank"))

@@ -60,14 +60,16 @@ def test_pii(spark):
     assert one(spark, pii_types, "card 4111 1111 1111 1111") == ["credit_card"]
 
 
-def test_name_matching(spark):
-    from pactum.operators.registry import name_matches, normalise_name
-    names = spark.createDataFrame([("Acme Inc",), ("Acme Holdings LLC",), ("Inc",), ("Ltd",)], "n string") \
-        .select(normalise_name(F.col("n")).alias("name"))
-    pairs = {(r.c, r.p) for r in name_matches(names.limit(1), names).collect()}
-    assert ("acme", "acmeholdings") in pairs
-    empties = name_matches(names.where("name = ''"), names.where("name = ''")).count()
-    assert empties == 1
+def test_parent_search_by_names(spark):
+    """A parent matches if one normalised name equals or contains the other; empty names match
+    empty names only."""
+    rows = [(1, "Master", 0, "Acme Holdings LLC", ""), (2, "SOW", 3, "Acme Inc", "Acme"), (3, "SOW", 3, "Zeta GmbH", "Zeta"),
+            (4, "NDA", 1, "Zet", "Nobody"), (5, "SOW", 3, "Inc", ""), (6, "NDA", 1, "Ltd", "")]
+    rows = [(p, {"Master": "MSA"}.get(h, h), o, dt.datetime(2000, 1, p), c, f) for p, h, o, c, f in rows]
+    cls = spark.createDataFrame(rows, "_pos long, hierarchy string, h_order int, sort_date timestamp, counterparty string, folder string")
+    assert [one(spark, R.normalise_name, v) for v in ("Acme Inc", "Acme Holdings LLC", "Inc")] == ["acme", "acmeholdings", ""]
+    got = {r._pos: r.parent_pos for r in R.parent_search(cls).collect()}
+    assert got == {2: 1, 3: 4, 5: 6}
 
 
 def test_date_normalisation(spark):

@@ -86,3 +86,42 @@ def test_auto_ingest_twice_is_once(spark):
     n1 = spark.read.parquet(coll).count()
     T.auto_ingest(spark, src, schema, coll, os.path.join(run, "ck2"))  # replay from scratch
     assert spark.read.parquet(coll).count() == n1 == 5
+
+
+def test_auto_ingest_after_a_batch_without_good_rows(spark):
+    run = T.new_run_dir(spark, "t1-junk")
+    src, coll = os.path.join(run, "in"), os.path.join(run, "coll")
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    spark.createDataFrame([(1, "x", "en", "src1", 1), (2, None, "en", "src1", 0)], schema).write.parquet(src)
+    T.auto_ingest(spark, src, schema, coll, os.path.join(run, "ck"))
+    for k in range(2):                                   # the next run reads a folder without files
+        good = [(10 + k, "word " * 120 + str(k), "en", "src1", 0)]
+        spark.createDataFrame(good, schema).write.mode("append").parquet(src)
+        T.auto_ingest(spark, src, schema, coll, os.path.join(run, "ck"))
+        assert spark.read.parquet(coll).count() == k + 1
+
+
+def test_queue_fed_by_two_sources(spark):
+    """Epoch 0 of a second checkpoint replaces nothing of the first; the newest batch wins."""
+    run = T.new_run_dir(spark, "t5-two")
+    queue = os.path.join(run, "queue")
+    for k, rows in enumerate([[(1, "Acme NDA.pdf", "x" * 100)], [(2, "Beta SOW 3.pdf", "y" * 100), (1, "Acme NDA 2.pdf", "z" * 100)]]):
+        sub = _submissions(spark, os.path.join(run, str(k)), rows)
+        T.intake_queue(spark, sub, queue, os.path.join(run, f"c{k}"))
+    got = {r.submission_id: r.file_name for r in T.latest_queue(spark, queue).collect()}
+    assert got == {1: "Acme NDA 2.pdf", 2: "Beta SOW 3.pdf"}
+
+
+def test_alerts_and_history_of_two_sources(spark):
+    run = T.new_run_dir(spark, "t26-two")
+    a, b = "contract_id STRING, risk_score INT, version INT, updated_at TIMESTAMP", \
+        "user_id LONG, event_id LONG, ts TIMESTAMP, event_type STRING"
+    for k in (0, 1):
+        src = os.path.join(run, f"a{k}")
+        spark.createDataFrame([(f"c{k}", 80, 1, dt.datetime(2000, 1, 1)), ("both", 90, 1, dt.datetime(2000, 1, 1))], a).write.parquet(src)
+        alerts = T.run_alerts(spark, spark.readStream.schema(a).parquet(src), os.path.join(run, "out"), os.path.join(run, f"ca{k}"))
+        src = os.path.join(run, f"b{k}")
+        spark.createDataFrame([(1, 100 * k + i, dt.datetime(2000, 1, 1 + k, 0, i), "view") for i in range(6)], b).write.parquet(src)
+        history = T.run_session_history(spark, src, b, os.path.join(run, "hist"), os.path.join(run, f"cb{k}"))
+    assert sorted(r.contract_id for r in alerts.collect()) == ["both", "c0", "c1"]
+    assert [r.event_id for r in history.orderBy("rank").collect()] == [105, 104, 103, 102, 101, 100, 5, 4, 3, 2]
