@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import run_folder, shuffle_partitions, stage
-from .vectors import BLOCK_ROWS, QUERY_ROWS, block_of, blocks_of, pack, valid_vectors
+from .vectors import QUERY_ROWS, block_of, blocks_of, pack, valid_vectors
 
 N_POS, N_NEG = 5, 3
 LOW, HIGH = 50, 95             # percent of the positive's score
-COLUMNS = 8                    # columns read between two prunings
+COLUMNS = 16                   # columns read between two prunings
+SHARD_ROWS = 8192
+EXACT_SHORT = 2.0 ** 24
 
 
 class Shard:
@@ -44,27 +46,38 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, mat: np.ndarray):
         self.ids, self.label = ids, mat[:, -1]
-        self.cols = np.ascontiguousarray(mat[:, :-1].T)
-        n = len(ids)
-        self.lo = self.cols.min(1) if n else np.zeros(len(self.cols))
-        self.hi = self.cols.max(1) if n else np.zeros(len(self.cols))
+        cols = mat[:, :-1].T
+        self.lo, self.hi = (cols.min(1), cols.max(1)) if len(ids) else (np.zeros(len(cols)),) * 2
+        self.size = max(-self.lo.min(initial=0), self.hi.max(initial=0))
+        self.cols = np.ascontiguousarray(cols)
+        self.short = self.cols.astype(np.float32)
 
-    def scan(self, q: np.ndarray, bitmap: np.ndarray, keeps) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, exact scores) of the candidates that ``keeps(least, largest)`` never drops."""
+    def scan(self, q: np.ndarray, bitmap: np.ndarray, floor: float, keeps) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, exact scores) of the candidates that ``keeps(least, largest)`` never drops.
+
+        Columns whose rest could still lift a partial score of nothing to ``floor`` are read
+        before the first pruning: it would drop next to no row earlier."""
         order = np.argsort(-np.abs(q), kind="stable")
         share = q * self.lo, q * self.hi
         # what the columns behind each position of the order can add
         least, most = (np.r_[np.cumsum(f(*share)[order][::-1])[::-1], 0] for f in (np.minimum, np.maximum))
-        at, part = np.flatnonzero(bitmap), np.zeros(int(bitmap.sum()))
-        for i in range(0, len(order), COLUMNS):
-            cols = order[i:i + COLUMNS]
-            part = part + q[cols] @ self.cols[np.ix_(cols, at)]
-            j = min(i + COLUMNS, len(order))
-            keep = keeps(part + least[j], part + most[j])
+        exact = np.abs(q).max(initial=0) * self.size * len(q) < EXACT_SHORT      # sums fit a float of 24 bits
+        cols, weight = (self.short, q.astype(np.float32)) if exact else (self.cols, q)
+        at = np.flatnonzero(bitmap)
+        i = min(len(order), max(COLUMNS, int(np.searchsorted(-most, -floor, side="right")))) if floor > -np.inf else len(order)
+        read = order[:i]
+        if 4 * len(at) < len(bitmap):
+            part = (weight[read] @ cols[np.ix_(read, at)]).astype(np.float64)
+        else:                                             # most rows: whole columns, then the bitmap
+            part = (weight[read] @ cols[read])[at].astype(np.float64)
+        while True:
+            keep = keeps(part + least[i], part + most[i])
             at, part = at[keep], part[keep]
-            if not len(at):
-                break
-        return at, part
+            if i == len(order) or not len(at):
+                return at, part
+            read = order[i:i + COLUMNS]
+            part = part + weight[read] @ cols[np.ix_(read, at)]
+            i = min(i + COLUMNS, len(order))
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -82,7 +95,7 @@ def positives(shard: Shard, qid: int, q: np.ndarray, label: float, k: int, kth:
             bar[0] = max(bar[0], np.partition(least, len(least) - k)[len(least) - k])
         return most >= bar[0]
 
-    at, s = shard.scan(q, bitmap, keeps)
+    at, s = shard.scan(q, bitmap, kth, keeps)
     first = best(shard.ids[at], s, k)
     return shard.ids[at[first]], s[first]
 
@@ -92,12 +105,16 @@ def negatives(shard: Shard, q: np.ndarray, label: float, windows: np.ndarray, k:
     """(window, ids, scores): the k best rows of other labels in each window; ``windows`` are
     the positives' scores and ``kth`` each one's k-th best score so far."""
     floor = np.maximum(low * windows, 100 * kth)
-    bitmap = shard.label != label
+    bottom, top = floor.min(), high * windows.max()
 
     def keeps(least: np.ndarray, most: np.ndarray) -> np.ndarray:
-        return ((100 * most[:, None] >= floor) & (100 * least[:, None] <= high * windows)).any(1)
+        fits = (100 * most >= bottom) & (100 * least <= top)
+        some = np.flatnonzero(fits)
+        if len(windows) > 1 and len(some):
+            fits[some] = ((100 * most[some, None] >= floor) & (100 * least[some, None] <= high * windows)).any(1)
+        return fits
 
-    at, s = shard.scan(q, bitmap, keeps)
+    at, s = shard.scan(q, shard.label != label, bottom / 100, keeps)
     ids, out = shard.ids[at], []
     for w, p in enumerate(windows):
         fits = np.flatnonzero((100 * s >= floor[w]) & (100 * s <= high * p))
@@ -122,10 +139,11 @@ def _paired(b: pa.RecordBatch, extra: int) -> Iterator[tuple[Shard, np.ndarray,
 
 
 def _pairs(shards: DataFrame, anchors: DataFrame, n_shards: int, extra: int, tasks: int) -> DataFrame:
-    """Every shard with every block of anchors: the anchors, far fewer, are copied."""
+    """Every shard with every block of anchors: the anchors, far fewer, are copied; a shard
+    goes to one task, which reads its blocks of anchors one after the other."""
     copies = anchors.select((F.col("dim") - extra).alias("dim"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
                             F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    return (shards.join(copies, ["dim", "shard"]).repartition(tasks)
+    return (shards.repartition(tasks, "dim", "shard").join(copies.repartition(tasks, "dim", "shard"), ["dim", "shard"])
             .select("dim", "shard", "ids", "mat", "q_ids", "q_mat"))
 
 
@@ -135,8 +153,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for every
     row for which ``is_anchor`` holds.
 
-    Components become ``floor(scale * x)``.  Rows are hashed into shards of about 4,096 and
-    anchors into blocks of 512, so a label that many rows have is spread like any other."""
+    Components become ``floor(scale * x)``.  Rows are hashed into shards of about 8,192 and
+    anchors into blocks of 512, so a label that many rows have is spread like any."""
     spark = vectors.sparkSession
     folder, parts = run_folder(spark), shuffle_partitions(spark)
     flag = vectors.select(vectors[id_col].alias("vec_id"), vectors[vec_col].alias("vec"), vectors[label_col].cast("long").alias("lab"),
@@ -149,12 +167,11 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
         return valid_vectors(labelled, "vec_id", "vec")
 
     items = rows(flag)
-    n_shards = blocks_of(items.count(), BLOCK_ROWS)
+    n_shards = blocks_of(items.count(), SHARD_ROWS)
     shards = stage(pack(items.withColumn("shard", block_of("id", n_shards)), ["dim", "shard"]), folder, "shards")
     anchors = rows(flag.filter("chosen"))
     n_blocks = blocks_of(anchors.count(), QUERY_ROWS)
     anchors = stage(anchors.withColumn("part", block_of("id", n_blocks)), folder, "anchors")
-    tasks = max(parts, min(4 * parts, n_shards * n_blocks))
 
     def find_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,7 +186,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
                     kept[a] = ids[first], s[first]
             yield _lists(kept, ["anchor_id", "positive_id", "positive_score"])
 
-    found = _pairs(shards, pack(anchors, ["dim", "part"]), n_shards, 0, tasks).mapInArrow(
+    found = _pairs(shards, pack(anchors, ["dim", "part"]), n_shards, 0, parts).mapInArrow(
         find_positives, "anchor_id long, positive_id long, positive_score long")
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     found = stage(found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n_pos), folder, "positives")
@@ -200,7 +217,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id"
                         kept[a, p] = ids[first], s[first]
             yield _lists(kept, ["anchor_id", "positive_score", "negative_id", "negative_score"])
 
-    lists = _pairs(shards, pack(again, ["dim", "part"]), n_shards, n_pos, tasks).mapInArrow(
+    lists = _pairs(shards, pack(again, ["dim", "part"]), n_shards, n_pos, parts).mapInArrow(
         find_negatives, "anchor_id long, positive_score long, negative_id long, negative_score long")
     order = Window.partitionBy("anchor_id", "positive_score").orderBy(F.desc("negative_score"), "negative_id")
     lists = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n_neg)
