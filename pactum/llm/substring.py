@@ -41,9 +41,9 @@ from .common import U64, flat_text, mix64, run_folder, shuffle_partitions, span_
 from .url_cascade import Cascade, bloom_level
 
 WINDOW = 13
-CHUNK_BYTES = 1 << 23          # text of a chunk
-BUCKET_BYTES = 1 << 25         # text whose anchors a bucket holds
-BUCKET_WINDOWS = 1 << 20       # windows around hits that a bucket holds
+CHUNK_BYTES = 1 << 21          # text of a chunk
+BUCKET_BYTES = 1 << 23         # text whose anchors a bucket holds
+BUCKET_WINDOWS = 1 << 19       # windows around hits that a bucket holds
 MAX_FILTER_BITS = 1 << 28      # the filter of documents with hits; fuller ones only pass more rows
 NOBODY = 65535                 # stands for all documents of a chunk that need no answer
 KEYED = "id long, h long, text string"
