@@ -17,6 +17,8 @@ class EngineConfig:
     primary_company_names: tuple[str, ...] = ("Our Company",)
     primary_company_display: str = "Our Company"
     primary_role_hints: tuple[str, ...] = ("our company",)
+    # address fragments (lower case) that tell our side where no name does (C20)
+    primary_company_addresses: tuple[str, ...] = ()
     # registry id prefix
     id_prefix: str = "CTR"
     # legacy threshold: effective date before this (or unknown) => -LEG (I8)
@@ -59,4 +61,6 @@ FIXTURE_AS_OF = _dt.datetime(2000, 1, 1, 10, 0, 0)
 FIXTURE_CONFIG = EngineConfig(
     legacy_threshold=_dt.date(1998, 1, 1),
     address_cutover=_dt.date(1998, 1, 1),
+    primary_role_hints=("supplier", "vendor"),
+    primary_company_addresses=("9 hafenweg",),
 )

@@ -882,3 +882,6 @@ def q_a8(spark, sf):
     empty = spark.createDataFrame([], b.select(*cols).schema)  # an empty collection
     first = IN.ingest(empty, b.select(*cols))
     return IN.ingest(first, b.select(*cols), force=True)
+
+
+from . import catalog_agreements  # noqa: E402, F401  (registers its queries)

@@ -1319,3 +1319,11 @@ FROM (SELECT contract_id, t, regexp_extract(t, {_rx(C.PREAMBLE)}, 1) AS pre,
 
 ORACLE["c17_section_blocks"] = _c17_sql()
 ORACLE["a8_force_reprocess"] = ORACLE["a7_idempotent_ingest"]
+
+
+from .oracle_agreements import ORACLE as _AGREEMENTS  # noqa: E402
+from .oracle_agreements import strict_export as _strict_export  # noqa: E402
+
+ORACLE.update(_AGREEMENTS)
+ORACLE["b11_strict_export"] = _strict_export(_registry_ctes(), _e18_select(
+    " filename, counterparty_name, counterparty_address, governing_law, gdpr_applicable, expiration_date,"), FACT_CTE)
