@@ -56,3 +56,20 @@ def jurisdictions(reg: DataFrame, inherited: DataFrame, meta: DataFrame) -> Data
     return rows.select("contract_id", resolve_jurisdiction(
         F.col("governing_law"), F.lit(None).cast("string"), F.col("hierarchy"), F.col("inherited_jurisdiction"),
         F.col("counterparty_address"), F.col("region")).alias("jurisdiction"))
+
+
+def clean_jurisdiction(value: Column) -> Column:
+    """A label without its verification mark; one that is missing or empty asks for review."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    marked = F.lower(v).contains("default - requires verification")
+    bare = F.when(marked, F.trim(F.substring_index(v, "(", 1))).otherwise(v)
+    return F.when(bare == "", REVIEW).otherwise(bare)
+
+
+def export_jurisdiction(extra: list[Column], law: Column, jurisdiction: Column, hierarchy: Column, inherited: Column,
+                        address: Column, region: Column) -> Column:
+    """E28 at export: the first valid of the extra fields, a valid inherited value, else as
+    ``resolve_jurisdiction``; then the label is cleaned."""
+    first = [F.when(jurisdiction_valid(c), c) for c in extra]
+    parent = F.when(jurisdiction_valid(inherited), F.concat(inherited, F.lit(" (from MSA)")))
+    return clean_jurisdiction(F.coalesce(*first, parent, resolve_jurisdiction(law, jurisdiction, hierarchy, inherited, address, region)))

@@ -24,17 +24,19 @@ MSA match at all; the search therefore keeps one MSA key per name (Q24).
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.dates import as_of_lit, floor_days, parse_date_export
-from ..functions.missing import col_or_null
+from ..functions.missing import col_or_null, yes_no
 from ..functions.sequence import dense_index, rank_within_groups
 from ..functions.textrules import party_garbage
 from ..session import ensure_checkpoint_dir
 from ..session import materialize as checkpointed
+from .clauses import notice_days
 
 # Hierarchy ranks of the id allocation order.
 HIERARCHY_ORDER = {"MSA": 0, "NDA": 1, "Standalone": 2, "SOW": 3, "Amendment": 4, "Schedule": 5}
@@ -484,6 +486,33 @@ def default_notice_days(contract_type: Column) -> Column:
             .when(t.contains("reseller") | t.contains("distributor"), 60).otherwise(30))
 
 
+def _days_of(value: Column) -> Column:
+    """A stored number as it is, a text like "30 days" in days, else NULL."""
+    text = value.cast("string")
+    return F.coalesce(F.floor(text.try_cast("double")).cast("int"), notice_days(text))
+
+
+def notification_days(fields: list[Column], fallbacks: list[Column], contract_type: Column) -> Column:
+    """The first stored field that tells days (a number or a notice text), else the first
+    fallback, else the type's default."""
+    return F.coalesce(*[_days_of(f) for f in fields], *[f.cast("int") for f in fallbacks], default_notice_days(contract_type))
+
+
+def notification_buffer(fields: list[Column]) -> Column:
+    """The buffer in days from the first filled field; 30 where that tells none."""
+    first = F.coalesce(*[F.nullif(F.trim(f.cast("string")), F.lit("")) for f in fields])
+    return F.coalesce(_days_of(first), F.lit(30))
+
+
+def perpetual_info(contract_type: Column, texts: list[Column], flags: list[Column], notice: Column) -> Column:
+    """struct(perpetual, notice, notice_days): 'Yes' by a keyword in the type or the texts, or
+    by a stored flag; the perpetual notice text and its days."""
+    flagged = reduce(lambda a, b: a | b, (F.coalesce(yes_no(f, "No") == "Yes", F.lit(False)) for f in flags), F.lit(False))
+    yes = F.when((perpetual_flag(contract_type, *texts) == "Yes") | flagged, "Yes").otherwise("No")
+    return F.struct(yes.alias("perpetual"), F.coalesce(notice, F.lit("")).alias("perpetual_notice"),
+                    notice_days(notice).alias("perpetual_notice_days"))
+
+
 def perpetual_flag(contract_type: Column, *texts: Column) -> Column:
     """E25: 'Yes' when a perpetual keyword appears in the type or term texts."""
     blob = F.lower(F.concat_ws(" ", F.coalesce(contract_type, F.lit("")), *texts))

@@ -189,13 +189,14 @@ def q_g8(spark, sf):
                                                    "prompt")
 
 
-def responses_from_text(entries: DataFrame) -> DataFrame:
+def responses_from_text(entries: DataFrame, ct: DataFrame) -> DataFrame:
     """Agent responses derived from the contract text (stand-in for the model
     call, which runs outside Spark).  Values come from simple patterns over the
-    excerpt, other missing fields get a citation of the master agreement.  Four
+    whole text of the contract, other missing fields get a citation of the master agreement.  Four
     reply shapes: fenced block, several objects with notes, prose only, and a
     complete payload with low confidence."""
-    txt = F.col("excerpt")
+    entries = entries.join(ct.select("contract_id", F.coalesce("text", F.lit("")).alias("whole_text")), "contract_id")
+    txt = F.col("whole_text")
     pay = F.regexp_extract(txt, r"[Pp]ayment is due within (\d+ days)", 1)
     law = F.regexp_extract(txt, r"laws of the ((?:State of )?[A-Z][a-z]+)", 1)
     vals = F.transform("missing_fields", lambda f: F.when((f == "payment_terms") & (pay != ""), pay)
@@ -219,30 +220,32 @@ def responses_from_text(entries: DataFrame) -> DataFrame:
 
 @register("g9_parse_responses")
 def q_g9(spark, sf):
-    e = G.gap_entries(contracts(spark, sf))
-    p = G.parse_responses(responses_from_text(e))
+    ct = contracts(spark, sf)
+    p = G.parse_responses(responses_from_text(G.gap_entries(ct), ct))
     return p.select("contract_id", F.to_json("payload").alias("payload"))
 
 
 @register("g12_repair_log")
 def q_g12(spark, sf):
-    e = G.gap_entries(contracts(spark, sf))
-    log = G.run_repair(e, responses_from_text(e))
+    ct = contracts(spark, sf)
+    e = G.gap_entries(ct)
+    log = G.run_repair(e, responses_from_text(e, ct))
     return log.select("contract_id", "status", "notes",
                       F.to_json("applied_fields").alias("applied_fields"))
 
 
 @register("g12_repair_summary")
 def q_g12s(spark, sf):
-    e = G.gap_entries(contracts(spark, sf))
-    return G.run_summary(G.run_repair(e, responses_from_text(e)))
+    ct = contracts(spark, sf)
+    e = G.gap_entries(ct)
+    return G.run_summary(G.run_repair(e, responses_from_text(e, ct)))
 
 
 @register("g11_patched_snapshot")
 def q_g11(spark, sf):
     ct = contracts(spark, sf)
     e = G.gap_entries(ct)
-    log = G.run_repair(e, responses_from_text(e))
+    log = G.run_repair(e, responses_from_text(e, ct))
     snap = G.apply_patches(ct, log)
     return snap.select("contract_id", "payment_terms", "governing_law", "counterparty_address",
                        "counterparty_name", "gdpr_applicable")

@@ -14,6 +14,7 @@ from ..operators import listexport as L
 from ..operators import parties as P
 from ..operators import paths as PT
 from ..operators import registry as R
+from ..operators.jurisdiction import export_jurisdiction
 from ..sources.agreements import agreements
 from ..sources.contracts import contracts
 from ..sources.tables import table
@@ -184,3 +185,32 @@ def export_rows(spark, sf):
 def q_b11(spark, sf):
     out = L.strict_list(export_rows(spark, sf), CFG.id_prefix)
     return out.toDF(*[c.replace(" ", "_") for c in out.columns])
+
+
+@register("e28_export_jurisdiction")
+def q_e28_export(spark, sf):
+    """E28 at export; two of the extra fields and the own jurisdiction by residues of the position."""
+    ct = contracts(spark, sf)
+    reg = R.registry(ct, AS_OF, CFG)
+    inherited = R.inherit_terms(reg, ct.select(ID, "governing_law")).select(ID, "inherited_jurisdiction")
+    rows = reg.select(ID, "hierarchy").join(ct.select(ID, "_pos", "governing_law", "counterparty_address", "region"), ID) \
+        .join(inherited, ID, "left")
+    k = F.col("_pos")
+    extra = [F.when(k % 13 == 0, F.lit("Denmark")), F.when(k % 13 == 1, F.lit("N/A"))]
+    own = F.when(k % 7 == 1, F.lit("Republic of Peru"))
+    return rows.select(ID, export_jurisdiction(extra, F.col("governing_law"), own, F.col("hierarchy"), F.col("inherited_jurisdiction"),
+                                               F.col("counterparty_address"), F.col("region")).alias("jurisdiction"))
+
+
+@register("e26_notification_terms")
+def q_e26_terms(spark, sf):
+    """E25 and E26 with stored fields: numbers, texts and flags by residues of the position."""
+    ct = contracts(spark, sf)
+    k, terms = F.col("_pos"), F.col("payment_terms")
+    kind = F.coalesce(F.nullif("contract_type", F.lit("")), F.lit("Unknown"))
+    info = R.perpetual_info(kind, [F.when(k % 10 == 0, F.lit("an Evergreen term"))], [F.when(k % 9 == 0, F.lit("true")), F.lit(None).cast("string")],
+                            F.when(k % 3 == 0, terms))
+    days = R.notification_days([F.when(k % 5 == 0, (k % 90).cast("string")), F.when(k % 5 == 1, terms)], [F.when(k % 4 == 0, k % 50)], kind)
+    buffer = R.notification_buffer([F.when(k % 6 == 0, F.lit(" ")), F.when(k % 6 == 0, F.lit("2 weeks")), F.when(k % 6 == 1, F.lit("17.9")), terms])
+    return ct.select(ID, info.alias("i"), days.alias("notification_days"), buffer.alias("buffer_days")).select(
+        ID, "i.*", "notification_days", "buffer_days")

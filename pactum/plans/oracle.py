@@ -1052,11 +1052,13 @@ def _e28_sql() -> str:
                  ("germany", "Germany"), ("deutschland", "Germany"), ("france", "France"), ("netherlands", "Netherlands"),
                  ("australia", "Australia"), ("singapore", "Singapore"), ("hong kong", "Hong Kong"), ("japan", "Japan"),
                  ("canada", "Ontario, Canada"))
-    states = ("colorado co,california ca,new york ny,texas tx,florida fl,michigan mi,illinois il,georgia ga,delaware de,"
-              "massachusetts ma,washington wa,virginia va,north carolina nc,arizona az,nevada nv,oregon or,minnesota mn,"
-              "wisconsin wi,tennessee tn,ohio oh,pennsylvania pa").split(",")
+    # States and their codes.
+    states = (("colorado", "co"), ("california", "ca"), ("new york", "ny"), ("texas", "tx"), ("florida", "fl"), ("michigan", "mi"),
+              ("illinois", "il"), ("georgia", "ga"), ("delaware", "de"), ("massachusetts", "ma"), ("washington", "wa"), ("virginia", "va"),
+              ("north carolina", "nc"), ("arizona", "az"), ("nevada", "nv"), ("oregon", "or"), ("minnesota", "mn"), ("wisconsin", "wi"),
+              ("tennessee", "tn"), ("ohio", "oh"), ("pennsylvania", "pa"))
     country = " ".join(f"WHEN contains(a, '{w}') THEN '{j}'" for w, j in countries)
-    state = " ".join(f"WHEN regexp_matches(a, '\\b{s[:-3]}\\b|\\b{s[-2:]}\\s+[0-9]{{5}}') THEN '{s[:-3].title()}'" for s in states)
+    state = " ".join(f"WHEN regexp_matches(a, '\\b{n}\\b|\\b{code}\\s+[0-9]{{5}}') THEN '{n.title()}'" for n, code in states)
     inherited = ORACLE["g13_export_inheritance"]
     head, tail = inherited.rsplit("SELECT c.contract_id,", 1)
     return f"""{head}
@@ -1327,3 +1329,62 @@ from .oracle_agreements import strict_export as _strict_export  # noqa: E402
 ORACLE.update(_AGREEMENTS)
 ORACLE["b11_strict_export"] = _strict_export(_registry_ctes(), _e18_select(
     " filename, counterparty_name, counterparty_address, governing_law, gdpr_applicable, expiration_date,"), FACT_CTE)
+
+
+# ------------------------------------------------------------- repair
+_REPLY = """
+rp0 AS (
+ SELECT g.*, k._pos % 4 AS shape, regexp_extract(k.text, '[Pp]ayment is due within (\\d+ days)', 1) AS pay,
+  regexp_extract(k.text, 'laws of the ((?:State of )?[A-Z][a-z]+)', 1) AS law
+ FROM gaps g JOIN contracts k USING (contract_id)),
+rp AS (
+ SELECT *, list_transform(missing, lambda f: CASE WHEN f = 'payment_terms' AND pay <> '' THEN pay WHEN f = 'governing_law' AND law <> '' THEN law
+   ELSE 'per master agreement' END) AS vals,
+  CASE WHEN len(missing) = 0 THEN 'prefilled' WHEN shape = 2 THEN 'parse_failed' WHEN shape = 3 THEN 'rejected' ELSE 'applied' END AS status FROM rp0),
+rl AS (
+ SELECT *, list_transform(list_zip(missing, vals), lambda z: '"' || z[1] || '":"' || z[2] || '"') AS pairs FROM rp)"""
+ORACLE["g9_parse_responses"] = with_fact("""
+SELECT contract_id, CASE WHEN shape <> 2 THEN '{' || array_to_string(list_concat(list_reverse(pairs),
+   ['"confidence":"' || CASE shape WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END || '"', '"contract_id":"' || contract_id || '"'],
+   CASE WHEN shape = 1 AND pay <> '' AND NOT list_contains(missing, 'payment_terms') THEN ['"payment_terms":"' || pay || '"'] ELSE [] END,
+   CASE WHEN shape = 1 THEN ['"notes":"first pass | second pass"'] ELSE [] END), ',') || '}' END AS payload
+FROM rl""", ctes=_gap_ctes() + "," + _REPLY)
+ORACLE["g12_repair_log"] = with_fact("""
+SELECT contract_id, status, CASE WHEN shape = 3 THEN 'Confidence not provided or too low' ELSE '' END AS notes,
+  CASE WHEN status = 'applied' THEN '{' || array_to_string(pairs, ',') || '}' END AS applied_fields
+FROM rl""", ctes=_gap_ctes() + "," + _REPLY)
+ORACLE["g12_repair_summary"] = with_fact("""
+SELECT count(*) AS attempted, count(*) FILTER (WHERE status IN ('prefilled', 'applied')) AS successful FROM rl""", ctes=_gap_ctes() + "," + _REPLY)
+
+
+def _patched(f: str) -> str:
+    new = (f"CASE WHEN list_contains(inherited, '{f}') THEN p_{f} WHEN status = 'applied' AND list_contains(missing, '{f}') "
+           f"THEN vals[list_position(missing, '{f}')] END")
+    return f"CASE WHEN {_m('k.' + f)} AND {new} IS NOT NULL THEN {new} ELSE k.{f} END AS {f}"
+
+
+ORACLE["g11_patched_snapshot"] = with_fact(f"""
+SELECT k.contract_id, {', '.join(_patched(f) for f in ('payment_terms', 'governing_law', 'counterparty_address', 'counterparty_name', 'gdpr_applicable'))}
+FROM contracts k LEFT JOIN rl USING (contract_id)""", ctes=_gap_ctes() + "," + _REPLY)
+ORACLE["e28_export_jurisdiction"] = f"""
+SELECT contract_id, CASE WHEN _pos % 13 = 0 THEN 'Denmark' WHEN jurisdiction LIKE '%(from MSA)' OR jurisdiction = governing_law THEN jurisdiction
+  WHEN _pos % 7 = 1 THEN 'Republic of Peru' WHEN jurisdiction LIKE '%(default - requires verification)' THEN trim(string_split(jurisdiction, '(')[1])
+  ELSE jurisdiction END AS jurisdiction
+FROM ({ORACLE["e28_jurisdiction"]}) JOIN (SELECT contract_id, _pos, governing_law FROM ({with_fact("SELECT * FROM contracts")})) USING (contract_id)"""
+
+
+def _notice(c: str) -> str:
+    one = lambda u, n: f"TRY_CAST(NULLIF(regexp_extract({c}, '(?i)(\\d+)\\s*{u}', 1), '') AS INTEGER) * {n}"
+    return f"CASE WHEN {c} NOT IN ('', 'Unknown', 'Not found') THEN COALESCE({one('day', 1)}, {one('month', 30)}, {one('week', 7)}) END"
+
+
+ORACLE["e26_notification_terms"] = with_fact(f"""
+SELECT contract_id, CASE WHEN _pos % 10 = 0 OR _pos % 9 = 0 THEN 'Yes' ELSE 'No' END AS perpetual,
+  CASE WHEN _pos % 3 = 0 THEN coalesce(payment_terms, '') ELSE '' END AS perpetual_notice,
+  CASE WHEN _pos % 3 = 0 THEN {_notice('payment_terms')} END AS perpetual_notice_days,
+  CAST(COALESCE(CASE WHEN _pos % 5 = 0 THEN _pos % 90 WHEN _pos % 5 = 1 THEN {_notice('payment_terms')} END, CASE WHEN _pos % 4 = 0 THEN _pos % 50 END,
+    CASE WHEN contains(lower(coalesce(contract_type, '')), 'nda') THEN 30 WHEN contains(lower(coalesce(contract_type, '')), 'master')
+      OR contains(lower(coalesce(contract_type, '')), 'msa') THEN 90 WHEN contains(lower(coalesce(contract_type, '')), 'reseller')
+      OR contains(lower(coalesce(contract_type, '')), 'distributor') THEN 60 ELSE 30 END) AS INTEGER) AS notification_days,
+  CAST(CASE WHEN _pos % 6 = 0 THEN 14 WHEN _pos % 6 = 1 THEN 17 ELSE COALESCE({_notice('payment_terms')}, 30) END AS INTEGER) AS buffer_days
+FROM contracts""")
