@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.dates import numeric_token_date
-from ..functions.spans import collapse, strip
+from ..functions.spans import collapse, let, strip
 
 # Path words of a status, by falling weight.
 STATUS_WORDS = (("Terminated", "terminat"), ("Draft", "draft"), ("Archive", "archive"))
@@ -44,9 +44,20 @@ def _part(parts: Column, back: int) -> Column:
 
 def document_context(path: Column, text: Column) -> Column:
     """Struct of everything that path and text tell about a document."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda t: let(_role(path, t), lambda role: _context(path, t, role)))
+
+
+def _role(path: Column, t: Column) -> Column:
+    """The first role that file name or text name; a master agreement by its file's name is none of work."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    role = F.coalesce(*[F.when(_any(name, words) | _any(t, words), F.lit(r)) for r, words in ROLE_WORDS])
+    master = (name.contains("msa") | name.contains("master service agreement")) & ~name.contains("sow")
+    return F.when((role == "Statement of Work") & master, "Master Agreement").otherwise(role)
+
+
+def _context(path: Column, t: Column, role: Column) -> Column:
     parts = F.split(path, "/")
-    low_parts = F.transform(parts, F.lower)
-    t, name = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.element_at(parts, -1))
+    low_parts, name = F.transform(parts, F.lower), F.lower(F.element_at(parts, -1))
     # the fold carries which words a part has had so far
     seen = F.aggregate(low_parts, F.array(*[F.lit(False)] * len(STATUS_WORDS)), lambda had, p: F.array(
         *[F.get(had, F.lit(i)) | p.contains(w) for i, (_, w) in enumerate(STATUS_WORDS)]))
@@ -56,9 +67,6 @@ def document_context(path: Column, text: Column) -> Column:
     labels = F.when(F.size(labels) == 0, F.array(F.lit("Active"))).otherwise(labels)
     status = F.coalesce(*[F.when(h, F.lit(s)) for h, (s, _) in zip(has, STATUS_WORDS)], F.lit("Active"))
 
-    role = F.coalesce(*[F.when(_any(name, words) | _any(t, words), F.lit(r)) for r, words in ROLE_WORDS])
-    master = (name.contains("msa") | name.contains("master service agreement")) & ~name.contains("sow")
-    role = F.when((role == "Statement of Work") & master, "Master Agreement").otherwise(role)
     sow_no, body_no = F.regexp_extract(name, r"sow[\s_\-]*(\d+)", 1), F.regexp_extract(t, r"statement of work\s*(?:number|no\.?|#)\s*(\d+)", 1)
     amendment_no = F.regexp_extract(name, r"(?:amendment|addendum)\s*(?:number|no\.?|#)?\s*(\d+)", 1)
     label = F.coalesce(F.when(sow_no != "", F.concat(F.lit("SOW #"), sow_no)),
