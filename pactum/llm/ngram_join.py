@@ -5,21 +5,25 @@ with equal sets form a class and are handled once.
 
 1. **Screen.**  A set x with a partner misses at most ``m(x) = |x| - ceil(t |x|)`` of its
    members in that partner, so of any part of x all but m(x) members occur in a second
-   set.  The quarter of the hash range is exchanged by hash bucket to find, for every
-   class, how many of its members there occur in another class; classes with too few
-   are out.  That is exact and leaves few classes of a corpus.
+   set.  The quarter of the hash range is exchanged by hash bucket; buckets say for each
+   class how many of its members there occur in another class, if any do.  Classes with too
+   few are out.  That is exact and leaves few classes of a corpus.
 2. **Index.**  For the classes left, members that occur in two classes or more are
    ordered by (how many classes, hash); members of one class come first.  The first
    ``m(x) + 1`` members of a set are its prefix; partners share a prefix member.  The
    index has a list for every prefix member, each entry with set size and position.
-3. **Index-level skipping.**  Entries of a list with equal size and position form a block;
-   a pair of blocks whose sizes or positions rule the overlap out is skipped whole.
-4. **Answer-level skipping.**  In each list all sets are compared with one pivot, the least
+3. **Answer-level skipping.**  In each list all sets are compared with one pivot, the least
    class.  Sets that link with it are in one component and need no comparison with
    one another.  Between different components, the answers for the pivot bound those of
    the others: Jaccard distance is a metric, so sets whose distances to the pivot differ
-   by more than ``1 - t`` cannot link.  Only pairs of the remaining sets are compared, exactly.
-   Pivots change over a few rounds, so a list costs its length for each round.
+   by more than ``1 - t`` cannot link.  Pivots change over a few rounds, so a list costs its
+   length for each round.
+4. **Index-level skipping.**  The sets that pivots leave open are laid out in blocks of a list:
+   a band of sizes, a band of positions, ``BLOCK`` sets at most.  Blocks of a list are joined,
+   and a pair of blocks whose ranges of size, position, rank or distance rule every overlap
+   out is skipped whole; tasks expand the others.
+   Before the members of a pair are fetched, the counts of members in ``BINS`` parts of the
+   hash range bound the overlap; only pairs that pass are compared, exactly.
 5. **Counting.**  Links never leave a component, so the number of links of a class is
    counted over all pairs of its component, those that step 4 skipped among them.  The
    classes of a component go into chunks; a task compares two chunks.  A member that most
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, as_i64, mix64, run_folder, shuffle_partitions, stage, text_blocks, word_hashes)
+from .common import U64, as_i64, mix64, run_folder, stage, text_blocks, word_hashes
 from .components import connected_components
 from .url_cascade import Cascade, bloom_level, hash_pair
 
@@ -53,6 +57,11 @@ SCREEN = 4                     # one in so many of the hash range is screened
 PIVOT_ROUNDS = 2
 ROUNDING = 1e-9
 MAX_FILTER_BITS = 1 << 28      # the filter of representatives; fuller ones only pass more rows
+BUCKET_MEMBERS = 2 << 20       # members that a bucket of the exchange holds
+BLOCK, POSITIONS = 256, 32     # sets of a block, and positions that it spans
+STEP_PAIRS = 1 << 14           # pairs bounded at once
+BINS, FULL_BIN = 128, 65535    # parts of the hash range whose counts bound an overlap; this count is no bound
+BROADCAST_PAIRS = 1 << 17      # pairs of class keys (32 bytes) that are broadcast
 CHUNK = 256                    # classes of a component that a chunk holds; more from CHUNKS chunks on
 CHUNKS, MAX_CHUNK = 64, 4096
 CHUNK_MEMBERS = 1 << 21
@@ -86,6 +95,9 @@ def shingle_sets(col: pa.Array, width: int) -> list[np.ndarray]:
     return [np.unique(x) for x in np.split(vals[order], np.cumsum(np.bincount(rows, minlength=n))[:-1])]
 
 
+KEY_BYTES, SCREEN_KEY = 16, 12         # bytes of a class key, and of it in the screen
+
+
 def _key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -118,7 +130,7 @@ def _slices(key: list[bytes], size: list[int], vals: list[np.ndarray], n_buckets
     bucket = (v >> U64(40)) % U64(n_buckets)
     order = np.argsort(bucket, kind="stable")
     owner, v, bucket = owner[order], v[order], bucket[order].astype(np.int64)
-    keys = np.frombuffer(b"".join(key), "V16")
+    keys = np.frombuffer(b"".join(key), f"V{len(key[0])}")
     sizes = np.array(size, np.int32)
     ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
     none = np.array([k for k, x in enumerate(vals) if not len(x)], np.int64)
@@ -139,10 +151,13 @@ def _shared(t: pa.Table):
     """A bucket: class of each member, member, in how many classes it is; and the
     classes' keys, sizes and counts.  A class that several tasks sent counts once."""
     cols = {c: b"".join(x.as_py() for x in t.column(c)) for c in ("keys", "sizes", "counts", "vals")}
-    keys = np.frombuffer(cols["keys"], "V16")
+    counts = np.frombuffer(cols["counts"], np.int32)
+    keys = np.frombuffer(cols["keys"], f"V{len(cols['keys']) // max(1, len(counts)) or KEY_BYTES}")
     sizes, counts = (np.frombuffer(cols[c], np.int32) for c in ("sizes", "counts"))
     vals = np.frombuffer(cols["vals"], U64)
-    halves = np.frombuffer(cols["keys"], U64).reshape(-1, 2)
+    halves = np.zeros((len(keys), 16), np.uint8)
+    halves[:, :keys.itemsize] = np.frombuffer(cols["keys"], np.uint8).reshape(len(keys), -1) if len(keys) else 0
+    halves = halves.view(U64)
     by_key = np.lexsort((halves[:, 1], halves[:, 0]))
     runs = halves[by_key]
     keep = np.zeros(len(keys), bool)
@@ -159,7 +174,7 @@ def _shared(t: pa.Table):
     return keys, sizes, counts, keep, owner, vals, df
 
 
-def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int) -> DataFrame:
+def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int, key_bytes: int = KEY_BYTES) -> DataFrame:
     """Slices of (key, n, members binary) for classes of ``least`` members or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +186,7 @@ def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int) -> Data
                 if k is None or n < least or k in seen:
                     continue
                 seen.add(k)
-                key.append(k)
+                key.append(k[:key_bytes])
                 size.append(n)
                 vals.append(np.frombuffer(m.as_py(), U64))
                 held += len(vals[-1]) + 1
@@ -192,7 +207,8 @@ def _by_group(keys: np.ndarray, at: np.ndarray, n_groups: int):
 
     What a bucket knows of its classes is handed on as one row for each group, so the
     rows between two exchanges are buckets times groups, not buckets times classes."""
-    group = np.frombuffer(keys[at].tobytes(), U64)[::2] % U64(n_groups)
+    head = np.frombuffer(keys[at].tobytes(), np.uint8).reshape(-1, keys.itemsize)[:, :8]
+    group = np.ascontiguousarray(head).view(U64).ravel() % U64(n_groups)
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(n_groups + 1))
     return [(g, at[order[ends[g]:ends[g + 1]]]) for g in range(n_groups) if ends[g] < ends[g + 1]]
@@ -213,30 +229,34 @@ def _merged(t: pa.Table, *names: str):
 
 
 def screen(docs: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
-    """(key, n) of the classes whose screened members leave a partner possible."""
+    """(short, m): the first bytes of a class's key, and how many of its screened members occur
+    in another class; classes without any are not named.  A bucket hands its classes on by
+    group, so rows are buckets times groups."""
 
     def count(tab: pa.Table) -> pa.Table:
-        keys, sizes, counts, keep, owner, _, df = _shared(tab)
-        common = np.bincount(owner[df > 1], minlength=len(keys)).astype(np.int32)
-        rows = [(g, keys[c].tobytes(), sizes[c].tobytes(), counts[c].tobytes(), common[c].tobytes())
-                for g, c in _by_group(keys, np.flatnonzero(keep), n_buckets)]
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), **{
-            n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("keys", "sizes", "c", "m"), 1)}})
+        keys, _, _, keep, owner, _, df = _shared(tab)
+        common = np.bincount(owner[df > 1], minlength=len(keys)) * keep
+        rows = [(g, keys[c].tobytes(), common[c].astype(np.int32).tobytes()) for g, c in _by_group(keys, np.flatnonzero(common), n_buckets)]
+        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()),
+                         **{n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("keys", "m"), 1)}})
 
-    def judge(tab: pa.Table) -> pa.Table:
-        keys, sizes, which, cols = _merged(tab, "c:i4", "m:i4")
-        c, m = (np.bincount(which, weights=cols[x], minlength=len(keys)) for x in ("c", "m"))
-        at = np.flatnonzero(m >= c - t.may_miss(sizes.astype(np.int64)))
-        return pa.table({"key": pa.array([keys[i].tobytes() for i in at], pa.binary()), "n": pa.array(sizes[at], pa.int32())})
+    def add_up(tab: pa.Table) -> pa.Table:
+        cols = [np.frombuffer(b"".join(x.as_py() for x in tab.column(c)), k) for c, k in (("keys", f"S{SCREEN_KEY}"), ("m", "i4"))]
+        raw = np.frombuffer(cols[0].tobytes(), np.uint8).reshape(-1, SCREEN_KEY)
+        order = np.lexsort(raw.T[::-1])
+        raw, m = raw[order], cols[1][order]
+        first = np.flatnonzero(np.r_[True, (raw[1:] != raw[:-1]).any(1)][:len(raw)])
+        total = np.add.reduceat(m.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        return pa.table({"short": pa.array([raw[i].tobytes() for i in first], pa.binary()), "m": pa.array(total)})
 
-    return (_bucketed(docs, "part", n_buckets, t.least_size()).groupBy("bucket")
-            .applyInArrow(count, "grp int, keys binary, sizes binary, c binary, m binary")
-            .groupBy("grp").applyInArrow(judge, "key binary, n int"))
+    return (_bucketed(docs, "part", n_buckets, t.least_size(), SCREEN_KEY).groupBy("bucket")
+            .applyInArrow(count, "grp int, keys binary, m binary").groupBy("grp").applyInArrow(add_up, "short binary, m long"))
 
 
 def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
-    """(key, n, members, prefix, before): members shared with other classes (ascending,
-    binary), the prefix among them, and how many members of x stand before the prefix."""
+    """(key, n, members, prefix, before, bins): members shared with other classes (ascending,
+    binary), the prefix among them, how many members of x stand before the prefix, and the counts
+    of the shared members in equal parts of the hash range."""
 
     def collect(tab: pa.Table) -> pa.Table:
         keys, sizes, _, _, owner, vals, df = _shared(tab)
@@ -248,12 +268,12 @@ def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
         rows = []
         for g, c in _by_group(keys, np.flatnonzero(have), n_buckets):
             own = np.concatenate([np.arange(start[i], start[i] + have[i]) for i in c])
-            rows.append((g, keys[c].tobytes(), sizes[c].tobytes(), have[c].tobytes(), vals[own].tobytes(), df[own].tobytes()))
+            rows.append((g, keys[c].tobytes(), sizes[c].tobytes(), have[c].tobytes(), vals[own].tobytes(), np.minimum(df[own], 2**31 - 1).astype(np.int32).tobytes()))
         return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), **{
             n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("keys", "sizes", "have", "v", "d"), 1)}})
 
     def prefixes(tab: pa.Table) -> pa.Table:
-        keys, sizes, which, cols = _merged(tab, "have:i4", "v:u8", "d:i8")
+        keys, sizes, which, cols = _merged(tab, "have:i4", "v:u8", "d:i4")
         of = np.repeat(which, cols["have"])
         order = np.lexsort((cols["v"], cols["d"], of))
         v, of = cols["v"][order], of[order]
@@ -264,15 +284,16 @@ def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
             alone = n - len(mine)
             take = t.may_miss(n) + 1 - alone
             if take > 0:
-                out.append((keys[i].tobytes(), n, np.sort(mine).tobytes(), as_i64(mine[:take]), alone))
+                bins = np.minimum(np.bincount((mine >> U64(57)).astype(np.int64), minlength=BINS), FULL_BIN).astype(np.uint16)
+                out.append((keys[i].tobytes(), n, np.sort(mine).tobytes(), as_i64(mine[:take]), alone, bins.tobytes()))
         return pa.table({"key": pa.array([r[0] for r in out], pa.binary()), "n": pa.array([r[1] for r in out], pa.int32()),
                          "members": pa.array([r[2] for r in out], pa.binary()),
                          "prefix": pa.array([r[3] for r in out], pa.list_(pa.int64())),
-                         "before": pa.array([r[4] for r in out], pa.int32())})
+                         "before": pa.array([r[4] for r in out], pa.int32()), "bins": pa.array([r[5] for r in out], pa.binary())})
 
     return (_bucketed(sets, "members", n_buckets, t.least_size()).groupBy("bucket")
             .applyInArrow(collect, "grp int, keys binary, sizes binary, have binary, v binary, d binary")
-            .groupBy("grp").applyInArrow(prefixes, "key binary, n int, members binary, prefix array<long>, before int"))
+            .groupBy("grp").applyInArrow(prefixes, "key binary, n int, members binary, prefix array<long>, before int, bins binary"))
 
 
 # --------------------------------------------------------------------------- comparing
@@ -284,8 +305,32 @@ def may_link(t: Threshold, n_a: Column, p_a: Column, r_a: Column, n_b: Column, p
     return (t.den * F.least(n_a, n_b) >= t.num * F.greatest(n_a, n_b)) & ((t.den + t.num) * rest >= t.num * (n_a + n_b))
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact overlap of class pairs (a, b): adds n_a, n_b, inter."""
+def _bins(cells) -> np.ndarray:
+    h = np.frombuffer(b"".join(x.as_py() for x in cells), np.uint16).reshape(-1, BINS).astype(np.int32)
+    h[h == FULL_BIN] = 1 << 30
+    return h
+
+
+def may_overlap(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """The class pairs (a, b) whose counts by part of the hash range leave a link possible."""
+    side = lambda s: sets.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"h_{s}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [_bins(b.column(i)) for i in (4, 5)]
+            n = [np.asarray(b.column(i), dtype=np.int64) for i in (2, 3)]
+            most = np.minimum(*h).sum(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(t.links(most, *n)))
+
+    return (pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "h_a", "h_b")
+            .mapInArrow(run, "a binary, b binary"))
+
+
+def compare(pairs: DataFrame, sets: DataFrame, t: Threshold, folder: str, name: str) -> DataFrame:
+    """Exact overlap of the class pairs (a, b) that can link: n_a, n_b, inter.
+
+    A few pairs are broadcast, so that only members of their sets are shuffled."""
+    pairs = stage(may_overlap(pairs, sets, t), folder, f"pairs-{name}")
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("members").alias("m_a"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("members").alias("m_b"))
 
@@ -302,18 +347,80 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 [*(b.column(i) for i in range(4)), pa.array(inter, pa.int32())],
                 names=["a", "b", "n_a", "n_b", "inter"])
 
-    return (pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "m_a", "m_b")
-            .mapInArrow(run, "a binary, b binary, n_a int, n_b int, inter int"))
+    if pairs.count() <= BROADCAST_PAIRS:
+        joined = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
+    else:
+        joined = pairs.join(right, "b").join(left, "a")
+    return joined.select("a", "b", "n_a", "n_b", "m_a", "m_b").mapInArrow(
+        run, "a binary, b binary, n_a int, n_b int, inter int")
+
+
+def open_pairs(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """Class pairs (a, b) of the lists (e, key, n, pos, rank, comp, d...) that neither the lists
+    nor the distances nor the counts by hash range rule out.  Lists are cut into blocks, block pairs are joined, and what is
+    left of them is expanded in the tasks."""
+    dist = [c for c in lists.columns if c[0] == "d" and c[1:].isdigit()]
+    log_t = float(np.log(t.den / t.num))
+    rows = lists.join(sets.select("key", "bins"), "key").withColumn("band", F.floor(F.log("n") / log_t).cast("int")).withColumn("at", F.floor(F.col("pos") / POSITIONS).cast("int"))
+    of = ["e", "band", "at"]
+    cuts = rows.groupBy(*of).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
+    rows = rows.join(cuts, of).withColumn("cut", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
+    fields = ["key", "comp", "n", "pos", "rank", *dist, "bins"]
+    span = [f(c).alias(f"{k}_{c}") for c in ("n", "pos", "rank", *dist) for k, f in (("lo", F.min), ("hi", F.max))]
+    # a block with an unknown distance has no bounds
+    known = [F.bool_and(F.col(c).isNotNull()).alias(f"all_{c}") for c in dist]
+    blocks = rows.groupBy(*of, "cut").agg(F.collect_list(F.struct(*fields)).alias("m"), *span, *known)
+    x, y = (blocks.select("e", F.struct("band", "at", "cut").alias(f"id_{s}"),
+                          *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c not in (*of, "cut")]) for s in "xy")
+    most = F.least(F.col("hi_n_x") - F.col("lo_pos_x"), F.col("hi_n_y") - F.col("lo_pos_y")) + F.least("hi_rank_x", "hi_rank_y")
+    fits = ((t.den * F.least("hi_n_x", "hi_n_y") >= t.num * F.greatest("lo_n_x", "lo_n_y"))
+            & ((t.den + t.num) * most >= t.num * (F.col("lo_n_x") + F.col("lo_n_y"))))
+    slack = 1 - t.num / t.den + ROUNDING
+    for c in dist:
+        gap = F.greatest(F.col(f"lo_{c}_x") - F.col(f"hi_{c}_y"), F.col(f"lo_{c}_y") - F.col(f"hi_{c}_x"))
+        fits &= ~F.coalesce(F.col(f"all_{c}_x") & F.col(f"all_{c}_y") & (gap > slack), F.lit(False))
+    pairs = x.join(y, "e").filter((F.col("id_x") <= F.col("id_y")) & fits)
+
+    def side(v: pa.Scalar):
+        cells = v.values
+        key = np.frombuffer(b"".join(k.as_py() for k in cells.field("key")), "V16")
+        comp = np.frombuffer(b"".join(k.as_py() for k in cells.field("comp")), "V16")
+        num = [np.asarray(cells.field(c).cast(pa.float64()).fill_null(np.nan)) for c in ("n", "pos", "rank", *dist)]
+        return key, comp, num, _bins(cells.field("bins"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out_a, out_b = [], []
+            for i in range(b.num_rows):
+                (ka, ca, (na, pa_, ra, *da), ha), (kb, cb, (nb, pb, rb, *db), hb) = (side(b.column(c)[i]) for c in (0, 1))
+                col = lambda v: v[:, None]
+                rest = np.minimum(col(na - pa_), nb - pb) + np.minimum(col(ra), rb)
+                ok = ((t.den * np.minimum(col(na), nb) >= t.num * np.maximum(col(na), nb))
+                      & ((t.den + t.num) * rest >= t.num * (col(na) + nb)) & (ca[:, None] != cb))
+                for u, v in zip(da, db):           # pairs with a pivot (distance 0) have been compared
+                    with np.errstate(invalid="ignore"):
+                        ok &= ~(np.abs(col(u) - v) > slack) & ~(col(u) <= 0) & ~(v <= 0)
+                p, q = np.nonzero(ok)
+                for lo in range(0, len(p), STEP_PAIRS):
+                    u, v = p[lo:lo + STEP_PAIRS], q[lo:lo + STEP_PAIRS]
+                    ok[u, v] = t.links(np.minimum(ha[u], hb[v]).sum(1, dtype=np.int64), na[u], nb[v])
+                p, q = np.nonzero(ok)
+                one, two = ([k[j].tobytes() for j in at] for k, at in ((ka, p), (kb, q)))
+                pair = {(min(u, v), max(u, v)) for u, v in zip(one, two)}
+                out_a += [u for u, _ in pair]
+                out_b += [v for _, v in pair]
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+
+    return pairs.select("m_x", "m_y").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
-    """Links (a, b) between classes that span every component of the link graph."""
+    """Pairs (a, b) of classes that span every component of the link graph."""
     entries = indexed.select("key", "n", "before", F.posexplode("prefix").alias("rank", "e")) \
         .withColumn("pos", F.col("before") + F.col("rank")).drop("before")
     many = entries.groupBy("e").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("e")
     lists = stage(entries.join(many, "e").withColumn("comp", F.col("key")).withColumn("old", F.array().cast("array<binary>")),
                   folder, "lists-0")
-    links = None
     n = [F.col(c) for c in ("n", "pos", "rank")]
     for r in range(PIVOT_ROUNDS):
         # the pivot: the least class outside the components of earlier pivots
@@ -323,10 +430,12 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
         with_pivot = lists.join(pivots, "e", "left")
         pairs = (with_pivot.filter((F.col("p.comp") != F.col("comp")) & may_link(t, *n, *at))
                  .select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct())
-        tested = stage(compare(pairs, indexed), folder, f"tested-{r}")
+        tested = stage(compare(pairs, indexed, t, folder, str(r)), folder, f"tested-{r}")
         found = tested.filter(t.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-        links = found if links is None else links.union(found)
-        roots = stage(connected_components(links, folder, f"round-{r}"), folder, f"roots-{r}")
+        # the stars of the rounds before stand for their links
+        edges = found if r == 0 else found.union(stars)
+        roots = stage(connected_components(edges, folder, f"round-{r}"), folder, f"roots-{r}")
+        stars = roots.filter("node <> root").toDF("a", "b")
         # distance to this round's pivot, as an interval test for later pairs
         gap = 1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
         dist = tested.select("a", "b", gap.alias(f"d{r}"))
@@ -344,24 +453,9 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
             .filter("lo <> hi").select("e")
         lists = stage(moved.join(open_, "e"), folder, f"lists-{r + 1}")
         if lists.isEmpty():
-            return links
-    # what pivots have left open, compared as far as the distances to the pivots allow
-    cols = ["key", "n", "pos", "rank", "comp", "prefix", *(f"d{r}" for r in range(PIVOT_ROUNDS))]
-    lists = lists.join(indexed.select("key", "prefix"), "key")
-    x, y = (lists.select("e", *(F.col(c).alias(f"{c}_{s}") for c in cols)) for s in ("x", "y"))
-    near = F.lit(True)
-    for r in range(PIVOT_ROUNDS):
-        far = F.abs(F.col(f"d{r}_x") - F.col(f"d{r}_y")) > 1 - t.num / t.den + ROUNDING
-        near &= ~F.coalesce(far, F.lit(False))
-        for s in ("x", "y"):                       # pairs with a pivot have been compared
-            near &= F.coalesce(F.col(f"d{r}_{s}") > 0, F.lit(True))
-    # two sets meet in every list they share: the pair is made in one of these only
-    near &= F.col("e") == F.array_min(F.array_intersect("prefix_x", "prefix_y"))
-    last = (x.join(y, "e").filter((F.col("key_x") < F.col("key_y")) & (F.col("comp_x") != F.col("comp_y")) & near
-                                  & may_link(t, *(F.col(f"{c}_{s}") for s in "xy" for c in ("n", "pos", "rank"))))
-            .select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct())
-    tested = stage(compare(last, indexed), folder, "tested-last")
-    return links.union(tested.filter(t.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
+            return stars
+    tested = stage(compare(open_pairs(lists, indexed, t), indexed, t, folder, "last"), folder, "tested-last")
+    return stars.union(tested.filter(t.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
 # ---------------------------------------------------------------------------- counting
@@ -458,7 +552,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     (how many other rows the row links with, copies included) of every row."""
     spark = docs.sparkSession
     folder, t = run_folder(spark), Threshold(num, den)
-    parts = max(4, shuffle_partitions(spark) // 4)      # a bucket holds what four tasks would
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_blocks(batches):
@@ -472,14 +565,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows = stage(src.mapInArrow(sets_of, "id long, n int, key binary, part binary"), folder, "documents")
     classes = stage(rows.filter("key IS NOT NULL").groupBy("key")
-                    .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), folder, "classes")
-    left = stage(screen(rows, t, parts), folder, "screened")
+                    .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"),
+                         F.min(F.octet_length("part") / 8).cast("int").alias("c")), folder, "classes")
+    held = classes.agg(F.sum("c"), F.sum("n")).first()
+    parts = max(1, -(-int(held[0] or 0) // BUCKET_MEMBERS))
+    alone = F.col("n") - F.expr(f"(n * {num}L + {den - 1}) div {den}")           # members that a partner may lack
+    left = classes.filter(F.col("n") >= t.least_size()).join(
+        screen(rows, t, parts), F.substring("key", 1, SCREEN_KEY) == F.col("short"), "left")
+    left = stage(left.filter(F.coalesce("m", F.lit(0)) >= F.col("c") - alone).select("key", "n", "first"), folder, "screened")
 
     # sets of the classes left: one document of each, found by a filter on ids
-    wanted = left.join(classes, "key").select("key", "first")
+    wanted = left.select("key", "first")
+    parts = max(1, -(-int(left.agg(F.sum("n")).first()[0] or 0) // BUCKET_MEMBERS))
     h1, h2 = hash_pair(F.coalesce("first", F.lit(0)))
     n = left.count()
-    rate = min(0.9, max(0.01, float(np.exp(-MAX_FILTER_BITS * np.log(2) ** 2 / max(n, 1)))))
+    rate = min(0.9, max(0.001, float(np.exp(-MAX_FILTER_BITS * np.log(2) ** 2 / max(n, 1)))))
     sent = spark.sparkContext.broadcast([bloom_level(wanted.select(h1.alias("h1"), h2.alias("h2")), n, rate)] if n else [])
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,11 +599,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     h1, h2 = hash_pair(F.coalesce("id", F.lit(0)))
     again = src.select("id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(
         chosen, "id long, key binary, n int, members binary")
-    same = again["id"].eqNullSafe(wanted["first"]) & (again["key"] == wanted["key"])
-    sets = again.join(wanted, same).select(again["key"], "n", "members")
-    indexed = stage(index(sets, t, parts), folder, "indexed")
+    # (a document that the filter lets through by chance adds a class without links, or one that is there)
+    indexed = stage(index(again.filter("key IS NOT NULL").select("key", "n", "members"), t, parts), folder, "indexed")
 
     roots = connected_components(find_links(indexed, t, folder), folder, "final")
+    classes = classes.select("key", "first", "copies")
     member = roots.join(classes, roots["node"] == classes["key"]).select("key", "root", "first")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     named = member.join(least, "root").select("key", "least")
@@ -511,7 +611,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
     found = []
     if links:
         roots = stage(roots, folder, "roots")
-        linked = indexed.join(classes, "key").select("key", "n", "copies", "members")
+        linked = indexed.join(classes.select("key", "copies"), "key").select("key", "n", "copies", "members")
         counts = stage(count_links(linked, roots, t), folder, "counts")
         of_class = of_class.join(counts, "key", "left")
         found = [F.coalesce(F.col("copies") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).alias("n_links")]

@@ -174,3 +174,60 @@ def test_registered_variants(spark):
     assert len(got) > 1000
     want = plain_variants(rows, spelling.NOISE) if len(got) < 6000 else None
     assert want is None or got == want
+
+
+# ------------------------------------------------------------- the join's blocks
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def near_sets(texts, width):
+    out = []
+    for t in texts:
+        w = words_of((t or "").translate(LOWER))
+        out.append(frozenset(tuple(w[i:i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    return out
+
+
+def plain_links(texts, width, num, den):
+    sets = near_sets(texts, width)
+    root, links = list(range(len(sets))), [0] * len(sets)
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                ra, rb = root[a], root[b]
+                root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+    return [(len(s), r, n) for s, r, n in zip(sets, root, links)]
+
+
+@pytest.mark.parametrize("block,pairs", [(2, 0), (256, 1 << 17)])
+def test_blocks_lose_no_link(spark, monkeypatch, block, pairs):
+    """Sets that share rare shingles, linked or not, in blocks of two and in whole lists."""
+    from pactum.llm import ngram_join
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "PIVOT_ROUNDS", 1)
+    rnd = random.Random(block)
+    common = [f"c{i}" for i in range(12)]
+    texts = [None, ""]
+    for _ in range(8):
+        own = [f"w{rnd.randint(0, 400)}" for _ in range(40)]
+        for _ in range(6):                               # groups that differ by a little, all with one passage
+            w = list(own)
+            for _ in range(rnd.randint(0, 2)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 9)}"
+            texts.append(" ".join(common + w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = ngram_join.near_duplicates(df, 2, 80, 100).collect()
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in rows}
+    assert [got[i] for i in range(len(texts))] == plain_links(texts, 2, 80, 100)
+
+
+def test_registered_link_counts(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    words = [" ".join(words_of((t or "").translate(lower))) for _, t in docs]
+    want = plain_links([w.replace(" ", "_") for w in words], 4, 85, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in registry.op1_link_counts(spark, SMALL).collect()}
+    assert got == {i: (n, docs[c][0], k) for (i, _), (n, c, k) in zip(docs, want)}
