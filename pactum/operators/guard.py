@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
-from .clauses import renewal_terms
+from ..functions.spans import let
+from .clauses import _guard, renewal_terms
 from .pii import pii_types
 
 # Pipeline rule set (E34) — (level, risk, pattern, fires when absent).
@@ -42,6 +43,19 @@ MULTI_AGENT_RULES = (
     ("liquidated damages", r"liquidated\s+damages"),
     ("IP ownership transfer", r"(?:transfer|assign).*?(?:intellectual\s+property|IP)"),
 )
+# Words of the lower-cased text that a pattern needs (see ``clauses._guard``).
+RULE_GUARDS = {
+    r"unlimited liability|no cap|uncapped": ("unlimited liability", "no cap", "uncapped"),
+    r"automatically renew": ("automatically renew",), r"indemnif": ("indemnif",),
+    r"limitation of liability": ("limitation of liability",), r"termination for convenience": ("termination for convenience",),
+    r"unlimited.*liability": (("unlimited", "liability"),), r"non-compete": ("non-compete",), r"confidential": ("confidential",),
+    r"unlimited\s+liability": (("unlimited", "liability"),), r"no\s+(?:cap|limit).*?liability": (("no", "liability"),),
+    r"automatically\s+renew(?!.*notice)": (("automatically", "renew"),), r"exclusiv(?:e|ity)": ("exclusive", "exclusivity"),
+    r"minimum.*?(?:order|purchase|commitment)": (("minimum", "order"), ("minimum", "purchase"), ("minimum", "commitment")),
+    r"liquidated\s+damages": (("liquidated", "damages"),),
+    r"(?:transfer|assign).*?(?:intellectual\s+property|IP)": (("transfer", "ip"), ("assign", "ip"), ("transfer", "intellectual"),
+                                                              ("assign", "intellectual")),
+}
 # Levels visible per clearance.
 CLEARANCE_LEVELS = (("confidential", "high"), ("confidential", "medium"), ("confidential", "low"),
                     ("internal", "high"), ("internal", "medium"), ("public", "high"))
@@ -53,14 +67,24 @@ INJECTION_BLOCK = (r"ignore\s+previous\s+instructions", r"disregard\s+all\s+prio
 
 def _fired(text: Column, rules) -> Column:
     t = F.coalesce(text, F.lit(""))
-    items = []
-    for ordinal, (level, risk, pattern, negate) in enumerate(rules):
-        hit = renewal_terms(t)["has_auto_renewal"] if pattern is None else t.rlike("(?id)" + pattern)
-        if negate:
-            hit = ~hit
-        items.append(F.when(hit, F.struct(F.lit(ordinal).alias("ordinal"), F.lit(level).alias("level"),
-                                          F.lit(risk).alias("risk"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+    def of(low: Column) -> Column:
+        items = []
+        for ordinal, (level, risk, pattern, negate) in enumerate(rules):
+            hit = renewal_terms(t)["has_auto_renewal"] if pattern is None else _hit(t, low, pattern)
+            if negate:
+                hit = ~hit
+            items.append(F.when(hit, F.struct(F.lit(ordinal).alias("ordinal"), F.lit(level).alias("level"),
+                                              F.lit(risk).alias("risk"))))
+        return F.filter(F.array(*items), lambda x: x.isNotNull())
+
+    return let(F.lower(t), of)
+
+
+def _hit(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a rule's pattern matches; it only runs where its words occur."""
+    hit, g = text.rlike("(?id)" + pattern), _guard(low, RULE_GUARDS.get(pattern))
+    return hit if g is None else g & hit
 
 
 def clause_risks(docs: DataFrame, id_col: str, text_col: str = "text", rule_set: str = "pipeline") -> DataFrame:
@@ -90,9 +114,10 @@ def multi_agent_risks(docs: DataFrame, id_col: str, text_col: str = "text") -> D
     """Fired high-risk flags (the lookahead rule: 'automatically renew'
     with no 'notice' later on the same line, Q23)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    items = [F.when(t.rlike("(?id)" + p), F.struct(F.lit(i).alias("ordinal"), F.lit(n.upper()).alias("risk")))
-             for i, (n, p) in enumerate(MULTI_AGENT_RULES)]
-    return (docs.select(id_col, F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("r"))
+    fired = let(F.lower(t), lambda low: F.filter(F.array(*[
+        F.when(_hit(t, low, p), F.struct(F.lit(i).alias("ordinal"), F.lit(n.upper()).alias("risk")))
+        for i, (n, p) in enumerate(MULTI_AGENT_RULES)]), lambda x: x.isNotNull()))
+    return (docs.select(id_col, F.explode(fired).alias("r"))
             .select(id_col, "r.ordinal", "r.risk"))
 
 

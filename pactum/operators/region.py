@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.spans import let
+
 # European legal-entity patterns (case-sensitive), in order.
 EU_ENTITY_PATTERNS = (
     r"\b[A-Z][A-Za-z&\s]+ Limited\b", r"\b[A-Z][A-Za-z&\s]+ Ltd\.?\b", r"\b[A-Z][A-Za-z&\s]+ GmbH\b",
@@ -77,29 +79,36 @@ def detect_region_gdpr(text: Column, address: Column | None = None, emea_entity_
     t = F.coalesce(text, F.lit(""))
     if address is not None:
         t = F.when(F.coalesce(address, F.lit("")) != "", F.concat(t, F.lit(" "), address)).otherwise(t)
-    low = F.lower(t)
+    # each step is one value that the next ones read, so no search runs twice
+    return let(t, lambda t: let(F.lower(t), lambda low: _detect(t, low, emea_entity_pattern, emea_entity_reason)))
+
+
+def _detect(t: Column, low: Column, emea_entity_pattern: str | None, emea_entity_reason: str) -> Column:
     explicit = (F.when(low.contains("emea") & t.rlike(r"(?i)\bEMEA\b"), F.lit("EMEA"))
                 .when(low.contains("north america") & t.rlike(r"(?i)\bNorth America\b"), F.lit("North America"))
                 .when((low.contains("apac") | low.contains("asia pacific"))
                       & t.rlike(r"(?i)\bAPAC\b|\bAsia Pacific\b"), F.lit("APAC")))
-    gdpr = F.when(explicit == "EMEA", F.lit(True))
-    reason = F.when(explicit == "EMEA", F.lit("EMEA region"))
-    region = explicit
-    if emea_entity_pattern:
-        hit = t.rlike("(?i)" + emea_entity_pattern)
-        gdpr = F.when(hit, F.lit(True)).otherwise(gdpr)
-        reason = F.when(hit, F.lit(emea_entity_reason)).otherwise(reason)
-        region = F.coalesce(region, F.when(hit, F.lit("EMEA")))
     rev = F.reverse(t)
     label = F.lit(None).cast("string")
     for pattern, lab, suffix in reversed(EU_ENTITY_REVERSED):
         label = F.when(t.contains(suffix) & rev.rlike(pattern), F.lit(lab)).otherwise(label)
-    entity = label
+    hit = t.rlike("(?i)" + emea_entity_pattern) if emea_entity_pattern else F.lit(False)
+    found = F.struct(explicit.alias("explicit"), label.alias("label"), hit.alias("hit"))
+    # a country only tells where no check before it did
+    told = lambda f: (F.coalesce(f["explicit"], F.lit("")) == "EMEA") | f["hit"] | f["label"].isNotNull()
+    return let(found, lambda f: let(F.when(~told(f), _first_name(t, EMEA_COUNTRIES, low)), lambda country: _decide(
+        t, low, f["explicit"], f["label"], country, f["hit"], emea_entity_reason)))
+
+
+def _decide(t: Column, low: Column, explicit: Column, entity: Column, country: Column, hit: Column,
+            emea_entity_reason: str) -> Column:
+    gdpr = F.when((explicit == "EMEA") | hit, F.lit(True))
+    reason = F.when(hit, F.lit(emea_entity_reason)).when(explicit == "EMEA", F.lit("EMEA region"))
+    region = F.coalesce(explicit, F.when(hit, F.lit("EMEA")))
     reason = F.when(gdpr.isNull() & entity.isNotNull(),
-                    F.concat(F.lit("European legal entity type ("), label, F.lit(")"))).otherwise(reason)
+                    F.concat(F.lit("European legal entity type ("), entity, F.lit(")"))).otherwise(reason)
     gdpr = F.when(gdpr.isNull() & entity.isNotNull(), F.lit(True)).otherwise(gdpr)
     region = F.coalesce(region, F.when(entity.isNotNull(), F.lit("EMEA")))
-    country = _first_name(t, EMEA_COUNTRIES, low)
     reason = F.when(gdpr.isNull() & country.isNotNull(),
                     F.concat(F.lit("European address ("), country, F.lit(")"))).otherwise(reason)
     gdpr = F.when(gdpr.isNull() & country.isNotNull(), F.lit(True)).otherwise(gdpr)

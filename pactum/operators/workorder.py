@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import normalise_date_text
-from .clauses import SECTION_PATTERNS, any_match, first_capture, normalise_ws
+from ..functions.spans import let
+from .clauses import _guard, any_match, first_capture, found_sections, normalise_ws
 
 # Duration and date patterns, in search order.
 DURATION_WORDS = (r"(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|fifteen|eighteen|twenty|twenty-?four"
@@ -38,36 +39,63 @@ PARENT_REFS = (
     rf"under\s+(?:the\s+)?(?:MSA|Master\s+(?:Services?\s+)?Agreement).*?dated\s+({DATE})",
     rf"Statement\s+of\s+Work.*?(?:appended|attached|subject).*?(?:dated|effective)\s+(?:as\s+of\s+)?({DATE})",
 )
+# What every match holds: digits found by a scan that starts at a rare character, and words of
+# the lower-cased text (white space collapsed for the work-order dates).
+DURATION_GUARDS = (r"\(\d+\)\s*[DdMmYy]", r"\d\s*[DdMmYy]")
+DATE_GUARD = r"[\s/]\d{4}"
+DATED_EVENT = r"(?:date |commence|begin|end |terminate |conclude )[a-z: ]*\d"
+START_GUARDS = (("start date ",), ("commence",), (("service", "commence"), ("service", "begin")))
+END_GUARDS = (("end date ",), ("end ",), ("completion date ",), (("service", "end"), ("service", "terminate"), ("service", "conclude")))
+PARENT_GUARD = r"(?:dated|effective)\s+(?:as\s+of\s+)?(?:\d|[a-z]+\s+\d)"
+PARENT_WORDS = tuple((w, d) for w in ("agreement", "msa", "master", "statement") for d in ("dated", "effective"))
+PARENT_GUARDS = (("agreement",), (("pursuant", "agreement", "dated"),), (("under", "msa", "dated"), ("under", "master", "dated")),
+                 (("statement", "work", "subject"), ("statement", "work", "appended"), ("statement", "work", "attached")))
 DEPARTMENTS = ("Legal", "Sales", "Procurement")
 
 
+def _date(found: Column) -> Column:
+    return F.when(found.isNotNull(), normalise_date_text(found))
+
+
 def duration(text: Column) -> Column:
     """The first ``word (n) unit``, else the first ``n unit``, or NULL."""
-    return F.trim(first_capture(text, DURATIONS))
+    return F.trim(F.coalesce(*[F.when(text.rlike(g), first_capture(text, (p,))) for p, g in zip(DURATIONS, DURATION_GUARDS)]))
 
 
 def work_order_dates(text: Column) -> Column:
     """C13k: struct(sow_start_date, sow_end_date, sow_completion_based).  One phrase
     that gives both dates beats the separate start and end phrases."""
-    t = normalise_ws(text)
-    both = t.rlike("(?i)" + START_AND_END)
-    date = lambda g, alone: normalise_date_text(F.trim(
-        F.when(both, F.regexp_extract(t, "(?i)" + START_AND_END, g)).otherwise(first_capture(t, alone))))
-    return F.struct(date(1, STARTS).alias("sow_start_date"), date(2, ENDS).alias("sow_end_date"),
-                    any_match(t, COMPLETION).alias("sow_completion_based"))
+    def of(t: Column, low: Column) -> Column:
+        dated = t.rlike(DATE_GUARD)
+        both = F.when(dated & low.contains("start date ") & low.contains("end "),
+                      F.nullif(F.regexp_extract(t, "(?i)" + START_AND_END, 0), F.lit("")))
+        # the two dates of the phrase are read off the phrase
+        date = lambda b, g, alone, guards: let(F.trim(
+            F.when(b.isNotNull(), F.regexp_extract(b, "(?i)" + START_AND_END, g))
+            .when(dated & low.rlike(DATED_EVENT), first_capture(t, alone, guards=guards, low=low))), _date)
+        return let(both, lambda b: F.struct(
+            date(b, 1, STARTS, START_GUARDS).alias("sow_start_date"), date(b, 2, ENDS, END_GUARDS).alias("sow_end_date"),
+            (_guard(low, (("terminat", "completion"), ("until", "completion"))) & any_match(t, COMPLETION)).alias("sow_completion_based")))
+
+    return let(normalise_ws(text), lambda t: let(F.lower(t), lambda low: of(t, low)))
 
 
 def parent_reference(text: Column) -> Column:
     """C13l: struct(parent_agreement_date, parent_agreement_type) of the first pattern
     that matches; the type is read off the matched phrase."""
     t = F.coalesce(text, F.lit(""))
-    # every pattern needs one of these words
-    t = F.when(F.lower(t).rlike("dated|effective"), t).otherwise(F.lit(""))
-    phrase = F.lower(first_capture(t, tuple(f"({p})" for p in PARENT_REFS)))
-    kind = (F.when(phrase.contains("master") | phrase.contains("msa"), "MSA")
-            .when(phrase.contains("service"), "Services Agreement").when(phrase.isNotNull(), "Agreement"))
-    return F.struct(normalise_date_text(F.trim(first_capture(t, PARENT_REFS))).alias("parent_agreement_date"),
-                    kind.alias("parent_agreement_type"))
+
+    def of(found: Column) -> Column:
+        phrase = F.lower(found)
+        kind = (F.when(phrase.contains("master") | phrase.contains("msa"), "MSA")
+                .when(phrase.contains("service"), "Services Agreement").when(phrase.isNotNull(), "Agreement"))
+        # the patterns look at nothing around a match, so the phrase alone gives the same date
+        return F.struct(let(F.trim(first_capture(found, PARENT_REFS)), _date).alias("parent_agreement_date"),
+                        kind.alias("parent_agreement_type"))
+
+    phrases = tuple(f"({p})" for p in PARENT_REFS)
+    return let(let(F.lower(t), lambda low: F.when(
+        _guard(low, PARENT_WORDS) & low.rlike(PARENT_GUARD), first_capture(t, phrases, guards=PARENT_GUARDS, low=low))), of)
 
 
 def department_facts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -75,7 +103,7 @@ def department_facts(df: DataFrame, id_col: str, text_col: str = "text") -> Data
     found (Legal), whether payment and termination terms were found (Sales), the
     number of sections (Procurement).  The wording around the facts is a display matter."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.array_compact(F.array(*(F.when(t.rlike("(?is)" + p), F.lit(n)) for n, p in SECTION_PATTERNS)))
+    found = F.transform(found_sections(t), lambda s: s["section"])
     mark = lambda s: F.when(F.array_contains("found", s), "found").otherwise("not found")
     fact = (F.when(F.col("department") == "Legal", F.array_join(F.transform("found", lambda s: F.upper(s)), ", "))
             .when(F.col("department") == "Sales", F.concat(F.lit("payment "), mark("payment_terms"),

@@ -125,3 +125,25 @@ def test_alerts_and_history_of_two_sources(spark):
         history = T.run_session_history(spark, src, b, os.path.join(run, "hist"), os.path.join(run, f"cb{k}"))
     assert sorted(r.contract_id for r in alerts.collect()) == ["both", "c0", "c1"]
     assert [r.event_id for r in history.orderBy("rank").collect()] == [105, 104, 103, 102, 101, 100, 5, 4, 3, 2]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark):
+    """A table may be one file or a folder of files; the streams see the same rows."""
+    from pactum.plans.catalog import QUERIES
+    run = T.new_run_dir(spark, "tables-test")
+    docs = spark.createDataFrame([(i, f"Text number {i} of the table, long enough to be kept. " * 60, "en", "web", 200) for i in range(12)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    events = spark.createDataFrame([(i, i % 3, dt.datetime(2000, 1, 1, 0, i), "view") for i in range(12)],
+                                   "event_id long, user_id long, ts timestamp, event_type string")
+    found = []
+    for kind in ("folder", "file"):
+        sf = os.path.join(run, kind)
+        os.makedirs(sf)
+        for name, rows in (("documents", docs), ("events", events)):
+            if kind == "folder":
+                rows.repartition(3).write.parquet(os.path.join(sf, f"{name}.parquet"))
+            else:
+                rows.toPandas().to_parquet(os.path.join(sf, f"{name}.parquet"), coerce_timestamps="us")
+        found.append([sorted(map(tuple, QUERIES[q](spark, sf).collect()))
+                      for q in ("t1_auto_ingest_stream", "t5_intake_queue", "t6_session_history_stream")])
+    assert found[0] == found[1] and [len(rows) for rows in found[0]] == [12, 12, 12]
