@@ -13,6 +13,8 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
+
 # Format lists of the two consumers, in their order.
 # BI form (C8): %Y-%m-%d, %m/%d/%Y, %d/%m/%Y, %B %d, %Y, %Y
 BI_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "MMMM d, yyyy", "yyyy")
@@ -39,11 +41,15 @@ _SHAPES = {
     "MMddyyyy": r"^\d{8}$",
     "MMddyy": r"^\d{6}$",
 }
-_WORDY = r"^\d{0,2}\s*[A-Za-z]"
+
+
+def _wordy(fmt: str) -> str:
+    """Shape of a format with a month's name: what it begins with, and whether it has a comma."""
+    return (r"^\d{1,2}\s*[A-Za-z]" if fmt.startswith("d") else r"^\s*[A-Za-z]") + ("[^,]*," if "," in fmt else "[^,]*$")
 
 
 def _try_ts(c: Column, fmt: str) -> Column:
-    shape = _SHAPES.get(fmt, _WORDY)
+    shape = _SHAPES.get(fmt) or _wordy(fmt)
     return F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(fmt)))
 
 
@@ -114,12 +120,20 @@ DAY_OF = r"(?i)(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+([A-Za-z]+),?\s+(\d{4})"
 def normalise_date_text(c: Column) -> Column:
     """Typo fixes, "19th day of October, 2005" -> "October 19, 2005", then
     the first of 11 formats -> MM/dd/yyyy; the (fixed) text when none parses."""
-    s = c.cast("string")
-    for typo, right in MONTH_TYPOS:
-        s = F.regexp_replace(s, "(?i)" + typo, right)
-    s = F.when(s.rlike(DAY_OF), F.concat(F.regexp_extract(s, DAY_OF, 2), F.lit(" "),
-                                          F.regexp_extract(s, DAY_OF, 1), F.lit(", "),
-                                          F.regexp_extract(s, DAY_OF, 3))).otherwise(s)
-    t = F.trim(s)
-    parsed = F.coalesce(*[_try_ts(t, f) for f in NORMALISE_FORMATS])
-    return F.when(parsed.isNotNull(), F.date_format(parsed, "MM/dd/yyyy")).otherwise(s)
+    def fixed(s: Column) -> Column:
+        out = s
+        for typo, right in MONTH_TYPOS:
+            out = F.regexp_replace(out, "(?i)" + typo, right)
+        return F.when(s.rlike("(?i)" + "|".join(typo for typo, _ in MONTH_TYPOS)), out).otherwise(s)
+
+    def worded(s: Column) -> Column:
+        return F.when(s.rlike(DAY_OF), F.concat(F.regexp_extract(s, DAY_OF, 2), F.lit(" "),
+                                                F.regexp_extract(s, DAY_OF, 1), F.lit(", "),
+                                                F.regexp_extract(s, DAY_OF, 3))).otherwise(s)
+
+    def parsed(s: Column) -> Column:
+        found = let(F.trim(s), lambda t: F.coalesce(*[_try_ts(t, f) for f in NORMALISE_FORMATS]))
+        return F.coalesce(F.date_format(found, "MM/dd/yyyy"), s)
+
+    # each step computed once, also inside a lambda
+    return let(c.cast("string"), lambda s: let(fixed(s), lambda f: let(worded(f), parsed)))
