@@ -15,16 +15,22 @@ DURATION_WORDS = (r"(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|t
                   r"|thirty|thirty-?six|forty-?five|sixty|ninety|one\s+hundred\s+(?:twenty|eighty))\s*\(\d+\)")
 DURATION_UNITS = r"(?:days?|months?|years?)"
 DURATIONS = (rf"({DURATION_WORDS}\s*{DURATION_UNITS})", rf"(\d{{1,3}}\s*{DURATION_UNITS})")
+# The written-out form from its bracket, a rare character: what stands before it is read backwards,
+# longer words first, as the leftmost match takes them.
+BRACKET = rf"(?i)\(\d+\)\s*(?={DURATION_UNITS})"
+WORD_BACKWARDS = (r"(?i)^\s*(?:(?:ytnewt|ythgie)\s+derdnuh\s+eno|ruof-?ytnewt|xis-?ytriht|evif-?ytrof|eno|owt|eerht|ruof|evif"
+                  r"|xis|neves|thgie|enin|net|nevele|evlewt|neetfif|neethgie|ytnewt|ytriht|ytxis|ytenin)")
 DATE = r"(?:\d{1,2}\s+[A-Za-z]+,?\s+\d{4}|[A-Za-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}/\d{1,2}/\d{4})"
-START_AND_END = rf"(?:project\s+)?start\s+date\s+(?:shall\s+be|is)\s+({DATE})\s+and\s+(?:shall\s+)?end\s+({DATE})"
+# No optional words lead a pattern: only its dates are read, and they are the same without them.
+START_AND_END = rf"start\s+date\s+(?:shall\s+be|is)\s+({DATE})\s+and\s+(?:shall\s+)?end\s+({DATE})"
 STARTS = (
-    rf"(?:project\s+)?start\s+date\s+(?:shall\s+be|is|:)\s*({DATE})",
-    rf"(?:commencement|commence)\s+(?:date\s+)?(?:shall\s+be|is|on|:)\s*({DATE})",
+    rf"start\s+date\s+(?:shall\s+be|is|:)\s*({DATE})",
+    rf"commence(?:ment)?\s+(?:date\s+)?(?:shall\s+be|is|on|:)\s*({DATE})",
     rf"services?\s+(?:shall\s+)?(?:commence|begin)\s+(?:on\s+)?({DATE})",
 )
 ENDS = (
-    rf"(?:project\s+)?end\s+date\s+(?:shall\s+be|is|:)\s*({DATE})",
-    rf"(?:shall\s+)?end\s+(?:on\s+)?({DATE})",
+    rf"end\s+date\s+(?:shall\s+be|is|:)\s*({DATE})",
+    rf"end\s+(?:on\s+)?({DATE})",
     rf"completion\s+date\s+(?:shall\s+be|is|of|:)\s*({DATE})",
     rf"services?\s+(?:shall\s+)?(?:end|terminate|conclude)\s+(?:on\s+)?({DATE})",
 )
@@ -43,7 +49,7 @@ PARENT_REFS = (
 # the lower-cased text (white space collapsed for the work-order dates).
 DURATION_GUARDS = (r"\(\d+\)\s*[DdMmYy]", r"\d\s*[DdMmYy]")
 DATE_GUARD = r"[\s/]\d{4}"
-DATED_EVENT = r"(?:date |commence|begin|end |terminate |conclude )[a-z: ]*\d"
+DATED_EVENT = r"(?=[bcdet])(?:date |commence|begin|end |terminate |conclude )[a-z: ]*+\d"
 START_GUARDS = (("start date ",), ("commence",), (("service", "commence"), ("service", "begin")))
 END_GUARDS = (("end date ",), ("end ",), ("completion date ",), (("service", "end"), ("service", "terminate"), ("service", "conclude")))
 PARENT_GUARD = r"(?:dated|effective)\s+(?:as\s+of\s+)?(?:\d|[a-z]+\s+\d)"
@@ -59,25 +65,38 @@ def _date(found: Column) -> Column:
 
 def duration(text: Column) -> Column:
     """The first ``word (n) unit``, else the first ``n unit``, or NULL."""
-    return F.trim(F.coalesce(*[F.when(text.rlike(g), first_capture(text, (p,))) for p, g in zip(DURATIONS, DURATION_GUARDS)]))
+    def written(s: Column) -> Column:
+        none = F.lit("")
+        all_ = F.transform(s["m"], lambda m, i: F.concat_ws("", F.reverse(F.nullif(F.regexp_extract(
+            F.reverse(F.get(s["p"], i)), WORD_BACKWARDS, 0), none)), m, F.regexp_extract(F.get(s["p"], i + 1), "(?i)^" + DURATION_UNITS, 0)))
+        return F.get(F.filter(all_, lambda d: ~d.startswith("(")), F.lit(0))
+
+    first = let(F.struct(F.split(text, BRACKET, -1).alias("p"), F.regexp_extract_all(text, F.lit(BRACKET), F.lit(0)).alias("m")), written)
+    return F.trim(F.coalesce(F.when(text.rlike(DURATION_GUARDS[0]), first),
+                             F.when(text.rlike(DURATION_GUARDS[1]), first_capture(text, DURATIONS[1:]))))
 
 
 def work_order_dates(text: Column) -> Column:
     """C13k: struct(sow_start_date, sow_end_date, sow_completion_based).  One phrase
     that gives both dates beats the separate start and end phrases."""
-    def of(t: Column, low: Column) -> Column:
-        dated = t.rlike(DATE_GUARD)
+    def of(t: Column, low: Column, dated: Column) -> Column:
         both = F.when(dated & low.contains("start date ") & low.contains("end "),
                       F.nullif(F.regexp_extract(t, "(?i)" + START_AND_END, 0), F.lit("")))
         # the two dates of the phrase are read off the phrase
         date = lambda b, g, alone, guards: let(F.trim(
             F.when(b.isNotNull(), F.regexp_extract(b, "(?i)" + START_AND_END, g))
-            .when(dated & low.rlike(DATED_EVENT), first_capture(t, alone, guards=guards, low=low))), _date)
+            .when(dated, first_capture(t, alone, guards=guards, low=low))), _date)
         return let(both, lambda b: F.struct(
             date(b, 1, STARTS, START_GUARDS).alias("sow_start_date"), date(b, 2, ENDS, END_GUARDS).alias("sow_end_date"),
             (_guard(low, (("terminat", "completion"), ("until", "completion"))) & any_match(t, COMPLETION)).alias("sow_completion_based")))
 
-    return let(normalise_ws(text), lambda t: let(F.lower(t), lambda low: of(t, low)))
+    def read(t: Column) -> Column:
+        return let(F.lower(t), lambda low: let(t.rlike(DATE_GUARD) & low.rlike(DATED_EVENT), lambda dated: of(t, low, dated)))
+
+    # without a year and without the word there is nothing to find: such texts are not rewritten
+    raw, null = F.coalesce(text, F.lit("")), F.lit(None).cast("string")
+    return F.when(raw.rlike(DATE_GUARD) | raw.rlike("(?i)completion"), let(normalise_ws(text), read)).otherwise(F.struct(
+        null.alias("sow_start_date"), null.alias("sow_end_date"), F.lit(False).alias("sow_completion_based")))
 
 
 def parent_reference(text: Column) -> Column:
