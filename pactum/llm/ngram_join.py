@@ -13,7 +13,7 @@ with equal sets form a class and are handled once.
    ``m(x) + 1`` members of a set are its prefix; partners share a prefix member.  The
    index has a list for every prefix member, each entry with set size and position.
 3. **Answer-level skipping.**  In each list all sets are compared with one pivot, the least
-   class.  Sets that link with it are in one component and need no comparison with
+   class of the commonest sizes.  Sets that link with it are in one component and need no comparison with
    one another.  Between different components, the answers for the pivot bound those of
    the others: Jaccard distance is a metric, so sets whose distances to the pivot differ
    by more than ``1 - t`` cannot link.  Pivots change over a few rounds, so a list costs its
@@ -21,7 +21,7 @@ with equal sets form a class and are handled once.
 4. **Index-level skipping.**  The sets that pivots leave open are laid out in blocks of a list:
    a band of sizes, a band of positions, ``BLOCK`` sets at most.  Blocks of a list are joined,
    and a pair of blocks whose ranges of size, position, rank or distance rule every overlap
-   out is skipped whole; tasks expand the others.
+   out is skipped whole; tasks expand the others.  A pair is named in the first list it shares.
    Before the members of a pair are fetched, the counts of members in ``BINS`` parts of the
    hash range bound the overlap; only pairs that pass are compared, exactly.
 5. **Counting.**  Links never leave a component, so the number of links of a class is
@@ -44,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +58,12 @@ SCREEN = 4                     # one in so many of the hash range is screened
 PIVOT_ROUNDS = 2
 ROUNDING = 1e-9
 MAX_FILTER_BITS = 1 << 28      # the filter of representatives; fuller ones only pass more rows
-BUCKET_MEMBERS = 2 << 20       # members that a bucket of the exchange holds
+BUCKET_MEMBERS = 1 << 20       # members that a bucket of the exchange holds
+SLICE_MEMBERS = 1 << 19        # members that a task cuts into slices at once
 BLOCK, POSITIONS = 256, 32     # sets of a block, and positions that it spans
 STEP_PAIRS = 1 << 14           # pairs bounded at once
+COMMON_STEP = 1 << 12         # values compared at once
+EARLIER = 64                   # prefix members before a list's own that its entries carry
 BINS, FULL_BIN = 128, 65535    # parts of the hash range whose counts bound an overlap; this count is no bound
 BROADCAST_PAIRS = 1 << 17      # pairs of class keys (32 bytes) that are broadcast
 CHUNK = 256                    # classes of a component that a chunk holds; more from CHUNKS chunks on
@@ -124,14 +128,14 @@ class Threshold:
 
 def _slices(key: list[bytes], size: list[int], vals: list[np.ndarray], n_buckets: int):
     """Rows (bucket, keys, sizes, counts, vals) of the members of some classes; a class
-    without members goes to bucket 0, so that it is seen."""
-    owner = np.repeat(np.arange(len(vals)), [len(v) for v in vals])
+    without members goes to bucket 0, so that it is seen.  Without ``size`` there are no sizes."""
+    owner = np.repeat(np.arange(len(vals), dtype=np.int32), [len(v) for v in vals])
     v = np.concatenate([*vals, np.zeros(0, U64)])
     bucket = (v >> U64(40)) % U64(n_buckets)
     order = np.argsort(bucket, kind="stable")
     owner, v, bucket = owner[order], v[order], bucket[order].astype(np.int64)
     keys = np.frombuffer(b"".join(key), f"V{len(key[0])}")
-    sizes = np.array(size, np.int32)
+    sizes = np.array(size, np.int32) if size else None
     ends = np.searchsorted(bucket, np.arange(n_buckets + 1))
     none = np.array([k for k, x in enumerate(vals) if not len(x)], np.int64)
     rows = []
@@ -141,7 +145,7 @@ def _slices(key: list[bytes], size: list[int], vals: list[np.ndarray], n_buckets
         if b == 0 and len(none):
             who, c = np.concatenate([who, none]), np.concatenate([c, np.zeros(len(none), np.int64)])
         if len(who):
-            rows.append((b, keys[who].tobytes(), sizes[who].tobytes(), c.astype(np.int32).tobytes(), pv.tobytes()))
+            rows.append((b, keys[who].tobytes(), b"" if sizes is None else sizes[who].tobytes(), c.astype(np.int32).tobytes(), pv.tobytes()))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))],
         names=["bucket", "keys", "sizes", "counts", "vals"])
@@ -157,19 +161,22 @@ def _shared(t: pa.Table):
     vals = np.frombuffer(cols["vals"], U64)
     halves = np.zeros((len(keys), 16), np.uint8)
     halves[:, :keys.itemsize] = np.frombuffer(cols["keys"], np.uint8).reshape(len(keys), -1) if len(keys) else 0
+    del cols
     halves = halves.view(U64)
     by_key = np.lexsort((halves[:, 1], halves[:, 0]))
     runs = halves[by_key]
     keep = np.zeros(len(keys), bool)
     keep[by_key[np.r_[True, (runs[1:] != runs[:-1]).any(1)][:len(keys)]]] = True
-    owner = np.repeat(np.arange(len(keys)), counts)
-    mine = keep[owner]
-    owner, vals = owner[mine], vals[mine]
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
+    if not keep.all():
+        mine = keep[owner]
+        owner, vals = owner[mine], vals[mine]
     order = np.argsort(vals, kind="stable")
     sv = vals[order]
     new = np.flatnonzero(np.r_[True, sv[1:] != sv[:-1]][:len(sv)])
-    times = np.diff(np.r_[new, len(sv)])
-    df = np.empty(len(sv), np.int64)
+    del sv
+    times = np.diff(np.r_[new, len(vals)]).astype(np.int32)
+    df = np.empty(len(vals), np.int32)
     df[order] = np.repeat(times, times)
     return keys, sizes, counts, keep, owner, vals, df
 
@@ -187,10 +194,11 @@ def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int, key_byt
                     continue
                 seen.add(k)
                 key.append(k[:key_bytes])
-                size.append(n)
+                if key_bytes == KEY_BYTES:                # the screen needs no sizes
+                    size.append(n)
                 vals.append(np.frombuffer(m.as_py(), U64))
                 held += len(vals[-1]) + 1
-                if held >= 1 << 20:
+                if held >= SLICE_MEMBERS:
                     yield _slices(key, size, vals, n_buckets)
                     key, size, vals, held = [], [], [], 0
             if len(seen) > 1 << 20:
@@ -263,12 +271,13 @@ def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
         at = np.flatnonzero(df > 1)
         order = at[np.argsort(owner[at], kind="stable")]
         owner, vals, df = owner[order], vals[order], df[order]
+        del at, order
         have = np.bincount(owner, minlength=len(keys)).astype(np.int32)
         start = np.cumsum(have) - have
         rows = []
         for g, c in _by_group(keys, np.flatnonzero(have), n_buckets):
             own = np.concatenate([np.arange(start[i], start[i] + have[i]) for i in c])
-            rows.append((g, keys[c].tobytes(), sizes[c].tobytes(), have[c].tobytes(), vals[own].tobytes(), np.minimum(df[own], 2**31 - 1).astype(np.int32).tobytes()))
+            rows.append((g, keys[c].tobytes(), sizes[c].tobytes(), have[c].tobytes(), vals[own].tobytes(), df[own].tobytes()))
         return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), **{
             n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("keys", "sizes", "have", "v", "d"), 1)}})
 
@@ -305,6 +314,11 @@ def may_link(t: Threshold, n_a: Column, p_a: Column, r_a: Column, n_b: Column, p
     return (t.den * F.least(n_a, n_b) >= t.num * F.greatest(n_a, n_b)) & ((t.den + t.num) * rest >= t.num * (n_a + n_b))
 
 
+def size_band(n: str, t: Threshold) -> Column:
+    """Sets whose sizes differ by less than the factor at which no two link."""
+    return F.floor(F.log(n) / float(np.log(t.den / t.num))).cast("int")
+
+
 def _bins(cells) -> np.ndarray:
     h = np.frombuffer(b"".join(x.as_py() for x in cells), np.uint16).reshape(-1, BINS).astype(np.int32)
     h[h == FULL_BIN] = 1 << 30
@@ -355,17 +369,38 @@ def compare(pairs: DataFrame, sets: DataFrame, t: Threshold, folder: str, name:
         run, "a binary, b binary, n_a int, n_b int, inter int")
 
 
+def common_member(n_a: int, row_a: np.ndarray, val_a: np.ndarray, n_b: int, row_b: np.ndarray, val_b: np.ndarray) -> np.ndarray:
+    """Whether rows of a and of b, given as (row, value) entries, have a value in common."""
+    both = np.intersect1d(val_a, val_b)
+    out = np.zeros((n_a, n_b), bool)
+    for lo in range(0, len(both), COMMON_STEP):
+        part = both[lo:lo + COMMON_STEP]
+        grids = []
+        for n, row, val in ((n_a, row_a, val_a), (n_b, row_b, val_b)):
+            at = np.minimum(np.searchsorted(part, val), len(part) - 1)
+            has = part[at] == val
+            grid = np.zeros((n, len(part)), np.float32)
+            grid[row[has], at[has]] = 1
+            grids.append(grid)
+        out |= grids[0] @ grids[1].T > 0
+    return out
+
+
 def open_pairs(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """Class pairs (a, b) of the lists (e, key, n, pos, rank, comp, d...) that neither the lists
     nor the distances nor the counts by hash range rule out.  Lists are cut into blocks, block pairs are joined, and what is
-    left of them is expanded in the tasks."""
+    left of them is expanded in the tasks.
+
+    A pair that shares several lists is named in the first one: entries carry the first ``EARLIER`` prefix
+    members before the list's own, and a pair with one of those in common belongs to an earlier list.
+    (Pairs that share none of their first ``EARLIER`` prefix members may come more than once.)"""
     dist = [c for c in lists.columns if c[0] == "d" and c[1:].isdigit()]
-    log_t = float(np.log(t.den / t.num))
-    rows = lists.join(sets.select("key", "bins"), "key").withColumn("band", F.floor(F.log("n") / log_t).cast("int")).withColumn("at", F.floor(F.col("pos") / POSITIONS).cast("int"))
+    rows = lists.join(sets.select("key", "bins", F.slice("prefix", 1, EARLIER).alias("first")), "key").withColumn(
+        "early", F.slice("first", F.lit(1), F.least("rank", F.lit(EARLIER)))).drop("first").withColumn("band", size_band("n", t)).withColumn("at", F.floor(F.col("pos") / POSITIONS).cast("int"))
     of = ["e", "band", "at"]
     cuts = rows.groupBy(*of).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
     rows = rows.join(cuts, of).withColumn("cut", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int"))
-    fields = ["key", "comp", "n", "pos", "rank", *dist, "bins"]
+    fields = ["key", "comp", "n", "pos", "rank", *dist, "bins", "early"]
     span = [f(c).alias(f"{k}_{c}") for c in ("n", "pos", "rank", *dist) for k, f in (("lo", F.min), ("hi", F.max))]
     # a block with an unknown distance has no bounds
     known = [F.bool_and(F.col(c).isNotNull()).alias(f"all_{c}") for c in dist]
@@ -386,13 +421,14 @@ def open_pairs(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
         key = np.frombuffer(b"".join(k.as_py() for k in cells.field("key")), "V16")
         comp = np.frombuffer(b"".join(k.as_py() for k in cells.field("comp")), "V16")
         num = [np.asarray(cells.field(c).cast(pa.float64()).fill_null(np.nan)) for c in ("n", "pos", "rank", *dist)]
-        return key, comp, num, _bins(cells.field("bins"))
+        early = cells.field("early")
+        return key, comp, num, _bins(cells.field("bins")), (np.asarray(pc.list_parent_indices(early)), np.asarray(pc.list_flatten(early)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out_a, out_b = [], []
             for i in range(b.num_rows):
-                (ka, ca, (na, pa_, ra, *da), ha), (kb, cb, (nb, pb, rb, *db), hb) = (side(b.column(c)[i]) for c in (0, 1))
+                (ka, ca, (na, pa_, ra, *da), ha, ea), (kb, cb, (nb, pb, rb, *db), hb, eb) = (side(b.column(c)[i]) for c in (0, 1))
                 col = lambda v: v[:, None]
                 rest = np.minimum(col(na - pa_), nb - pb) + np.minimum(col(ra), rb)
                 ok = ((t.den * np.minimum(col(na), nb) >= t.num * np.maximum(col(na), nb))
@@ -400,6 +436,8 @@ def open_pairs(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 for u, v in zip(da, db):           # pairs with a pivot (distance 0) have been compared
                     with np.errstate(invalid="ignore"):
                         ok &= ~(np.abs(col(u) - v) > slack) & ~(col(u) <= 0) & ~(v <= 0)
+                if ok.any():
+                    ok &= ~common_member(len(ka), *ea, len(kb), *eb)
                 p, q = np.nonzero(ok)
                 for lo in range(0, len(p), STEP_PAIRS):
                     u, v = p[lo:lo + STEP_PAIRS], q[lo:lo + STEP_PAIRS]
@@ -411,7 +449,7 @@ def open_pairs(lists: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
                 out_b += [v for _, v in pair]
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
-    return pairs.select("m_x", "m_y").mapInArrow(run, "a binary, b binary").distinct()
+    return pairs.select("m_x", "m_y").mapInArrow(run, "a binary, b binary")
 
 
 def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
@@ -423,9 +461,12 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
                   folder, "lists-0")
     n = [F.col(c) for c in ("n", "pos", "rank")]
     for r in range(PIVOT_ROUNDS):
-        # the pivot: the least class outside the components of earlier pivots
+        # the pivot: the least class outside the components of earlier pivots, of the sizes that
+        # most of those have, since other sizes tell it nothing
         own = ~F.array_contains("old", F.col("comp"))
-        pivots = (lists.filter(own).groupBy("e").agg(F.min(F.struct("key", "n", "pos", "rank", "comp")).alias("p")))
+        bands = lists.filter(own).groupBy("e", size_band("n", t).alias("band")).agg(
+            F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n", "pos", "rank", "comp")).alias("p"))
+        pivots = bands.groupBy("e").agg(F.max_by("p", F.struct("c", "band")).alias("p"))
         at = [F.col(f"p.{c}") for c in ("n", "pos", "rank")]
         with_pivot = lists.join(pivots, "e", "left")
         pairs = (with_pivot.filter((F.col("p.comp") != F.col("comp")) & may_link(t, *n, *at))
@@ -454,7 +495,7 @@ def find_links(indexed: DataFrame, t: Threshold, folder: str) -> DataFrame:
         lists = stage(moved.join(open_, "e"), folder, f"lists-{r + 1}")
         if lists.isEmpty():
             return stars
-    tested = stage(compare(open_pairs(lists, indexed, t), indexed, t, folder, "last"), folder, "tested-last")
+    tested = stage(compare(open_pairs(lists, indexed, t).distinct(), indexed, t, folder, "last"), folder, "tested-last")
     return stars.union(tested.filter(t.links(F.col("inter"), F.col("n_a"), F.col("n_b"))).select("a", "b"))
 
 
