@@ -350,7 +350,7 @@ class Coder:
     def _look(self, lists: list[list[str]], known: dict[str, tuple], lead: str) -> list[list[tuple]]:
         found = [list(map(known.get, c)) for c in lists]
         open_ = [k for k, f in enumerate(found) if None in f]
-        new: Counter = Counter()
+        new: set[str] = set()
         for k in open_:
             new.update([c for c, x in zip(lists[k], found[k]) if x is None])
         if new:
@@ -360,9 +360,7 @@ class Coder:
                 found[k] = [x or fresh[c] for c, x in zip(lists[k], found[k])]
             if len(known) > CACHE_WORDS:
                 known.clear()                         # bounded; chunks can be coded again
-            for c, n in new.items():
-                if n > 1 and len(c) <= CACHE_WORD_BYTES:
-                    known[c] = fresh[c]
+            known.update((c, r) for c, r in fresh.items() if len(c) <= CACHE_WORD_BYTES)
         return found
 
     def encode(self, texts: list[str]) -> list[list[int]]:

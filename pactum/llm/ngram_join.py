@@ -181,13 +181,16 @@ def _shared(t: pa.Table):
     return keys, sizes, counts, keep, owner, vals, df
 
 
-def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int, key_bytes: int = KEY_BYTES) -> DataFrame:
-    """Slices of (key, n, members binary) for classes of ``least`` members or more."""
+def _bucketed(rows: DataFrame, n_buckets: int, least: int, key_bytes: int = KEY_BYTES, made=iter) -> DataFrame:
+    """Slices of (key, n, members binary) for classes of ``least`` members or more.
+
+    ``made`` turns the batches of ``rows`` into those of (key, n, members), so that one
+    Python worker a task does both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()                          # copies within a task go once
         key, size, vals, held = [], [], [], 0
-        for b in batches:
+        for b in made(batches):
             for k, n, m in zip(*(b.column(i) for i in range(3))):
                 k, n = k.as_py(), n.as_py()
                 if k is None or n < least or k in seen:
@@ -206,7 +209,7 @@ def _bucketed(rows: DataFrame, members: str, n_buckets: int, least: int, key_byt
         if key:
             yield _slices(key, size, vals, n_buckets)
 
-    return rows.select("key", "n", members).mapInArrow(
+    return rows.mapInArrow(
         run, "bucket int, keys binary, sizes binary, counts binary, vals binary")
 
 
@@ -257,12 +260,12 @@ def screen(docs: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
         total = np.add.reduceat(m.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
         return pa.table({"short": pa.array([raw[i].tobytes() for i in first], pa.binary()), "m": pa.array(total)})
 
-    return (_bucketed(docs, "part", n_buckets, t.least_size(), SCREEN_KEY).groupBy("bucket")
+    return (_bucketed(docs.select("key", "n", "part"), n_buckets, t.least_size(), SCREEN_KEY).groupBy("bucket")
             .applyInArrow(count, "grp int, keys binary, m binary").groupBy("grp").applyInArrow(add_up, "short binary, m long"))
 
 
-def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
-    """(key, n, members, prefix, before, bins): members shared with other classes (ascending,
+def index(sets: DataFrame, t: Threshold, n_buckets: int, made=iter) -> DataFrame:
+    """Of sets (key, n, members), which ``made`` makes from the batches of ``sets``: (key, n, members, prefix, before, bins): members shared with other classes (ascending,
     binary), the prefix among them, how many members of x stand before the prefix, and the counts
     of the shared members in equal parts of the hash range."""
 
@@ -300,7 +303,7 @@ def index(sets: DataFrame, t: Threshold, n_buckets: int) -> DataFrame:
                          "prefix": pa.array([r[3] for r in out], pa.list_(pa.int64())),
                          "before": pa.array([r[4] for r in out], pa.int32()), "bins": pa.array([r[5] for r in out], pa.binary())})
 
-    return (_bucketed(sets, "members", n_buckets, t.least_size()).groupBy("bucket")
+    return (_bucketed(sets, n_buckets, t.least_size(), made=made).groupBy("bucket")
             .applyInArrow(collect, "grp int, keys binary, sizes binary, have binary, v binary, d binary")
             .groupBy("grp").applyInArrow(prefixes, "key binary, n int, members binary, prefix array<long>, before int, bins binary"))
 
@@ -633,15 +636,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: in
             for x in text_blocks(iter([few])):
                 s = shingle_sets(x.column(1), width)
                 yield pa.RecordBatch.from_arrays(
-                    [x.column(0), pa.array([_key(v) if len(v) else None for v in s], pa.binary()),
+                    [pa.array([_key(v) if len(v) else None for v in s], pa.binary()),
                      pa.array([len(v) for v in s], pa.int32()), pa.array([v.tobytes() for v in s], pa.binary())],
-                    names=["id", "key", "n", "members"])
+                    names=["key", "n", "members"])
 
     h1, h2 = hash_pair(F.coalesce("id", F.lit(0)))
-    again = src.select("id", "text", h1.alias("h1"), h2.alias("h2")).mapInArrow(
-        chosen, "id long, key binary, n int, members binary")
+    again = src.select("id", "text", h1.alias("h1"), h2.alias("h2"))
     # (a document that the filter lets through by chance adds a class without links, or one that is there)
-    indexed = stage(index(again.filter("key IS NOT NULL").select("key", "n", "members"), t, parts), folder, "indexed")
+    indexed = stage(index(again, t, parts, chosen), folder, "indexed")
 
     roots = connected_components(find_links(indexed, t, folder), folder, "final")
     classes = classes.select("key", "first", "copies")

@@ -47,7 +47,7 @@ def test_each_pair_comes_from_one_list(spark):
                                               pa.array([x.tobytes() for x in s])], names=["key", "n", "members"])
 
     sets = spark.createDataFrame(texts, "id long, text string").mapInArrow(sets_of, "key binary, n int, members binary")
-    indexed = ngram_join.index(sets, t, 3).cache()
+    indexed = ngram_join.index(sets.select("key", "n", "members"), t, 3).cache()
     lists = indexed.select("key", "n", "before", F.posexplode("prefix").alias("rank", "e")) \
         .withColumn("pos", F.col("before") + F.col("rank")).withColumn("comp", F.col("key")).drop("before")
     pairs = [tuple(sorted((bytes(r.a), bytes(r.b)))) for r in ngram_join.open_pairs(lists, indexed, t).collect()]
