@@ -81,7 +81,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id
     """query_id, rank, vec_id, score of every row for which ``is_query`` (a Column) holds.
 
     Components become ``floor(scale * x)``.  Vectors are hashed into shards of about
-    4,096 and queries into blocks of 512; a query block is copied to each shard."""
+    4,096 and queries into blocks of 512; a query block is copied to each shard, a shard to as many
+    groups of query blocks as keep the tasks busy (one, once the shards do).  Both sides are dealt by
+    hash: the copies' size is not seen by the planner, who would gather them all at the driver."""
     spark = vectors.sparkSession
     parts = shuffle_partitions(spark)
     folder = run_folder(spark)
@@ -95,7 +97,12 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id
                    folder, "shards")
     q_packed = stage(pack(queries.withColumn("part", block_of("id", q_blocks)), ["dim", "part"]),
                      folder, "queries")
-    copies = q_packed.select("dim", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"),
-                             F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    pairs = packed.join(copies, ["dim", "shard"]).repartition(max(parts, min(4 * parts, shards * q_blocks)))
+    groups = min(q_blocks, blocks_of(4 * parts, shards))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shard_copies = packed.withColumn("_group", every(groups))
+    copies = q_packed.select("dim", (F.col("part") % groups).alias("_group"), F.col("ids").alias("q_ids"),
+                             F.col("mat").alias("q_mat"), every(shards).alias("shard"))
+    keys, tasks = ["dim", "shard", "_group"], max(parts, min(4 * parts, shards * groups))
+    # the shards on the right: a task holds one at a time, while its query blocks pass by
+    pairs = copies.repartition(tasks, *keys).join(shard_copies.repartition(tasks, *keys).hint("merge"), keys)
     return merge_lists(score_blocks(pairs, maxscore, k, "long"), k)
