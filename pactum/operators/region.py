@@ -7,6 +7,8 @@ configuration of fixed, small size).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,16 +60,42 @@ NA_ADDRESS_KEYWORDS = ("united states", "usa", "canada", "mexico")
 APAC_ADDRESS_KEYWORDS = ("singapore", "japan", "china", "australia", "new zealand")
 
 
-def _first_name(text: Column, names, low: Column | None = None) -> Column:
+# What a text says of its region itself.
+EXPLICIT_NAMES = ("EMEA", "North America", "APAC", "Asia Pacific")
+
+
+def _by_prefix(names) -> str:
+    """A pattern of the (lower-case) names, their common beginnings read once."""
+    heads: dict[str, list[str]] = {}
+    for n in names:
+        heads.setdefault(n[:1], []).append(n[1:])
+    if not heads.get(""):
+        tails = [re.escape(h) + _by_prefix(rest) for h, rest in heads.items()]
+        return tails[0] if len(tails) == 1 else "(?:" + "|".join(tails) + ")"
+    del heads[""]
+    return "(?:" + _by_prefix([h + r for h, rest in heads.items() for r in rest]) + ")?" if heads else ""
+
+
+# All names but those with a wildcard by one scan: none begins within another, so a scan finds each.
+# No name begins behind a letter, which is seen at less cost than a word's boundary.
+SCANNED_NAMES = tuple(n for n in (*EXPLICIT_NAMES, *EMEA_COUNTRIES, *NA_LOCATIONS, *APAC_COUNTRIES) if "." not in n)
+NAME_SCAN = r"(?i)(?<![a-z])\b" + _by_prefix(dict.fromkeys(n.lower() for n in SCANNED_NAMES)) + r"\b"
+# What every European entity pattern holds.
+EU_SUFFIX = r" (?=[LGABNS])(?:Limited|Ltd|GmbH|ApS|BV|NV|AG|SA)"
+
+
+def _names_in(text: Column) -> Column:
+    """The names found as whole words, case-insensitive, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAME_SCAN), F.lit(0)), lambda n: F.lower(n)))
+
+
+def _first_name(text: Column, names, found: Column) -> Column:
     """The first name (in list order) found as a whole word, case-insensitive.
-    Names are used as patterns as written ('U.S.' keeps its dots as wildcards,
-    Q14).  A plain ``contains`` on the lower-cased text pre-checks each literal
-    name, so the regex only runs where the word can occur."""
+    Names are used as patterns as written ('U.S.' keeps its dots as wildcards, Q14, so it
+    is looked for by itself); the others are those of :func:`_names_in`."""
     out = F.lit(None).cast("string")
     for n in reversed(names):
-        hit = text.rlike(rf"(?i)\b{n}\b")
-        if low is not None and "." not in n:
-            hit = low.contains(n.lower()) & hit
+        hit = text.rlike(rf"(?i)\b{n}\b") if "." in n else F.array_contains(found, n.lower())
         out = F.when(hit, F.lit(n)).otherwise(out)
     return out
 
@@ -80,27 +108,30 @@ def detect_region_gdpr(text: Column, address: Column | None = None, emea_entity_
     if address is not None:
         t = F.when(F.coalesce(address, F.lit("")) != "", F.concat(t, F.lit(" "), address)).otherwise(t)
     # each step is one value that the next ones read, so no search runs twice
-    return let(t, lambda t: let(F.lower(t), lambda low: _detect(t, low, emea_entity_pattern, emea_entity_reason)))
-
-
-def _detect(t: Column, low: Column, emea_entity_pattern: str | None, emea_entity_reason: str) -> Column:
-    explicit = (F.when(low.contains("emea") & t.rlike(r"(?i)\bEMEA\b"), F.lit("EMEA"))
-                .when(low.contains("north america") & t.rlike(r"(?i)\bNorth America\b"), F.lit("North America"))
-                .when((low.contains("apac") | low.contains("asia pacific"))
-                      & t.rlike(r"(?i)\bAPAC\b|\bAsia Pacific\b"), F.lit("APAC")))
-    rev = F.reverse(t)
-    label = F.lit(None).cast("string")
-    for pattern, lab, suffix in reversed(EU_ENTITY_REVERSED):
-        label = F.when(t.contains(suffix) & rev.rlike(pattern), F.lit(lab)).otherwise(label)
+    return let(t, lambda t: let(_names_in(t), lambda names: _detect(t, names, emea_entity_pattern, emea_entity_reason)))
+
+
+def _detect(t: Column, names: Column, emea_entity_pattern: str | None, emea_entity_reason: str) -> Column:
+    has = lambda n: F.array_contains(names, n.lower())
+    explicit = (F.when(has("EMEA"), F.lit("EMEA")).when(has("North America"), F.lit("North America"))
+                .when(has("APAC") | has("Asia Pacific"), F.lit("APAC")))
+
+    def entity(rev: Column) -> Column:
+        label = F.lit(None).cast("string")
+        for pattern, lab, suffix in reversed(EU_ENTITY_REVERSED):
+            label = F.when(t.contains(suffix) & rev.rlike(pattern), F.lit(lab)).otherwise(label)
+        return label
+
+    label = F.when(t.rlike(EU_SUFFIX), let(F.reverse(t), entity))
     hit = t.rlike("(?i)" + emea_entity_pattern) if emea_entity_pattern else F.lit(False)
     found = F.struct(explicit.alias("explicit"), label.alias("label"), hit.alias("hit"))
     # a country only tells where no check before it did
     told = lambda f: (F.coalesce(f["explicit"], F.lit("")) == "EMEA") | f["hit"] | f["label"].isNotNull()
-    return let(found, lambda f: let(F.when(~told(f), _first_name(t, EMEA_COUNTRIES, low)), lambda country: _decide(
-        t, low, f["explicit"], f["label"], country, f["hit"], emea_entity_reason)))
+    return let(found, lambda f: let(F.when(~told(f), _first_name(t, EMEA_COUNTRIES, names)), lambda country: _decide(
+        t, names, f["explicit"], f["label"], country, f["hit"], emea_entity_reason)))
 
 
-def _decide(t: Column, low: Column, explicit: Column, entity: Column, country: Column, hit: Column,
+def _decide(t: Column, names: Column, explicit: Column, entity: Column, country: Column, hit: Column,
             emea_entity_reason: str) -> Column:
     gdpr = F.when((explicit == "EMEA") | hit, F.lit(True))
     reason = F.when(hit, F.lit(emea_entity_reason)).when(explicit == "EMEA", F.lit("EMEA region"))
@@ -113,8 +144,8 @@ def _decide(t: Column, low: Column, explicit: Column, entity: Column, country: C
                     F.concat(F.lit("European address ("), country, F.lit(")"))).otherwise(reason)
     gdpr = F.when(gdpr.isNull() & country.isNotNull(), F.lit(True)).otherwise(gdpr)
     region = F.coalesce(region, F.when(country.isNotNull(), F.lit("EMEA")),
-                        F.when(_first_name(t, NA_LOCATIONS, low).isNotNull(), F.lit("North America")),
-                        F.when(_first_name(t, APAC_COUNTRIES, low).isNotNull(), F.lit("APAC")))
+                        F.when(_first_name(t, NA_LOCATIONS, names).isNotNull(), F.lit("North America")),
+                        F.when(_first_name(t, APAC_COUNTRIES, names).isNotNull(), F.lit("APAC")))
     return F.struct(region.alias("region"), gdpr.alias("subject_to_gdpr"), reason.alias("gdpr_reason"))
 
 
